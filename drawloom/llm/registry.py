@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, token_counts, toxicity
+from . import decontaminate, mixing, quality, secrets, sharding, token_counts, toxicity
 from .common import table
 from .labelled import held_out
 
@@ -18,6 +18,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, owner="source", repo=F.concat_ws("/", "source", "lang"))
@@ -33,12 +37,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op9_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op9_label_propagation_shards, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
