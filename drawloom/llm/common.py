@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +66,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(np.asarray(starts, np.int64), lengths)
+
+
+#: Bytes up to which a checked side is broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 24 << 20
+
+
+def small_or_shuffled(df: DataFrame, row_bytes: str) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, sized by the SQL expression, fit in BROADCAST_BYTES; without one beyond."""
+    size = df.selectExpr(f"sum(cast({row_bytes} as long)) AS s").first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")

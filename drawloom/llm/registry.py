@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, mixing, quality, secrets, sharding, token_counts, toxicity
+from . import decontaminate, embeddings, jaccard, mixing, quality, secrets, sharding, token_counts, toxicity
 from .common import table
 from .labelled import held_out
 
@@ -37,6 +37,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op8_embedding_near_dedup, op9_label_propagation_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_label_propagation_shards, op10_token_counts)}
 
 
 OP8_SQL = """
@@ -66,5 +70,17 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lists AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+sets AS (SELECT doc_id, len(s) AS n, s FROM lists),
+each AS (SELECT doc_id, n, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS shared FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 90 * (total - shared)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(b) AS component_id FROM reach JOIN sets ON a = doc_id GROUP BY a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": OP8_SQL}
+    return {"op7_ngram_jaccard_join": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL}
