@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, mixing, quality, secrets, sharding, token_counts, toxicity
+from . import decontaminate, embeddings, jaccard, mixing, quality, repeats, secrets, sharding, token_counts, toxicity
 from .common import table
 from .labelled import held_out
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_bytes=False).drop("kept")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out(3, 1)
     model = quality.train(docs, table(spark, sf_dir, "labels"), held=held)
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_label_propagation_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_label_propagation_shards, op10_token_counts)}
 
 
 OP8_SQL = """
