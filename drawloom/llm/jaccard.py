@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ranges, small_or_shuffled, texts_of
@@ -96,6 +96,63 @@ class Prefixes:
             yield pa.record_batch([c for _, c in kept] + made, names=[n for n, _ in kept] + ["_cid", "_n", "_prefix"])
 
 
+class Viable:
+    """Of rows (token, cid, n, place) sorted by token those with a partner that passes the length and positional filters, and how many the token has.
+
+    With P for the percentage, i and j pass if n_j P <= (n_i - place_i)(100 + P) - n_i P
+    and n_i P <= (n_j - place_j)(100 + P) - n_j P, which also bounds the lengths.  So
+    in the order of n a running maximum tells whether there is such a j: no pairs are made.
+    """
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            first, last = held[0].column(0)[0].as_py(), batch.column(0)[batch.num_rows - 1].as_py()
+            if first == last or sum(b.num_rows for b in held) < 50_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(table.column(0).to_numpy() != last)[-1]) + 1
+            yield self.kept(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield self.kept(pa.Table.from_batches(held))
+
+    def kept(self, table: pa.Table) -> pa.RecordBatch:
+        token, cid, n, place = (table.column(i).to_numpy() for i in range(4))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        order = np.lexsort((n, token))
+        token, cid, n, place = token[order], cid[order], n[order], place[order]
+        keep = self.viable(token, n, place)
+        token, cid, n, place = token[keep], cid[keep], n[keep], place[keep]
+        _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+        return pa.record_batch([pa.array(token), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(count[at])], names=["_token", "_cid", "_n", "_place", "_df"])
+
+    def viable(self, token: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        if not len(token):
+            return np.zeros(0, bool)
+        p = self.percent
+        group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]).astype(np.int64)]))
+        reach = (n - place) * (100 + p) - p * n
+        span = int(max(n.max() * 200, 1)) + 1
+        # Running largest and second largest reach within a token; a row itself is one of them if it passes with itself.
+        lifted = group * span + np.maximum(reach, 0)
+        most = np.maximum.accumulate(lifted)
+        second = np.maximum.accumulate(np.concatenate([[group[0] * span], np.maximum(np.minimum(lifted[1:], most[:-1]), group[1:] * span)]))
+        limit = group * span + np.clip(reach // p, 0, span - 1)
+        upto = np.searchsorted(group * span + n, limit, "right") - 1
+        ok = (upto >= 0) & (group[np.maximum(upto, 0)] == group) & (reach > 0)
+        upto = np.maximum(upto, 0)
+        own = (upto >= np.arange(len(n))) & (reach >= p * n)
+        best = np.where(own, second[upto], most[upto]) - group * span
+        return ok & (best >= p * n) & (best > 0)
+
+
 class Sets:
     """One row for each cell of a class: its whole set, rarest first, as bytes."""
 
@@ -142,11 +199,11 @@ def candidates(own: list[np.ndarray], prefix: list[int], percent: int) -> tuple[
     later = end - np.arange(len(token)) - 1
     a = np.repeat(np.arange(len(token)), later)
     b = ranges(np.arange(len(token)) + 1, later)
-    # Before a shared shingle at these places nothing else can be shared that isn't counted by an earlier pair: the first one bounds the overlap.
+    # Nothing before the first shared shingle is shared, so what follows it bounds the overlap; a pair that fails at its first one may pass at no later one.
     i, j = doc[a], doc[b]
     need = -(-percent * (n[i] + n[j]) // (100 + percent))
     size = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
-    bound = np.minimum(place[a], place[b]) + 1 + np.minimum(n[i] - place[a], n[j] - place[b]) - 1
+    bound = np.minimum(n[i] - place[a], n[j] - place[b])
     keep = size & (bound >= need)
     pair = np.unique(i[keep] * len(own) + j[keep])
     return pair // max(len(own), 1), pair % max(len(own), 1)
@@ -220,8 +277,9 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     kind = rows.schema["_id"].dataType.simpleString()
     order = Order(*frequent_shingles(rows, k), k, percent)
     scanned = materialize(rows.mapInArrow(Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>"), "jaccard-prefixes")
-    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_prefix").alias("_prefix"))
-    shared = classes.select("_cid", F.explode("_prefix").alias("_token")).withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("_token"))).filter("_df > 1")
+    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
+    index = classes.select("_cid", "_n", F.posexplode("_prefix").alias("_place", "_token")).select("_token", "_cid", F.col("_n").cast("int"), "_place")
+    shared = index.repartition("_token").sortWithinPartitions("_token").mapInArrow(Viable(percent), "_token long, _cid long, _n int, _place int, _df long").filter("_df > 1")
     shared = materialize(shared, "jaccard-index")
     home = shared.groupBy("_cid").agg(F.max(F.struct("_df", "_token")).alias("_home")).select("_cid", F.col("_home._token").alias("_home"))
     homed = shared.join(home, "_cid")
