@@ -1,11 +1,233 @@
-"""Queries over the driver tables and their SQL oracles."""
+"""Queries over the driver tables and the SQL that gives the same rows.
+
+Draws come from orders (see sources.tables).  Walk-forward queries train on half of
+the draws and test in blocks of a twentieth, with TICKETS tickets and SEED.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.arrays import distinct_tickets, greedy_diverse, jaccard_similarity, overlap
+from ..operators import draws as D
+from ..operators import stats as S
+from ..operators.diversity import TicketOptimizer
+from ..operators.sampling import RandomBaseline, TicketGenerator
+from ..operators.scoring import NumberPredictor
+from ..sources import tables
+from ..sources.entries import entries_desc as newest_first
+from .backtest import Backtester, BacktestResult
+from .recommend import RecommendationEngine
+
+TICKETS, SEED = 20, 42
+
+
+def listed(ticket: Column) -> Column:
+    """A ticket as text."""
+    return F.array_join(ticket.cast("array<string>"), ",")
+
+
+def _sizes(draws: DataFrame) -> tuple[int, int]:
+    n = draws.count()
+    return max(n // 2, 1), max(n // 20, 1)
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> D.WalkForward:
+    draws = tables.draws(spark, sf_dir)
+    return D.WalkForward(draws, *_sizes(draws))
+
+
+def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dataset_statistics(tables.numbers_only(spark, sf_dir))
+
+
+def lottery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.lottery_summary(tables.numbers_only(spark, sf_dir))
+
+
+def number_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.number_frequency(tables.numbers_only(spark, sf_dir))
+
+
+def frequency_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.frequency_for(number_frequency(spark, sf_dir), 7)
+
+
+def most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.most_frequent(number_frequency(spark, sf_dir), 10)
+
+
+def least_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.least_frequent(number_frequency(spark, sf_dir), 10)
+
+
+def _shown(draws: DataFrame) -> DataFrame:
+    return draws.select("ord", "draw_id", listed(F.col("numbers")).alias("numbers"), "date")
+
+
+def draws_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(tables.draws(spark, sf_dir))
+
+
+def draw_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(tables.draws(spark, sf_dir).filter("ord = 100"))
+
+
+def latest_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(D.latest_draw(tables.draws(spark, sf_dir)))
+
+
+def append_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = spark.range(1).select(F.lit(0).cast("long").alias("ord"), F.lit("new").alias("draw_id"), F.array(*(F.lit(i) for i in range(1, 7))).alias("numbers"), F.lit(None).cast("string").alias("date"))
+    return _shown(D.append_draw(tables.draws(spark, sf_dir), one))
+
+
+def draw_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of which five in seven are broken on purpose, each in its way."""
+    k = F.col("draw_id").cast("long") % 7
+    broken = tables.numbers_only(spark, sf_dir).select(
+        F.col("draw_id").alias("key"), F.when(k == 1, F.lit("")).otherwise(F.col("draw_id")).alias("draw_id"),
+        F.when(k == 2, F.array().cast("array<int>")).when(k == 3, F.concat("numbers", F.slice("numbers", 1, 1))).when(k == 4, F.concat("numbers", F.array(F.lit(0)))).when(k == 5, F.concat("numbers", F.array(F.lit(None).cast("int")))).otherwise(F.col("numbers")).alias("numbers"),
+    )
+    return broken.select("key", F.coalesce(D.draw_error(), F.lit("valid")).alias("verdict"))
+
+
+def _recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recency of our own: (number mod 5) / 4 for numbers not divisible by 3."""
+    return S.number_counts(tables.numbers_only(spark, sf_dir)).filter("number % 3 <> 0").select("number", (F.col("number") % 5 / F.lit(4.0)).alias("recency"))
+
+
+def score_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NumberPredictor().score_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)))
+
+
+def score_with_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NumberPredictor().score_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)), _recency(spark, sf_dir))
+
+
+def rank_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NumberPredictor().rank_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each draw beside the one before it."""
+    d = tables.draws(spark, sf_dir).select("ord", "numbers")
+    return d.join(d.select((F.col("ord") + 1).alias("ord"), F.col("numbers").alias("other")), "ord")
 
-def queries() -> dict:
-    return {}
+
+def ticket_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("ord", overlap(F.col("numbers"), F.col("other")).cast("long").alias("overlap"))
+
+
+def ticket_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("ord", jaccard_similarity(F.col("numbers"), F.col("other")).alias("jaccard"))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws as tickets in lists of 40 by position."""
+    d = tables.draws(spark, sf_dir).select(F.expr("ord div 40").alias("list"), (F.col("ord") % 40).alias("pos"), "numbers")
+    return d.groupBy("list").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "numbers"))), lambda x: x["numbers"]).alias("tickets"))
+
+
+def _exploded(lists: DataFrame, column: Column) -> DataFrame:
+    return lists.select("list", F.posexplode(column).alias("pos", "_t")).select("list", F.col("pos").cast("long").alias("pos"), listed(F.col("_t")).alias("ticket"))
+
+
+def distinct_ticket_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(_lists(spark, sf_dir), distinct_tickets(F.col("tickets")))
+
+
+def optimize_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(TicketOptimizer().optimize_lists(_lists(spark, sf_dir)), F.col("recommended"))
+
+
+def select_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimizing what was optimized changes nothing."""
+    once = TicketOptimizer().optimize_lists(_lists(spark, sf_dir))
+    return _exploded(once, greedy_diverse(F.col("recommended"), 4, 10))
+
+
+def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk = _walk(spark, sf_dir)
+    return walk.test_rows().join(walk.splits(), "split_id").select("split_id", "train_size", "test_size", "ord", "draw_id")
+
+
+def walk_forward_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walk(spark, sf_dir).train_frequency()
+
+
+def generate_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = NumberPredictor().score_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)))
+    return TicketGenerator().generate_tickets(scores, TICKETS, SEED).select(F.col("ticket_no").cast("long").alias("ticket_no"), listed(F.col("ticket")).alias("ticket"))
+
+
+def baseline_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline ticket for each of a thousand numbers; the tables play no part in it."""
+    return RandomBaseline().generate_tickets(spark, 1000, SEED).select(F.col("ticket_no").cast("long").alias("ticket_no"), listed(F.col("ticket")).alias("ticket"))
+
+
+def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = RecommendationEngine().recommend(S.number_counts(tables.numbers_only(spark, sf_dir)), TICKETS, SEED)
+    return made.recommended.select(F.col("pos").cast("long").alias("pos"), listed(F.col("ticket")).alias("ticket"))
+
+
+def backtest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk = _walk(spark, sf_dir)
+    tickets = Backtester().split_tickets(walk, TICKETS, SEED).select("split_id", F.posexplode("recommended").alias("pos", "ticket"))
+    return walk.test_rows().join(tickets, "split_id").select("split_id", "ord", F.col("pos").cast("long").alias("pos"), overlap(F.col("ticket"), F.col("numbers")).cast("long").alias("matches"))
+
+
+def _result(spark: SparkSession, sf_dir: str) -> tuple[BacktestResult, int]:
+    draws = tables.draws(spark, sf_dir)
+    train, test = _sizes(draws)
+    return Backtester().run(draws, train, test, TICKETS, SEED), draws.count()
+
+
+def backtest_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir)[0].cases
+
+
+def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir)[0].summary()
+
+
+def match_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _result(spark, sf_dir)[0]
+    steps = spark.range(1, 7).select(F.col("id").alias("threshold"))
+    by_best = result.cases.groupBy("best_match", "baseline_best_match").agg(F.count(F.lit(1)).alias("n"))
+    grid = by_best.withColumn("threshold", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))))
+    hit = lambda c: F.sum(F.when(F.col(c) >= F.col("threshold"), F.col("n")).otherwise(0))
+    counted = grid.groupBy("threshold").agg(hit("best_match").alias("match_count"), hit("baseline_best_match").alias("baseline_match_count"))
+    return steps.join(counted, "threshold", "left").select("threshold", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("baseline_match_count", F.lit(0)).alias("baseline_match_count"))
+
+
+def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result, n = _result(spark, sf_dir)
+    return result.report(n)
+
+
+def entries_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newest_first(tables.entries(spark, sf_dir))
+
+
+def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.entries(spark, sf_dir).filter("id = 17")
+
+
+QUERIES = (
+    dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order, draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, rank_numbers, ticket_overlap, ticket_jaccard,
+    distinct_ticket_lists, optimize_tickets, select_tickets, walk_forward_splits, walk_forward_frequency, generate_tickets, baseline_tickets, recommend, backtest_matches, backtest_cases, backtest_summary, match_thresholds, backtest_report, entries_desc, entry_by_id,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)
