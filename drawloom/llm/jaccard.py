@@ -6,8 +6,9 @@ documents), then by hash.  Two sets that reach the threshold share a shingle in
 prefixes, so the prefixes are indexed.  Texts with equal sets are one class.  Classes
 that share a prefix shingle meet in a cell; where the classes of a shingle all share
 one hotter shingle, the hotter one's cell serves for both, so a set is sent about once.
-Large cells are cut into tiles and each pair of tiles is a cell of its own.  In a cell
-the candidates pass the length, positional and suffix filters and are verified once.
+Large cells are cut into tiles and each pair of tiles is a cell of its own.  Index rows
+go through the length and positional filters, then histograms of the sets through the
+suffix filter; only sets with a partner left are sent, and verified once per pair.
 A cell gives a spanning forest of its links, never all pairs of a group.
 """
 
@@ -26,7 +27,7 @@ from .components import components
 from .shingles import common, identity, sets
 
 #: Most frequent shingles whose frequency the order knows.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Classes of a tile.
 TILE = 256
 #: Shingles a task counts at once; beyond, those seen once are forgotten and counted anew.
@@ -82,7 +83,7 @@ class Order:
 
 
 class Prefixes:
-    """(…, _cid, _n, _prefix) of each text."""
+    """(…, _cid, _n, _prefix, _hist) of each text."""
 
     def __init__(self, order: Order) -> None:
         self.order = order
@@ -92,8 +93,66 @@ class Prefixes:
             found = sets(texts_of(batch, "_text"), self.order.k)
             prefixes = [self.order.ordered(x)[: self.order.prefix(len(x))].view(np.int64) for x in found]
             kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != "_text"]
-            made = [pa.array([identity(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.record_batch([c for _, c in kept] + made, names=[n for n, _ in kept] + ["_cid", "_n", "_prefix"])
+            made = [pa.array([identity(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([histogram(x).tobytes() for x in found], pa.binary())]
+            yield pa.record_batch([c for _, c in kept] + made, names=[n for n, _ in kept] + ["_cid", "_n", "_prefix", "_hist"])
+
+
+def histogram(own: np.ndarray) -> np.ndarray:
+    """How many shingles begin with each value of their leading bits; about eight in each bin, 16 to 1024 bins."""
+    bits = min(max(int(len(own)).bit_length() - 3, 4), 10)
+    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+
+
+def folded(h: np.ndarray, bins: int) -> np.ndarray:
+    return h.reshape(bins, -1).sum(1)
+
+
+def alike(hists: list[np.ndarray], tile: np.ndarray, cross: bool, percent: int) -> np.ndarray:
+    """A number for each set of a cell: equal for sets that the length and suffix filters connect, -1 for sets without a partner.
+
+    The suffix filter bounds the overlap by the sum of the smaller counts over all bins.
+    """
+    m = len(hists)
+    n = np.array([int(h.sum()) for h in hists])
+    size = np.array([len(h) for h in hists])
+    up = np.arange(m)
+    met = np.zeros(m, bool)
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for bins in np.unique(size):
+        rows = np.flatnonzero((size == bins) | (size == 2 * bins))
+        table = np.stack([folded(hists[r], int(bins)) for r in rows]).astype(np.int32)
+        for k, r in enumerate(rows[:-1].tolist()):
+            rest = rows[k + 1 :]
+            need = -(-percent * (n[r] + n[rest]) // (100 + percent))
+            look = (np.minimum(size[r], size[rest]) == bins) & (np.minimum(n[r], n[rest]) * 100 >= percent * np.maximum(n[r], n[rest]))
+            if cross:
+                look &= tile[r] != tile[rest]
+            at = np.flatnonzero(look)
+            if not len(at):
+                continue
+            near = at[np.minimum(table[k], table[k + 1 + at]).sum(1) >= need[at]]
+            for x in rest[near].tolist():
+                met[[r, x]] = True
+                up[root(r)] = root(x)
+    return np.array([root(i) if met[i] else -1 for i in range(m)])
+
+
+def _suffix_filter(percent: int):
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), own in pdf.groupby(["token", "i", "j"], sort=False):
+            own = own.drop_duplicates("_cid")
+            own = own.assign(sub=alike([np.frombuffer(b, np.uint32) for b in own["_hist"]], own["tile"].to_numpy(), i != j, percent).astype(np.int32))
+            out.append(own.loc[own["sub"] >= 0, ["_cid", "token", "i", "j", "tile", "sub"]])
+        return pd.concat(out)
+
+    return keep
 
 
 class Viable:
@@ -160,7 +219,7 @@ class Sets:
         self.order = order
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("bin", pa.int32()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("cid", pa.int64()), ("set", pa.binary())])
+        kind = pa.schema([("bin", pa.int32()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("sub", pa.int32()), ("cid", pa.int64()), ("set", pa.binary())])
         for batch in batches:
             cells, wanted = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cells", "_cid"))
             rows: list[dict] = []
@@ -245,7 +304,7 @@ def linked(own: list[np.ndarray], prefix: list[int], tile: np.ndarray, cross: bo
 def _cells(order: Order):
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        for (_, i, j), own in pdf.groupby(["token", "i", "j"], sort=False):
+        for (_, i, j, _), own in pdf.groupby(["token", "i", "j", "sub"], sort=False):
             own = own.drop_duplicates("cid")
             if len(own) < 2:
                 continue
@@ -276,8 +335,8 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     order = Order(*frequent_shingles(rows, k), k, percent)
-    scanned = materialize(rows.mapInArrow(Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>"), "jaccard-prefixes")
-    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
+    scanned = materialize(rows.mapInArrow(Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>, _hist binary"), "jaccard-prefixes")
+    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_hist").alias("_hist"))
     index = classes.select("_cid", "_n", F.posexplode("_prefix").alias("_place", "_token")).select("_token", "_cid", F.col("_n").cast("int"), "_place")
     shared = index.repartition("_token").sortWithinPartitions("_token").mapInArrow(Viable(percent), "_token long, _cid long, _n int, _place int, _df long").filter("_df > 1")
     shared = materialize(shared, "jaccard-index")
@@ -288,14 +347,18 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     cells = cells.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _tiles - 1)")))
     cells = cells.select("_cid", F.col("_token").alias("token"), F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
     cells = materialize(cells, "jaccard-cells")
-    bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.count() // BIN_ROWS)
-    placed = cells.select("_cid", F.struct(F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)).cast("int").alias("bin"), "token", "i", "j", "tile").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    binned = lambda df, *key: F.pmod(F.xxhash64(*key), F.lit(max(least, df.count() // BIN_ROWS))).cast("int").alias("bin")
+    # First only histograms of the sets: what passes the suffix filter goes on.
+    sketched = cells.join(classes.select("_cid", "_hist"), "_cid").withColumn("bin", binned(cells, "token", "i", "j"))
+    cells = materialize(sketched.groupBy("bin").applyInPandas(_suffix_filter(percent), "_cid long, token long, i int, j int, tile int, sub int"), "jaccard-cells")
+    placed = cells.select("_cid", F.struct(binned(cells, "token", "i", "j", "sub"), "token", "i", "j", "tile", "sub").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
     reps = classes.select("_cid", F.col("_rep._id").alias("_rid"), F.col("_rep._th").alias("_rth"))
     placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
-    texts = rows.join(small_or_shuffled(placed, "40 + 24 * size(_cells)"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
-    whole = texts.mapInArrow(Sets(order), "bin int, token long, i int, j int, tile int, cid long, set binary")
+    texts = rows.join(small_or_shuffled(placed, "40 + 28 * size(_cells)"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
+    whole = texts.mapInArrow(Sets(order), "bin int, token long, i int, j int, tile int, sub int, cid long, set binary")
     links = materialize(whole.groupBy("bin").applyInPandas(_cells(order), "a long, b long"), "jaccard-links")
-    return scanned.drop("_prefix"), links
+    return scanned.drop("_prefix", "_hist"), links
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
