@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +59,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a worker holds stays small; an empty batch stays one."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All integers of [start, start+length) for each pair, concatenated."""
     lengths = np.asarray(lengths, np.int64)
@@ -68,11 +76,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(np.asarray(starts, np.int64), lengths)
 
 
-#: Bytes up to which a checked side is broadcast; larger sides are shuffled.
-BROADCAST_BYTES = 24 << 20
+#: Bits of a membership filter: its table is 4 MB at most, whatever the number of keys.
+FILTER_BITS = 1 << 25
 
 
-def small_or_shuffled(df: DataFrame, row_bytes: str) -> DataFrame:
-    """``df`` with a broadcast hint if its rows, sized by the SQL expression, fit in BROADCAST_BYTES; without one beyond."""
-    size = df.selectExpr(f"sum(cast({row_bytes} as long)) AS s").first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, member: Column, name: str = "_maybe") -> DataFrame:
+    """``rows`` plus a boolean: false only where ``key`` is not among the ``member`` values of ``keys``.
+
+    A bitmap of hashed keys of fixed size is broadcast, so rows that can't match needn't
+    be shuffled for a join.  With many more keys than bits it lets everything through,
+    which costs the shuffle and never a match.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(FILTER_BITS)) + 1
+    maps = keys.select(bit(member).alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
+    place = F.bitmap_bit_position(bit(key))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(_byte, cast(_place % 8 as int)) & 1") == 1
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit(key)) == F.col("_bucket"), "left").withColumns({"_byte": F.coalesce(byte, F.lit(0)), "_place": place})
+    return joined.withColumn(name, held).drop("_bucket", "_bits", "_byte", "_place")

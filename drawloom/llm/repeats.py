@@ -5,7 +5,8 @@ hash (anchor) at both, at the same distance.  The windows around an anchor are t
 blocks of BLOCK starts; all windows of a block share a core of length - BLOCK + 1
 bytes.  The hash of the core is the key of a shard: cores that stand at one place only
 can't lie in a repeat and go no further.  The others send the bytes left and right of
-the core (the wings).
+the core (the wings), unless all places of a core have the same wings: their windows
+all repeat.
 
 In a shard the wings on the right are sorted, and the transform is extended backwards
 over the wings on the left, breadth first: step d takes the column of characters d
@@ -30,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_shuffled, texts_of
+from .common import flagged, materialize, pieces, texts_of
 
 #: Windows of a block.
-BLOCK = 128
+BLOCK = 192
 #: Bytes of an anchor.
 GRAM = 16
 #: Different items beyond which a shard is cut.
@@ -83,33 +84,48 @@ def blocks(raw: bytes, length: int, block: int = BLOCK) -> np.ndarray:
     return np.unique(key[new])
 
 
+def signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def wings_of(raw: bytes, place: int, size: int, wing: int) -> tuple[int, int, bytes, bytes]:
+    """Hashes of a core and of core and wings together (both signed), and the wings."""
+    core = xxhash.xxh3_64_intdigest(raw[place : place + size])
+    left, right = raw[max(0, place - wing) : place], raw[place + size : place + size + wing]
+    return signed(core), signed(xxhash.xxh3_64_intdigest(len(left).to_bytes(2, "little") + left + right, core)), left, right
+
+
 class Cores:
-    """(core, key, n, place) of each block of each different text of a task."""
+    """(core, item, key, n, place) of each block of each different text of a task."""
 
     def __init__(self, length: int, block: int) -> None:
         self.length, self.block = length, block
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        size = self.length - self.block + 1
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            parts = []
+        size, wing = self.length - self.block + 1, self.block - 1
+        kind = pa.schema([("_core", pa.int64()), ("_item", pa.int64()), ("_key", pa.int64()), ("_n", pa.int32()), ("_place", pa.int32())])
+        for batch in pieces(batches):
+            core, item, keys, sizes, places = [], [], [], [], []
             for text, key in zip(texts_of(batch, "_text"), batch.column(batch.schema.get_field_index("_key")).to_pylist()):
                 if key in seen:
                     continue
                 seen.add(key)
                 raw = text.encode("utf-8", "surrogatepass")
-                places = blocks(raw, self.length, self.block)
-                if len(places):
-                    core = np.fromiter((digest(raw[p : p + size]) for p in places.tolist()), _U, len(places))
-                    parts.append((core.view(np.int64), np.full(len(places), key), np.full(len(places), len(raw)), places))
-            columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
-            yield pa.record_batch([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], names=["_core", "_key", "_n", "_place"])
+                own = blocks(raw, self.length, self.block)
+                for p in own.tolist():
+                    c, i, _, _ = wings_of(raw, p, size, wing)
+                    core.append(c)
+                    item.append(i)
+                keys.append(np.full(len(own), key, np.int64))
+                sizes.append(np.full(len(own), len(raw), np.int32))
+                places.append(own.astype(np.int32))
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, sizes, places)]
+            yield pa.record_batch([pa.array(v, f.type) for v, f in zip((core, item, *flat), kind)], schema=kind)
 
 
 class Wings:
-    """The wings of the wanted cores of each different text of a task."""
+    """(core, item, left, right) of the wanted places of each different text of a task."""
 
     def __init__(self, length: int, block: int) -> None:
         self.length, self.block = length, block
@@ -117,9 +133,9 @@ class Wings:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         size, wing = self.length - self.block + 1, self.block - 1
-        kind = pa.schema([("_core", pa.int64()), ("_item", pa.int64()), ("_left", pa.binary()), ("_right", pa.binary()), ("_key", pa.int64()), ("_n", pa.int32()), ("_place", pa.int32())])
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
+        kind = pa.schema([("_core", pa.int64()), ("_item", pa.int64()), ("_left", pa.binary()), ("_right", pa.binary())])
+        for batch in pieces(batches):
+            rows: tuple[list, ...] = ([], [], [], [])
             names = batch.schema.names
             for text, key, places in zip(texts_of(batch, "_text"), batch.column(names.index("_key")).to_pylist(), batch.column(names.index("_places")).to_pylist()):
                 if key in seen or not places:
@@ -127,10 +143,7 @@ class Wings:
                 seen.add(key)
                 raw = text.encode("utf-8", "surrogatepass")
                 for p in places:
-                    left, right = raw[max(0, p - wing) : p], raw[p + size : p + size + wing]
-                    core = xxhash.xxh3_64_intdigest(raw[p : p + size])
-                    item = xxhash.xxh3_64_intdigest(len(left).to_bytes(2, "little") + left + right, core)
-                    for values, v in zip(rows, (core - (core >> 63 << 64), item - (item >> 63 << 64), left, right, key, len(raw), p)):
+                    for values, v in zip(rows, wings_of(raw, p, size, wing)):
                         values.append(v)
             yield pa.record_batch([pa.array(v, f.type) for v, f in zip(rows, kind)], schema=kind)
 
@@ -237,31 +250,36 @@ class Shards:
 def repeated_spans(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """(_key, _n, _spans): for each different text the spans of repeated windows as array<struct<a, b>>; rows: (_key, _text)."""
     wing, size = block - 1, length - block + 1
-    cores = rows.mapInArrow(Cores(length, block), "_core long, _key long, _n int, _place int")
-    place = F.struct("_key", "_n", "_place")
-    # Both branches read this table: places by core, each once.
-    cores = materialize(cores, "repeat-cores")
-    several = cores.groupBy("_core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("_core")
-    wanted = cores.join(several, "_core", "left_semi").groupBy("_key", "_n").agg(F.collect_set("_place").alias("_places"))
-    wanted = materialize(wanted.select(F.col("_key").alias("_k"), F.col("_n").alias("_kn"), "_places"), "repeat-places")
-    texts = rows.join(small_or_shuffled(wanted, "32 + 4 * size(_places)"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn"))).select("_key", "_text", "_places")
-    wings = materialize(texts.mapInArrow(Wings(length, block), "_core long, _item long, _left binary, _right binary, _key long, _n int, _place int"), "repeat-wings")
-    # Equal items are one row with the number of their places (2 stands for more; a text that several tasks read counts once).
-    items = wings.groupBy("_core", "_item").agg(F.first("_left").alias("_left"), F.first("_right").alias("_right"), F.min(place).alias("a"), F.max(place).alias("b"))
-    items = materialize(items.select("_core", "_item", "_left", "_right", F.when(F.col("a") != F.col("b"), 2).otherwise(1).cast("int").alias("_many")), "repeat-items")
-    hot = materialize(items.groupBy("_core").count().filter(F.col("count") > HOT).select("_core"), "repeat-hot")
-    plain = items.join(small_or_shuffled(hot, "16"), "_core", "left_anti")
+    cores = materialize(rows.mapInArrow(Cores(length, block), "_core long, _item long, _key long, _n int, _place int"), "repeat-cores")
+    # A place is told by its hash; equal texts are one, so a core of one place has one hash however often it was read.
+    place = F.xxhash64("_key", "_n", "_place")
+    several = materialize(cores.groupBy("_core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("_core"), "repeat-several")
+    wanted = cores.join(several.hint("merge"), "_core", "left_semi").groupBy("_core", "_item", "_key", "_n", "_place").agg(F.lit(1).alias("_one")).drop("_one")
+    wanted = materialize(wanted, "repeat-wanted")
+    # Items: different surroundings of a core, each with whether it stands at several places.
+    items = materialize(wanted.groupBy("_core", "_item").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("_key", "_n", "_place")).alias("_at")), "repeat-items")
+    kinds = materialize(items.groupBy("_core").agg(F.count(F.lit(1)).alias("_kinds")).filter("_kinds > 1"), "repeat-kinds")
+    mixed = items.join(kinds.hint("merge"), "_core")
+    places = materialize(mixed.groupBy(F.col("_at._key").alias("_k"), F.col("_at._n").alias("_kn")).agg(F.collect_set("_at._place").alias("_places")), "repeat-places")
+    near = flagged(rows, F.col("_key"), places, F.col("_k")).filter("_maybe")
+    texts = near.join(places.hint("merge"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn"))).select("_key", "_text", "_places")
+    wings = texts.mapInArrow(Wings(length, block), "_core long, _item long, _left binary, _right binary").dropDuplicates(["_core", "_item"])
+    wings = materialize(wings.join(mixed.select("_core", "_item", F.least("_many", F.lit(2)).cast("int").alias("_many"), "_kinds").hint("merge"), ["_core", "_item"]), "repeat-wings")
+    plain = wings.filter(F.col("_kinds") <= HOT)
     found = plain.repartition("_core").sortWithinPartitions("_core").mapInArrow(Shards(block), "_core long, _item long, _first int, _last int")
     # Hot cores: a shard for each window, whose wings are empty, so its items are equal and only counted.
-    window = F.struct((F.lit(wing) - F.col("_w")).alias("l"), F.col("_w").alias("r"))
     fits = (F.octet_length("_left") >= F.lit(wing) - F.col("_w")) & (F.octet_length("_right") >= F.col("_w"))
-    cut = items.join(small_or_shuffled(hot, "16"), "_core", "left_semi").withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(wing)))).filter(fits)
+    cut = wings.filter(F.col("_kinds") > HOT).withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(wing)))).filter(fits)
     cut = cut.withColumns({"_l": F.expr(f"right(_left, {wing} - _w)"), "_r": F.expr("substring(_right, 1, _w)")}).select("_core", "_item", "_w", "_many", F.xxhash64("_core", "_w", "_l", F.lit(1), "_r").alias("_window"))
-    twice = cut.groupBy("_core", "_w", "_window").agg(F.min(F.struct("_item")).alias("a"), F.max(F.struct("_item")).alias("b"), F.max("_many").alias("m")).filter("a <> b or m > 1").select("_core", "_w", "_window")
-    each = cut.join(twice, ["_core", "_w", "_window"], "left_semi").select("_core", "_item", F.col("_w").cast("int").alias("_first"), F.col("_w").cast("int").alias("_last"))
-    found = found.union(each)
-    begin = F.col("_place") - wing
-    spans = wings.select("_core", "_item", "_key", "_n", "_place").join(found, ["_core", "_item"]).select("_key", "_n", (begin + F.col("_first")).alias("a"), (begin + F.col("_last") + length).alias("b"))
+    twice = materialize(cut.groupBy("_core", "_w", "_window").agg(F.min("_item").alias("a"), F.max("_item").alias("b"), F.max("_many").alias("m")).filter("a <> b or m > 1").select("_core", "_w", "_window"), "repeat-hot")
+    # Windows of an item overlap as they are longer than a block: the first and the last one give the span.
+    each = cut.join(twice.hint("merge"), ["_core", "_w", "_window"], "left_semi").groupBy("_core", "_item").agg(F.min("_w").cast("int").alias("_first"), F.max("_w").cast("int").alias("_last"))
+    alike = items.join(kinds.select("_core").hint("merge"), "_core", "left_anti").select("_core", "_item", F.lit(0).alias("_first"), F.lit(wing).alias("_last"))
+    found = materialize(found.union(each).union(alike), "repeat-found")
+    # A window can't begin before the text or end behind it.
+    begin = F.greatest(F.lit(0), F.col("_place") - wing + F.col("_first"))
+    end = F.least(F.col("_n"), F.col("_place") - wing + F.col("_last") + length)
+    spans = wanted.join(found.hint("merge"), ["_core", "_item"]).select("_key", "_n", begin.alias("a"), end.alias("b"))
     return spans.groupBy("_key", "_n").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
 
 
@@ -282,7 +300,7 @@ class Removed:
         self.length, self.keep_bytes = length, keep_bytes
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names = batch.schema.names
             rows: tuple[list, ...] = ([], [], [], [], [])
             for text, spans, copied in zip(texts_of(batch, "_text"), batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_copied")).to_pylist()):
@@ -314,7 +332,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     spans = repeated_spans(rows.select("_key", "_text").filter(F.octet_length("_text") >= length), length, block)
     sizes = rows.filter(F.octet_length("_text") >= length).groupBy("_key", F.octet_length("_text").alias("_n")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_key", "_n", F.lit(True).alias("_copied"))
     known = materialize(spans.join(sizes, ["_key", "_n"], "full").select(F.col("_key").alias("_k"), F.col("_n").alias("_kn"), "_spans", "_copied"), "repeat-spans")
-    joined = rows.join(small_or_shuffled(known, "32 + 8 * coalesce(size(_spans), 0)"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn")), "left").select("_id", "_text", "_spans", F.coalesce("_copied", F.lit(False)).alias("_copied"))
+    split = flagged(rows, F.col("_key"), known, F.col("_k"))
+    # Texts that can't have a span aren't shuffled.
+    far = split.filter("not _maybe").select("_id", "_text", F.lit(None).cast(known.schema["_spans"].dataType).alias("_spans"), F.lit(False).alias("_copied"))
+    near = split.filter("_maybe").join(known.hint("merge"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn")), "left").select("_id", "_text", "_spans", F.coalesce("_copied", F.lit(False)).alias("_copied"))
     kind = rows.schema["_id"].dataType.simpleString()
-    out = joined.mapInArrow(Removed(length, keep_bytes), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = near.union(far).mapInArrow(Removed(length, keep_bytes), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("_id", id_col)
