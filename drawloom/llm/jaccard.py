@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranges, small_or_shuffled, texts_of
+from .common import flagged, materialize, pieces, ranges, texts_of
 from .components import components
 from .shingles import common, identity, sets
 
@@ -31,7 +31,7 @@ FREQUENT = 1 << 19
 #: Classes of a tile.
 TILE = 256
 #: Shingles a task counts at once; beyond, those seen once are forgotten and counted anew.
-COUNTED = 8_000_000
+COUNTED = 2_000_000
 #: Rows of a bin of cells, about.
 BIN_ROWS = 1500
 
@@ -44,7 +44,7 @@ class Counter:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for own in sets(texts_of(batch, "_text"), self.k):
                 waiting.append(own)
                 size += len(own)
@@ -89,7 +89,7 @@ class Prefixes:
         self.order = order
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = sets(texts_of(batch, "_text"), self.order.k)
             prefixes = [self.order.ordered(x)[: self.order.prefix(len(x))].view(np.int64) for x in found]
             kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != "_text"]
@@ -220,7 +220,7 @@ class Sets:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("bin", pa.int32()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("sub", pa.int32()), ("cid", pa.int64()), ("set", pa.binary())])
-        for batch in batches:
+        for batch in pieces(batches, 200):
             cells, wanted = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cells", "_cid"))
             rows: list[dict] = []
             size = 0
@@ -355,7 +355,8 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     placed = cells.select("_cid", F.struct(binned(cells, "token", "i", "j", "sub"), "token", "i", "j", "tile", "sub").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
     reps = classes.select("_cid", F.col("_rep._id").alias("_rid"), F.col("_rep._th").alias("_rth"))
     placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
-    texts = rows.join(small_or_shuffled(placed, "40 + 28 * size(_cells)"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
+    near = flagged(rows, F.col("_th"), placed, F.col("_rth")).filter("_maybe")
+    texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
     whole = texts.mapInArrow(Sets(order), "bin int, token long, i int, j int, tile int, sub int, cid long, set binary")
     links = materialize(whole.groupBy("bin").applyInPandas(_cells(order), "a long, b long"), "jaccard-links")
     return scanned.drop("_prefix", "_hist"), links
@@ -395,11 +396,14 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     each = members.filter("_n > 0").groupBy("_id", "_th", "_cid").agg(F.count(F.lit(1)).alias("_copies"))
     judged = materialize(each.join(chosen, F.col("_cid") == F.col("_c2")).select("_id", "_th", "_copies", (F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_th") == F.col("_best._th"))).alias("_stays")), "jaccard-judged")
     gone = judged.filter("not _stays").select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th"))
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rest = docs.join(small_or_shuffled(gone, "32"), F.col("doc_id").eqNullSafe(F.col("_gone")) & (text == F.col("_gone_th")), "left_anti")
-    twice = judged.filter("_stays and _copies > 1").select(F.col("_id").alias("_twice"), F.col("_th").alias("_twice_th"))
-    if twice.isEmpty():
-        return rest
-    again = F.col("doc_id").eqNullSafe(F.col("_twice")) & (text == F.col("_twice_th"))
-    once = rest.join(small_or_shuffled(twice, "32"), again, "left_semi").withColumn("_th", text).dropDuplicates(["doc_id", "_th"]).drop("_th")
-    return rest.join(small_or_shuffled(twice, "32"), again, "left_anti").unionByName(once)
+    twice = judged.filter("_stays and _copies > 1").select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th"))
+    hashed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_gone_th"))
+    # Only texts that may be among those that go are shuffled for the join.
+    split = flagged(hashed, F.col("_th"), gone.union(twice), F.col("_gone_th"))
+    near = split.filter("_maybe").drop("_maybe")
+    rest = near.join(gone.hint("merge"), same, "left_anti")
+    if not twice.isEmpty():
+        once = rest.join(twice.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_th"])
+        rest = rest.join(twice.hint("merge"), same, "left_anti").unionByName(once)
+    return split.filter("not _maybe").drop("_maybe").unionByName(rest).select(*docs.columns)

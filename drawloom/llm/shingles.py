@@ -20,7 +20,7 @@ BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Bytes of text that are hashed in one piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class _Powers:
