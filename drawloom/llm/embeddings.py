@@ -58,20 +58,49 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, steps: tuple[int
     return i, j, part
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of pairs that connect all that the pairs connect, without a circle."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            up[rx] = ry
+            out.append(k)
+    return out
+
+
 def _tile_pairs(threshold: float):
-    """(a, b, near) of the linked classes of each pair of tiles; near: too close to the threshold for rotated coordinates."""
+    """What a pair of tiles adds: rows (a, null, n) with the vectors that class a links with, (a, b) of a spanning forest, and (a, b, near).
+
+    near: pairs too close to the threshold for rotated coordinates, linked or not.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "near": np.zeros(0, bool)})]
-            for ids, pca, ids2, pca2, same in zip(pdf["ids"], pdf["pca"], pdf["ids2"], pdf["pca2"], pdf["same"]):
+            found = [pd.DataFrame({"a": pd.Series(dtype="Int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64"), "near": pd.Series(dtype="bool")})]
+            for ids, ns, pca, ids2, ns2, pca2, same in zip(pdf["ids"], pdf["ns"], pdf["pca"], pdf["ids2"], pdf["ns2"], pdf["pca2"], pdf["same"]):
+                ids, ns, ids2, ns2 = (np.asarray(v, np.int64) for v in (ids, ns, ids2, ns2))
                 x, y = (np.frombuffer(b"".join(b), np.float64).reshape(len(k), -1) for b, k in ((pca, ids), (pca2, ids2)))
                 i, j, cosine = close_pairs(x, y, threshold)
-                keep = cosine >= threshold - SLACK
                 if same:
-                    keep &= i < j
-                found.append(pd.DataFrame({"a": np.asarray(ids)[i[keep]], "b": np.asarray(ids2)[j[keep]], "near": np.abs(cosine[keep] - threshold) <= SLACK}))
-            yield pd.concat(found)
+                    i, j, cosine = i[i < j], j[i < j], cosine[i < j]
+                near = np.abs(cosine - threshold) <= SLACK
+                sure = ~near & (cosine >= threshold)
+                found.append(pd.DataFrame({"a": ids[i[near]], "b": ids2[j[near]], "n": pd.NA, "near": True}))
+                i, j = i[sure], j[sure]
+                for own, at, other, weight in ((ids, i, j, ns2), (ids2, j, i, ns)):
+                    sums = np.bincount(at, weight[other], len(own)).astype(np.int64)
+                    found.append(pd.DataFrame({"a": own[sums > 0], "b": pd.NA, "n": sums[sums > 0], "near": False}))
+                kept = forest(ids[i], ids2[j])
+                found.append(pd.DataFrame({"a": ids[i[kept]], "b": ids2[j[kept]], "n": pd.NA, "near": False}))
+            yield pd.concat([f.astype({"a": "Int64", "b": "Int64", "n": "Int64", "near": "bool"}) for f in found])
 
     return compare
 
@@ -115,8 +144,8 @@ def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, own in pdf.groupby(["_label", "_dims"]):
             x = np.frombuffer(b"".join(own["_u"]), np.float64).reshape(len(own), -1)
             p = x @ np.frombuffer(own["_axes"].iloc[0], np.float64).reshape(x.shape[1], -1)
-            parts.append(own[["_class", "_label", "_dims"]].assign(_p=[r.tobytes() for r in p], _first=p[:, 0]))
-        yield pd.concat(parts) if parts else pd.DataFrame(columns=["_class", "_label", "_dims", "_p", "_first"])
+            parts.append(own[["_class", "_n", "_label", "_dims"]].assign(_p=[r.tobytes() for r in p], _first=p[:, 0]))
+        yield pd.concat(parts) if parts else pd.DataFrame(columns=["_class", "_n", "_label", "_dims", "_p", "_first"])
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
@@ -143,26 +172,27 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
             yield pd.DataFrame({"_label": pdf["_label"], "_dims": pdf["_dims"], "_axes": [np.ascontiguousarray(axes(np.array([c["s"] for c in m]).reshape(d, d))).tobytes() for m, d in zip(pdf["m"], pdf["_dims"])]})
 
     bases = materialize(moments.mapInPandas(to_axes, "_label string, _dims int, _axes binary"), "vector-axes")
-    projected = materialize(classes.join(bases, ["_label", "_dims"]).select("_class", "_label", "_dims", "_u", "_axes").mapInPandas(_project, "_class long, _label string, _dims int, _p binary, _first double"), "vector-projections")
+    projected = materialize(classes.join(bases, ["_label", "_dims"]).select("_class", "_n", "_label", "_dims", "_u", "_axes").mapInPandas(_project, "_class long, _n long, _label string, _dims int, _p binary, _first double"), "vector-projections")
     # Tiles: runs of about ``tile`` classes of a label along its first axis, by exact quantile buckets of a range partitioning.
     dealt = projected.repartitionByRange(F.col("_label"), F.col("_dims"), F.col("_first"), F.col("_class")).sortWithinPartitions("_label", "_dims", "_first", "_class").withColumn("_at", F.monotonically_increasing_id())
     dealt = dealt.withColumn("_tile", F.expr(f"_at div {tile}"))
-    tiles = dealt.groupBy("_label", "_dims", "_tile").agg(F.sort_array(F.collect_list(F.struct("_class", "_p"))).alias("c"), F.min("_first").alias("lo"), F.max("_first").alias("hi"))
-    tiles = materialize(tiles.select("_label", "_dims", "_tile", "lo", "hi", F.col("c._class").alias("ids"), F.col("c._p").alias("pca")), "vector-tiles")
+    tiles = dealt.groupBy("_label", "_dims", "_tile").agg(F.sort_array(F.collect_list(F.struct("_class", "_n", "_p"))).alias("c"), F.min("_first").alias("lo"), F.max("_first").alias("hi"))
+    tiles = materialize(tiles.select("_label", "_dims", "_tile", "lo", "hi", F.col("c._class").alias("ids"), F.col("c._n").alias("ns"), F.col("c._p").alias("pca")), "vector-tiles")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     one = tiles.select("_label", "_dims", F.col("_tile").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     two = tiles.select("_label", "_dims", F.col("_tile").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     near = one.join(two, ["_label", "_dims"]).filter((F.col("t1") <= F.col("t2")) & (F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach)).select("_label", "_dims", "t1", "t2")
-    first = tiles.select("_label", "_dims", F.col("_tile").alias("t1"), "ids", "pca")
-    second = tiles.select("_label", "_dims", F.col("_tile").alias("t2"), *(F.col(c).alias(f"{c}2") for c in ("ids", "pca")))
+    first = tiles.select("_label", "_dims", F.col("_tile").alias("t1"), "ids", "ns", "pca")
+    second = tiles.select("_label", "_dims", F.col("_tile").alias("t2"), *(F.col(c).alias(f"{c}2") for c in ("ids", "ns", "pca")))
     work = near.join(first, ["_label", "_dims", "t1"]).join(second, ["_label", "_dims", "t2"]).withColumn("same", F.col("t1") == F.col("t2"))
-    found = materialize(work.select("ids", "pca", "ids2", "pca2", "same").mapInPandas(_tile_pairs(threshold), "a long, b long, near boolean"), "vector-pairs")
+    found = materialize(work.select("ids", "ns", "pca", "ids2", "ns2", "pca2", "same").mapInPandas(_tile_pairs(threshold), "a long, b long, n long, near boolean"), "vector-pairs")
     raw = classes.select("_class", "_u")
     border = found.filter("near").join(raw.select(F.col("_class").alias("a"), F.col("_u").alias("u")), "a").join(raw.select(F.col("_class").alias("b"), F.col("_u").alias("v")), "b")
-    pairs = found.filter("not near").select("a", "b").union(border.select("a", "b", "u", "v").mapInPandas(_verify(threshold), "a long, b long"))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = classes.select(F.col("_class").alias("b"), "_n")
-    links = both.join(counts, "b").groupBy(F.col("a").alias("_class")).agg(F.sum("_n").alias("_others"))
+    verified = materialize(border.select("a", "b", "u", "v").mapInPandas(_verify(threshold), "a long, b long"), "vector-border")
+    pairs = found.filter("not near and b is not null").select("a", "b").union(verified)
+    both = verified.union(verified.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = found.filter("b is null").select("a", "n").union(both.join(classes.select(F.col("_class").alias("b"), F.col("_n").alias("n")), "b").select("a", "n"))
+    links = counted.groupBy(F.col("a").alias("_class")).agg(F.sum("n").alias("_others"))
     joined = components(pairs).withColumnRenamed("node", "_class")
     least = joined.join(classes.select("_class", "_least"), "_class").groupBy("component").agg(F.min("_least").alias("_lowest"))
     judged = classes.join(links, "_class", "left").join(joined.join(least, "component"), "_class", "left").select("_label", "_dims", "_u", (F.col("_n") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"), F.coalesce("_lowest", "_least").alias("component_id"))
