@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, materialize, ranges
+from .common import WORD_TABLE, arrow_map, materialize, ranges
 
 #: Most bytes of benchmark text sent to the executors at once; larger benchmarks go in several blocks.
 BLOCK_BYTES = 32 << 20
@@ -163,7 +163,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, window: int = 10,
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
     for b in range(blocks):
         rows = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toLocalIterator()]
-        out = out.mapInArrow(Marker(rows, window, text_col), schema)
+        out = arrow_map(out, Marker(rows, window, text_col), schema)
         if b + 1 < blocks:
             out = materialize(out, f"decontaminate-{b}")
     return out

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, materialize, pieces, ranges, texts_of
+from .common import arrow_map, flagged, materialize, pieces, ranges, texts_of
 from .components import components
 from .shingles import common, identity, sets
 
 #: Most frequent shingles whose frequency the order knows.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 17
 #: Classes of a tile.
 TILE = 256
 #: Shingles a task counts at once; beyond, those seen once are forgotten and counted anew.
@@ -318,7 +318,7 @@ def _cells(order: Order):
 
 def frequent_shingles(rows: DataFrame, k: int, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The ``size`` most frequent shingles over all texts, sorted by hash, with their counts: a bounded table."""
-    counted = rows.select("_text").mapInArrow(Counter(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 3")
+    counted = arrow_map(rows.select("_text"), Counter(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 3")
     got = counted.orderBy(F.col("n").desc(), "h").limit(size).toPandas()
     h = got["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -335,10 +335,10 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     order = Order(*frequent_shingles(rows, k), k, percent)
-    scanned = materialize(rows.mapInArrow(Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>, _hist binary"), "jaccard-prefixes")
+    scanned = materialize(arrow_map(rows, Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>, _hist binary"), "jaccard-prefixes")
     classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_hist").alias("_hist"))
     index = classes.select("_cid", "_n", F.posexplode("_prefix").alias("_place", "_token")).select("_token", "_cid", F.col("_n").cast("int"), "_place")
-    shared = index.repartition("_token").sortWithinPartitions("_token").mapInArrow(Viable(percent), "_token long, _cid long, _n int, _place int, _df long").filter("_df > 1")
+    shared = arrow_map(index.repartition("_token").sortWithinPartitions("_token"), Viable(percent), "_token long, _cid long, _n int, _place int, _df long").filter("_df > 1")
     shared = materialize(shared, "jaccard-index")
     home = shared.groupBy("_cid").agg(F.max(F.struct("_df", "_token")).alias("_home")).select("_cid", F.col("_home._token").alias("_home"))
     homed = shared.join(home, "_cid")
@@ -357,7 +357,7 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
     near = flagged(rows, F.col("_th"), placed, F.col("_rth")).filter("_maybe")
     texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
-    whole = texts.mapInArrow(Sets(order), "bin int, token long, i int, j int, tile int, sub int, cid long, set binary")
+    whole = arrow_map(texts, Sets(order), "bin int, token long, i int, j int, tile int, sub int, cid long, set binary")
     links = materialize(whole.groupBy("bin").applyInPandas(_cells(order), "a long, b long"), "jaccard-links")
     return scanned.drop("_prefix", "_hist"), links
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 from .labelled import sample
 
 FEATURES = (
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "qua
     """
     rows = sample(docs, labels, label, held, max_rows)
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.select("_id", "_y", "_text").mapInArrow(_statistics_batches, f"_id {kind}, _y int, x array<double>").toPandas()
+    got = arrow_map(rows.select("_id", "_y", "_text"), _statistics_batches, f"_id {kind}, _y int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     y = got["_y"].to_numpy(float)
     order = np.lexsort((*x.T, y, got["_id"].to_numpy()))
@@ -183,4 +183,4 @@ def score(docs: DataFrame, model: Trees, *, id_col: str = "doc_id", text_col: st
     """(id, score) of every document, whole texts; null and empty texts are scored too, repeated rows each; no shuffle."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(Scorer(model), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return arrow_map(rows, Scorer(model), f"_id {kind}, score double").withColumnRenamed("_id", id_col)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, materialize, pieces, texts_of
+from .common import arrow_map, flagged, materialize, pieces, texts_of
 
 #: Windows of a block.
 BLOCK = 192
@@ -250,7 +250,7 @@ class Shards:
 def repeated_spans(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """(_key, _n, _spans): for each different text the spans of repeated windows as array<struct<a, b>>; rows: (_key, _text)."""
     wing, size = block - 1, length - block + 1
-    cores = materialize(rows.mapInArrow(Cores(length, block), "_core long, _item long, _key long, _n int, _place int"), "repeat-cores")
+    cores = materialize(arrow_map(rows, Cores(length, block), "_core long, _item long, _key long, _n int, _place int"), "repeat-cores")
     # A place is told by its hash; equal texts are one, so a core of one place has one hash however often it was read.
     place = F.xxhash64("_key", "_n", "_place")
     several = materialize(cores.groupBy("_core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("_core"), "repeat-several")
@@ -263,10 +263,10 @@ def repeated_spans(rows: DataFrame, length: int, block: int = BLOCK) -> DataFram
     places = materialize(mixed.groupBy(F.col("_at._key").alias("_k"), F.col("_at._n").alias("_kn")).agg(F.collect_set("_at._place").alias("_places")), "repeat-places")
     near = flagged(rows, F.col("_key"), places, F.col("_k")).filter("_maybe")
     texts = near.join(places.hint("merge"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn"))).select("_key", "_text", "_places")
-    wings = texts.mapInArrow(Wings(length, block), "_core long, _item long, _left binary, _right binary").dropDuplicates(["_core", "_item"])
+    wings = arrow_map(texts, Wings(length, block), "_core long, _item long, _left binary, _right binary").dropDuplicates(["_core", "_item"])
     wings = materialize(wings.join(mixed.select("_core", "_item", F.least("_many", F.lit(2)).cast("int").alias("_many"), "_kinds").hint("merge"), ["_core", "_item"]), "repeat-wings")
     plain = wings.filter(F.col("_kinds") <= HOT)
-    found = plain.repartition("_core").sortWithinPartitions("_core").mapInArrow(Shards(block), "_core long, _item long, _first int, _last int")
+    found = arrow_map(plain.repartition("_core").sortWithinPartitions("_core"), Shards(block), "_core long, _item long, _first int, _last int")
     # Hot cores: a shard for each window, whose wings are empty, so its items are equal and only counted.
     fits = (F.octet_length("_left") >= F.lit(wing) - F.col("_w")) & (F.octet_length("_right") >= F.col("_w"))
     cut = wings.filter(F.col("_kinds") > HOT).withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(wing)))).filter(fits)
@@ -337,5 +337,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     far = split.filter("not _maybe").select("_id", "_text", F.lit(None).cast(known.schema["_spans"].dataType).alias("_spans"), F.lit(False).alias("_copied"))
     near = split.filter("_maybe").join(known.hint("merge"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn")), "left").select("_id", "_text", "_spans", F.coalesce("_copied", F.lit(False)).alias("_copied"))
     kind = rows.schema["_id"].dataType.simpleString()
-    out = near.union(far).mapInArrow(Removed(length, keep_bytes), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = arrow_map(near.union(far), Removed(length, keep_bytes), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("_id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of
+from .common import arrow_map, materialize, texts_of
 
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     owner, repo = (F.col(x) if isinstance(x, str) else x for x in (owner, repo))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(owner.cast("string"), F.lit("\0")).alias("_owner"), F.coalesce(repo.cast("string"), F.lit("\0")).alias("_repo"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    scanned = materialize(rows.mapInArrow(scan_batches, f"_id {kind}, _owner string, _repo string, _key binary, n_assign long, n_access long, n_hex long, base_sha256 string, _found array<{SPAN}>"), "secrets")
+    scanned = materialize(arrow_map(rows, scan_batches, f"_id {kind}, _owner string, _repo string, _key binary, n_assign long, n_access long, n_hex long, base_sha256 string, _found array<{SPAN}>"), "secrets")
     held = scanned.filter(F.size("_found") > 0)
     each = held.select("_owner", "_repo", "_key", F.explode("_found").alias("_f")).withColumn("_h", F.col("_f.h"))
     counted = ownership(each.select("_h", "_owner", "_repo"))

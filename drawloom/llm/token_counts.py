@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 
 #: Default vocabulary: a tiktoken rank file; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,7 +44,7 @@ def encoded_lengths(docs: DataFrame, *, keep: list[str] | None = None, text_col:
     """
     keep = [c for c in keep or [] if c not in ("n_tokens", text_col)]
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] if keep else []
-    return docs.select(*keep, text_col).mapInArrow(Encoder(vocabulary, pattern, text_col), ", ".join([*schema, "n_tokens long"]))
+    return arrow_map(docs.select(*keep, text_col), Encoder(vocabulary, pattern, text_col), ", ".join([*schema, "n_tokens long"]))
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

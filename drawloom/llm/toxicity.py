@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, texts_of
+from .common import WORD_TABLE, arrow_map, texts_of
 from .labelled import sample
 
 # Identity terms, in groups whose terms are swapped round.
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "tox
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     names: list[bytes] = []
     if toxic and clean:
-        count = lambda df, wanted: df.mapInArrow(_Counts(wanted), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        count = lambda df, wanted: arrow_map(df, _Counts(wanted), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
         seen = count(rows.filter("_y = 1"), None).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(MAX_CANDIDATES).collect()
         in_toxic = {bytes(r.f): r.n for r in seen}
         terms = {b"=" + t for t in SWAP}
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "tox
         ranked = sorted(((surely(f), f) for f in in_toxic), key=lambda x: (-x[0], x[1]))
         names = sorted({f for z, f in ranked[:max_features] if z > 2} | {t for t in terms if t in in_toxic or t in in_clean})
     kind = rows.schema["_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(_Rows(names), f"_id {kind}, _y int, own array<int>, swap array<int>").collect(), key=lambda r: (str(r._id), r.own))
+    got = sorted(arrow_map(rows, _Rows(names), f"_id {kind}, _y int, own array<int>, swap array<int>").collect(), key=lambda r: (str(r._id), r.own))
     own = [np.array(r.own, int) for r in got]
     swapped = {i: np.array(r.swap, int) for i, r in enumerate(got) if r.swap is not None}
     w, bias = fit(own, swapped, np.array([r._y for r in got], float), len(names), counterfactual=counterfactual)
@@ -181,11 +181,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """(id, score) of every document, whole texts; null and empty texts have the score of the bias, repeated rows each; no shuffle."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(Scorer(model, "_text", "score", True), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return arrow_map(rows, Scorer(model, "_text", "score", True), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
 def remove_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more; same columns, no shuffle."""
     columns = [c for c in docs.columns if c != "_score"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), "_score double"])
-    return docs.select(*columns).mapInArrow(Scorer(model, "text", "_score", False), schema).filter(F.col("_score") < threshold).select(*columns)
+    return arrow_map(docs.select(*columns), Scorer(model, "text", "_score", False), schema).filter(F.col("_score") < threshold).select(*columns)
