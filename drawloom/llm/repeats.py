@@ -167,7 +167,7 @@ def extend(core: np.ndarray, left: list[bytes], right: list[bytes], many: np.nda
     differs = np.concatenate([r_bytes[a] != r_bytes[b], np.ones((len(a), 1), bool)], axis=1).argmax(1)
     prefix = np.full(n, -1, np.int16)
     prefix[1:] = np.where(core[a] == core[b], np.minimum(differs, np.minimum(right_size[a], right_size[b])), -1)
-    single = np.flatnonzero(many)
+    single = np.flatnonzero(many & (wing - left_size <= right_size))
     first[single] = np.maximum(0, wing - left_size[single])
     last[single] = np.minimum(wing, right_size[single])
     for d in range(block):
@@ -270,7 +270,7 @@ def repeated_spans(rows: DataFrame, length: int, block: int = BLOCK) -> DataFram
     # Hot cores: a shard for each window, whose wings are empty, so its items are equal and only counted.
     fits = (F.octet_length("_left") >= F.lit(wing) - F.col("_w")) & (F.octet_length("_right") >= F.col("_w"))
     cut = wings.filter(F.col("_kinds") > HOT).withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(wing)))).filter(fits)
-    cut = cut.withColumns({"_l": F.expr(f"right(_left, {wing} - _w)"), "_r": F.expr("substring(_right, 1, _w)")}).select("_core", "_item", "_w", "_many", F.xxhash64("_core", "_w", "_l", F.lit(1), "_r").alias("_window"))
+    cut = cut.withColumns({"_l": F.expr(f"substring(_left, cast(octet_length(_left) - {wing} + _w + 1 as int), cast({wing} - _w as int))"), "_r": F.expr("substring(_right, 1, _w)")}).select("_core", "_item", "_w", "_many", F.xxhash64("_core", "_w", "_l", F.lit(1), "_r").alias("_window"))
     twice = materialize(cut.groupBy("_core", "_w", "_window").agg(F.min("_item").alias("a"), F.max("_item").alias("b"), F.max("_many").alias("m")).filter("a <> b or m > 1").select("_core", "_w", "_window"), "repeat-hot")
     # Windows of an item overlap as they are longer than a block: the first and the last one give the span.
     each = cut.join(twice.hint("merge"), ["_core", "_w", "_window"], "left_semi").groupBy("_core", "_item").agg(F.min("_w").cast("int").alias("_first"), F.max("_w").cast("int").alias("_last"))
