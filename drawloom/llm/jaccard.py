@@ -8,7 +8,8 @@ that share a prefix shingle meet in a cell; where the classes of a shingle all s
 one hotter shingle, the hotter one's cell serves for both, so a set is sent about once.
 Large cells are cut into tiles and each pair of tiles is a cell of its own.  Index rows
 go through the length and positional filters, then histograms of the sets through the
-suffix filter; only sets with a partner left are sent, and verified once per pair.
+suffix filter.  What these filters connect is a part; the sets with a partner are sent
+to their part, where pairs with a common prefix shingle are verified once.
 A cell gives a spanning forest of its links, never all pairs of a group.
 """
 
@@ -32,8 +33,9 @@ FREQUENT = 1 << 17
 TILE = 256
 #: Shingles a task counts at once; beyond, those seen once are forgotten and counted anew.
 COUNTED = 2_000_000
-#: Rows of a bin of cells, about.
+#: Rows of a bin of cells with histograms, and bytes of one with sets, about.
 BIN_ROWS = 1500
+BIN_BYTES = 4 << 20
 
 
 class Counter:
@@ -144,13 +146,18 @@ def alike(hists: list[np.ndarray], tile: np.ndarray, cross: bool, percent: int)
 
 
 def _suffix_filter(percent: int):
+    """Edges (a, b) that connect the classes of each cell that the filters connect."""
+
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [np.zeros((2, 0), np.int64)]
         for (_, i, j), own in pdf.groupby(["token", "i", "j"], sort=False):
             own = own.drop_duplicates("_cid")
-            own = own.assign(sub=alike([np.frombuffer(b, np.uint32) for b in own["_hist"]], own["tile"].to_numpy(), i != j, percent).astype(np.int32))
-            out.append(own.loc[own["sub"] >= 0, ["_cid", "token", "i", "j", "tile", "sub"]])
-        return pd.concat(out)
+            root = alike([np.frombuffer(b, np.uint32) for b in own["_hist"]], own["tile"].to_numpy(), i != j, percent)
+            ids, rows = own["_cid"].to_numpy(np.int64), np.flatnonzero(root >= 0)
+            rows = rows[root[rows] != rows]
+            out.append(np.stack([ids[rows], ids[root[rows]]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
     return keep
 
@@ -219,7 +226,7 @@ class Sets:
         self.order = order
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("bin", pa.int32()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("sub", pa.int32()), ("cid", pa.int64()), ("set", pa.binary())])
+        kind = pa.schema([("bin", pa.int32()), ("part", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("cid", pa.int64()), ("set", pa.binary())])
         for batch in pieces(batches, 200):
             cells, wanted = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cells", "_cid"))
             rows: list[dict] = []
@@ -304,7 +311,7 @@ def linked(own: list[np.ndarray], prefix: list[int], tile: np.ndarray, cross: bo
 def _cells(order: Order):
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        for (_, i, j, _), own in pdf.groupby(["token", "i", "j", "sub"], sort=False):
+        for (_, i, j), own in pdf.groupby(["part", "i", "j"], sort=False):
             own = own.drop_duplicates("cid")
             if len(own) < 2:
                 continue
@@ -348,16 +355,22 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     cells = cells.select("_cid", F.col("_token").alias("token"), F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
     cells = materialize(cells, "jaccard-cells")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    binned = lambda df, *key: F.pmod(F.xxhash64(*key), F.lit(max(least, df.count() // BIN_ROWS))).cast("int").alias("bin")
-    # First only histograms of the sets: what passes the suffix filter goes on.
-    sketched = cells.join(classes.select("_cid", "_hist"), "_cid").withColumn("bin", binned(cells, "token", "i", "j"))
-    cells = materialize(sketched.groupBy("bin").applyInPandas(_suffix_filter(percent), "_cid long, token long, i int, j int, tile int, sub int"), "jaccard-cells")
-    placed = cells.select("_cid", F.struct(binned(cells, "token", "i", "j", "sub"), "token", "i", "j", "tile", "sub").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
+    # First only histograms of the sets: what the suffix filter connects forms parts, and a set is sent to its part.
+    bins = max(least, cells.count() // BIN_ROWS)
+    sketched = cells.join(classes.select("_cid", "_hist"), "_cid").withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)).cast("int"))
+    edges = materialize(sketched.groupBy("bin").applyInPandas(_suffix_filter(percent), "a long, b long"), "jaccard-edges")
+    parts = components(edges).select(F.col("node").alias("_cid"), F.col("component").alias("part"))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_g"))
+    tiled = parts.join(sizes, "part").withColumn("_tiles", F.expr(f"cast((_g + {tile - 1}) div {tile} as int)"))
+    tiled = materialize(tiled.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int")).join(classes.select("_cid", "_n"), "_cid"), "jaccard-parts")
+    bins = max(least, (tiled.agg(F.sum(8 * F.col("_n") * F.col("_tiles"))).first()[0] or 0) // BIN_BYTES)
+    sent = tiled.withColumn("_other", F.explode(F.expr("sequence(0, _tiles - 1)"))).select("_cid", "part", F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
+    placed = sent.select("_cid", F.struct(F.pmod(F.xxhash64("part", "i", "j"), F.lit(bins)).cast("int").alias("bin"), "part", "i", "j", "tile").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
     reps = classes.select("_cid", F.col("_rep._id").alias("_rid"), F.col("_rep._th").alias("_rth"))
     placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
     near = flagged(rows, F.col("_th"), placed, F.col("_rth")).filter("_maybe")
     texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
-    whole = arrow_map(texts, Sets(order), "bin int, token long, i int, j int, tile int, sub int, cid long, set binary")
+    whole = arrow_map(texts, Sets(order), "bin int, part long, i int, j int, tile int, cid long, set binary")
     links = materialize(whole.groupBy("bin").applyInPandas(_cells(order), "a long, b long"), "jaccard-links")
     return scanned.drop("_prefix", "_hist"), links
 
