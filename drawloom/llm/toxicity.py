@@ -73,7 +73,7 @@ def fit(rows: list[np.ndarray], swapped: dict[int, np.ndarray], y: np.ndarray, s
 
     Loss: mean logistic loss + counterfactual * mean (logit - swapped logit)^2 + ridge * |w|^2, by full-batch Adam.
     """
-    share = (y.sum() + 1) / (len(y) + 2)
+    share = (y.sum() + 0.5) / (len(y) + 10)
     bias, w = float(np.log(share / (1 - share))), np.zeros(size)
     if not size or not len(y) or y.sum() in (0, len(y)):
         return w, bias
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "tox
     Features are the ``max_features`` marks that tell toxic texts apart most surely (by
     the z score of the smoothed log odds), and the identity terms of the sample.  Null
     texts count as empty, null labels are left out, a document with several labels has
-    their majority, and a table without labels gives a constant score.
+    their majority, and a table without labels gives the constant score 0.05.
     """
     rows = sample(docs, labels, label, held, max_rows).select("_id", "_y", "_text")
     sizes = dict(rows.groupBy("_y").count().collect())
