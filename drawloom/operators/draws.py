@@ -109,13 +109,15 @@ class WalkForward:
     draws: DataFrame
     train_size: int
     test_size: int = 1
+    n: int | None = None  # the number of draws, if it is known
 
     def __post_init__(self) -> None:
         if self.train_size <= 0:
             raise ValueError("train_size must be positive")
         if self.test_size <= 0:
             raise ValueError("test_size must be positive")
-        object.__setattr__(self, "n", self.draws.count())
+        if self.n is None:
+            object.__setattr__(self, "n", self.draws.count())
         if self.train_size + self.test_size > self.n:
             raise DatasetError("train_size + test_size exceeds dataset size")
 

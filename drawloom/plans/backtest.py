@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.draws import WalkForward
 from ..operators.sampling import RandomBaseline, fixed_seed
-from ..schema import BacktestError
+from ..schema import BacktestError, DatasetError
 from .recommend import RecommendationEngine
 
 #: Added to the seeds of the baseline.
@@ -19,8 +19,8 @@ BASELINE_SEED = 10_000
 class BacktestResult:
     """The cases, one per test draw, and what they sum up to."""
 
-    def __init__(self, cases: DataFrame) -> None:
-        self.cases = cases
+    def __init__(self, cases: DataFrame, dataset_size: int | None = None) -> None:
+        self.cases, self.dataset_size = cases, dataset_size
 
     def summary(self) -> DataFrame:
         """One row; an average is matches per case, and all values are 0 without cases."""
@@ -36,9 +36,9 @@ class BacktestResult:
             raise ValueError("threshold must be positive")
         return self.cases.agg(F.count_if(F.col("best_match") >= threshold).alias("match_count"), F.count_if(F.col("baseline_best_match") >= threshold).alias("baseline_match_count")).select(F.lit(threshold).alias("threshold"), "match_count", "baseline_match_count")
 
-    def report(self, dataset_size: int) -> DataFrame:
+    def report(self) -> DataFrame:
         """The summary with the size of the dataset and the differences to the baseline."""
-        return self.summary().select(F.lit(dataset_size).cast("long").alias("dataset_size"), "*", (F.col("average_matches") - F.col("baseline_average_matches")).alias("average_difference"), (F.col("total_matches") - F.col("baseline_total_matches")).alias("total_difference"))
+        return self.summary().select(F.lit(self.dataset_size).cast("long").alias("dataset_size"), "*", (F.col("average_matches") - F.col("baseline_average_matches")).alias("average_difference"), (F.col("total_matches") - F.col("baseline_total_matches")).alias("total_difference"))
 
 
 @dataclass(frozen=True)
@@ -55,14 +55,15 @@ class Backtester:
         lists = self.engine.recommend_lists(counts, ticket_count, F.lit(base) + F.col("split_id"), ["split_id"])
         return lists.withColumn("baseline", self.baseline.ticket_list(F.size("recommended"), F.lit(base + BASELINE_SEED) + F.col("split_id")))
 
-    def run(self, draws: DataFrame, train_size: int, test_size: int = 1, ticket_count: int = 50, seed: int | None = None, *, check: bool = True) -> BacktestResult:
+    def run(self, draws: DataFrame, train_size: int, test_size: int = 1, ticket_count: int = 50, seed: int | None = None, *, check: bool = True, n: int | None = None) -> BacktestResult:
         """Cases: split_id, ord, test_draw_id, train_size, test_size, ticket counts, best and total matches of both sides."""
         for name, value in (("train_size", train_size), ("test_size", test_size), ("ticket_count", ticket_count)):
             if value <= 0:
                 raise ValueError(f"{name} must be positive")
-        if train_size + test_size > draws.count():
-            raise BacktestError("train_size + test_size exceeds dataset size")
-        walk = WalkForward(draws, train_size, test_size)
+        try:
+            walk = WalkForward(draws, train_size, test_size, n)
+        except DatasetError as short:
+            raise BacktestError(str(short)) from short
         tickets = self.split_tickets(walk, ticket_count, seed, check=check)
         joined = walk.test_rows().select("split_id", "ord", "draw_id", "numbers").join(tickets, "split_id")
         matches = {side: F.transform(side, lambda t: F.size(F.array_intersect(t, F.col("numbers")))) for side in ("recommended", "baseline")}
@@ -72,4 +73,4 @@ class Backtester:
             "split_id", "ord", (F.lit(train_size) + F.col("split_id") * test_size).cast("long").alias("train_size"), F.lit(test_size).cast("long").alias("test_size"),
             F.size("tickets").cast("long").alias("generated_ticket_count"), F.size("recommended").cast("long").alias("recommended_ticket_count"), F.col("draw_id").alias("test_draw_id"),
             best["recommended"].alias("best_match"), total["recommended"].alias("total_matches"), best["baseline"].alias("baseline_best_match"), total["baseline"].alias("baseline_total_matches"),
-        ))
+        ), walk.n)

@@ -30,9 +30,10 @@ def listed(ticket: Column) -> Column:
     return F.array_join(ticket.cast("array<string>"), ",")
 
 
-def _sizes(draws: DataFrame) -> tuple[int, int]:
+def _sizes(draws: DataFrame) -> tuple[int, int, int]:
+    """Training size, test size and number of draws."""
     n = draws.count()
-    return max(n // 2, 1), max(n // 20, 1)
+    return max(n // 2, 1), max(n // 20, 1), n
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> D.WalkForward:
@@ -180,22 +181,22 @@ def backtest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.test_rows().join(tickets, "split_id").select("split_id", "ord", F.col("pos").cast("long").alias("pos"), overlap(F.col("ticket"), F.col("numbers")).cast("long").alias("matches"))
 
 
-def _result(spark: SparkSession, sf_dir: str) -> tuple[BacktestResult, int]:
+def _result(spark: SparkSession, sf_dir: str) -> BacktestResult:
     draws = tables.draws(spark, sf_dir)
-    train, test = _sizes(draws)
-    return Backtester().run(draws, train, test, TICKETS, SEED), draws.count()
+    train, test, n = _sizes(draws)
+    return Backtester().run(draws, train, test, TICKETS, SEED, n=n)
 
 
 def backtest_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir)[0].cases
+    return _result(spark, sf_dir).cases
 
 
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir)[0].summary()
+    return _result(spark, sf_dir).summary()
 
 
 def match_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = _result(spark, sf_dir)[0]
+    result = _result(spark, sf_dir)
     steps = spark.range(1, 7).select(F.col("id").alias("threshold"))
     by_best = result.cases.groupBy("best_match", "baseline_best_match").agg(F.count(F.lit(1)).alias("n"))
     grid = by_best.withColumn("threshold", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))))
@@ -205,8 +206,7 @@ def match_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result, n = _result(spark, sf_dir)
-    return result.report(n)
+    return _result(spark, sf_dir).report()
 
 
 def entries_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
