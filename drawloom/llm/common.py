@@ -29,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths of the tables that materialize has written, by session.
+WRITTEN: dict[str, list[str]] = {}
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Delete the tables that operators have written in this session; to be called when their results are no longer read."""
+    paths = WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -37,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,6 +74,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def packed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """The rows as one struct ``_row``, so that no column of theirs can clash, beside the expressions of ``extra``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(e.alias(n) for n, e in extra.items()))
+
+
+def unpacked(df: DataFrame, *more: str | Column) -> DataFrame:
+    """The columns of packed rows again, and ``more``."""
+    return df.select("_row.*", *more)
+
+
 #: Most rows of an Arrow batch between the JVM and Python: documents are long, and both sides hold whole batches.
 BATCH_ROWS = 1000
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, arrow_map, materialize, ranges
+from .common import WORD_TABLE, arrow_map, materialize, packed, ranges, unpacked
 
 #: Most bytes of benchmark text sent to the executors at once; larger benchmarks go in several blocks.
 BLOCK_BYTES = 32 << 20
@@ -185,4 +185,4 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFr
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; same columns."""
-    return match_benchmark(docs, benchmark, window=window).filter(F.size("_spans") == 0).select(*docs.columns)
+    return unpacked(match_benchmark(packed(docs, text=F.col("text").cast("string")), benchmark, window=window).filter(F.size("_spans") == 0))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flagged, materialize, pieces, ranges, texts_of
+from .common import arrow_map, flagged, materialize, packed, pieces, ranges, texts_of, unpacked
 from .components import components
 from .shingles import common, identity, sets
 
@@ -410,13 +410,13 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     judged = materialize(each.join(chosen, F.col("_cid") == F.col("_c2")).select("_id", "_th", "_copies", (F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_th") == F.col("_best._th"))).alias("_stays")), "jaccard-judged")
     gone = judged.filter("not _stays").select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th"))
     twice = judged.filter("_stays and _copies > 1").select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th"))
-    hashed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_gone_th"))
+    hashed = packed(docs, _id=F.col("doc_id"), _th=F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_gone_th"))
     # Only texts that may be among those that go are shuffled for the join.
     split = flagged(hashed, F.col("_th"), gone.union(twice), F.col("_gone_th"))
     near = split.filter("_maybe").drop("_maybe")
     rest = near.join(gone.hint("merge"), same, "left_anti")
     if not twice.isEmpty():
-        once = rest.join(twice.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_th"])
+        once = rest.join(twice.hint("merge"), same, "left_semi").dropDuplicates(["_id", "_th"])
         rest = rest.join(twice.hint("merge"), same, "left_anti").unionByName(once)
-    return split.filter("not _maybe").drop("_maybe").unionByName(rest).select(*docs.columns)
+    return unpacked(split.filter("not _maybe").drop("_maybe").unionByName(rest))

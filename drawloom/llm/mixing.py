@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 from .order import ranked
 
 #: Slots of a frame: weights are whole parts of it.
 FRAME = 1024
 #: Documents of a block.
 BLOCK = 64
+ADDED = ("_block", "_place", "_slot", "_release", "_deadline", "_in_mix")
 
 
 def parts(weights: DataFrame, frame: int) -> DataFrame:
@@ -57,8 +59,9 @@ def mix(docs: DataFrame, *, weights: DataFrame | None = None, temper: float = 0.
     default weight.  _in_mix: before the first source runs out, which is as far as the
     targets can be met; later slots of that source stay empty and the others keep
     their proportion.  Repeated rows are placed each; an empty table gives no rows.
-    Columns of ``docs`` whose names start with an underscore are not supported.
+    Columns of ``docs`` with one of the added names are replaced.
     """
+    docs = docs.drop(*ADDED)
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_docs"))
     n_sources = sizes.count()
     while frame < 4 * n_sources:
@@ -71,9 +74,8 @@ def mix(docs: DataFrame, *, weights: DataFrame | None = None, temper: float = 0.
         asked = sizes.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left").select("_source", F.coalesce("_w0", target).alias("_weight"))
     schedule = frame_schedule(parts(asked, frame), frame)
     key = key or [F.xxhash64(*(F.col(c) for c in docs.columns)), *(F.col(c) for c in docs.columns if c == "doc_id")]
-    lined = docs.withColumn("_source", F.col(source_col).cast("string"))
     names = [f"_k{i}" for i in range(len(key))]
-    lined = lined.withColumns(dict(zip(names, key)))
+    lined = packed(docs, _source=F.col(source_col).cast("string"), **dict(zip(names, key)))
     placed = ranked(lined, [F.col("_source"), *(F.col(n) for n in names)], "mix", within="_source").drop(*names)
     placed = placed.withColumns({"_block": F.expr(f"_rank div {block}"), "_place": F.col("_rank") % block})
     weight = schedule.groupBy(F.col("_source").alias("_s1")).agg(F.first("_w").alias("_w"))
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, *, weights: DataFrame | None = None, temper: float = 0.
     blocks = sizes.join(weight, F.col("_source").eqNullSafe(F.col("_s1"))).select("_source", "_w", F.expr(f"(_docs + {block - 1}) div {block}").alias("_b"))
     ends = blocks.join(offsets, F.col("_source").eqNullSafe(F.col("_s2")) & (F.expr("_b % _w") == F.col("_j2")))
     end = ends.agg(F.min(F.expr(f"(_b div _w) * {frame} + _offset"))).first()[0] or 0
-    return placed.select(*docs.columns, "_block", "_place", "_slot", "_release", "_deadline", (F.col("_slot") < end).alias("_in_mix"))
+    return unpacked(placed, "_block", "_place", "_slot", "_release", "_deadline", (F.col("_slot") < end).alias("_in_mix"))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -97,4 +99,5 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_order(docs: DataFrame, **how) -> DataFrame:
     """``docs`` in the mixed order: written out, the files follow it; same columns, every row."""
-    return mix(docs, **how).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+    made = mix(packed(docs, **{c: F.col(c) for c in ("doc_id", "source")}), **how)
+    return unpacked(made.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place"))

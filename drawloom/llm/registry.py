@@ -86,5 +86,22 @@ SELECT a AS doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(b) AS compon
 """
 
 
+OP6_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT *, least(10, len(w)) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+item_windows AS (SELECT item, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM items, range(1, len(w) - n + 2) AS r(p)),
+doc_windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM docs, (SELECT DISTINCT n FROM items) AS lengths, range(1, greatest(len(w) - n + 2, 1)) AS r(i)),
+hits AS (SELECT doc_id, n, i, item, p FROM doc_windows JOIN item_windows USING (n, s)),
+words AS (SELECT DISTINCT doc_id, i + k - 1 AS x FROM hits, range(n) AS r(k)),
+runs AS (SELECT doc_id, min(x) AS a, max(x) + 1 AS b FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS g FROM words) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_hit, string_agg(a || ',' || b, ',' ORDER BY a) AS hit_spans FROM runs GROUP BY doc_id),
+diagonals AS (SELECT doc_id, n, count(*) + n - 1 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, n, i - p ORDER BY i) AS g FROM hits) GROUP BY doc_id, item, n, i - p, g),
+longest AS (SELECT doc_id, CAST(max(words) AS BIGINT) AS longest_match FROM diagonals GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest_match, 0) AS longest_match, coalesce(hit_spans, '') AS hit_spans
+FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL}
+    return {"op6_benchmark_decontamination": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL}

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD_TABLE, arrow_map, texts_of
+from .common import WORD_TABLE, arrow_map, packed, texts_of, unpacked
 from .labelled import sample
 
 # Identity terms, in groups whose terms are swapped round.
@@ -186,6 +187,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def remove_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more; same columns, no shuffle."""
-    columns = [c for c in docs.columns if c != "_score"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), "_score double"])
-    return arrow_map(docs.select(*columns), Scorer(model, "text", "_score", False), schema).filter(F.col("_score") < threshold).select(*columns)
+    rows = packed(docs, _text=F.col("text").cast("string"))
+    scored = arrow_map(rows, Scorer(model, "_text", "_score", True), T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())]))
+    return unpacked(scored.filter(F.col("_score") < threshold))
