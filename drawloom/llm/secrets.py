@@ -112,10 +112,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     scanned = materialize(arrow_map(rows, scan_batches, f"_id {kind}, _owner string, _repo string, _key binary, n_assign long, n_access long, n_hex long, base_sha256 string, _found array<{SPAN}>"), "secrets")
     held = scanned.filter(F.size("_found") > 0)
     each = held.select("_owner", "_repo", "_key", F.explode("_found").alias("_f")).withColumn("_h", F.col("_f.h"))
-    counted = ownership(each.select("_h", "_owner", "_repo"))
+    # A written table, so that a value in very many texts is a skewed join that AQE can split.
+    counted = materialize(ownership(each.select("_h", "_owner", "_repo")), "secret-owners")
     # One verdict list for each different text: its spans are the same wherever it stands.
     texts = each.groupBy("_key", "_f", "_h").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_f", "_h")
-    judged = texts.join(counted, "_h").groupBy("_key").agg(F.collect_list(F.struct(F.col("_f.start").alias("start"), F.expr("array_position(array('assign','access','hex','token'), _f.kind)").alias("k"), F.col("_f.end").alias("end"), F.col("_f.kind").alias("kind"), F.col("n_owners").alias("owners"))).alias("_all"))
+    judged = texts.join(counted.hint("merge"), "_h").groupBy("_key").agg(F.collect_list(F.struct(F.col("_f.start").alias("start"), F.expr("array_position(array('assign','access','hex','token'), _f.kind)").alias("k"), F.col("_f.end").alias("end"), F.col("_f.kind").alias("kind"), F.col("n_owners").alias("owners"))).alias("_all"))
     judged = judged.withColumn("_all", F.array_sort(F.filter("_all", lambda x: (x["kind"] != "token") | (x["owners"] <= max_live_owners))))
     judged = judged.select(
         "_key", F.array_join(F.transform("_all", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("spans"), F.size(F.filter("_all", lambda x: x["owners"] <= max_live_owners)).cast("long").alias("n_live"),
