@@ -29,6 +29,9 @@ from .shingles import common, identity, sets
 
 #: Most frequent shingles whose frequency the order knows.
 FREQUENT = 1 << 17
+#: Texts with a shingle beyond which its index rows are spread over SALTS tasks, which then can't drop any.
+HOT = 100_000
+SALTS = 64
 #: Classes of a tile.
 TILE = 256
 #: Shingles a task counts at once; beyond, those seen once are forgotten and counted anew.
@@ -68,8 +71,8 @@ class Counter:
 class Order:
     """The global order of shingles and the prefix lengths it allows."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, k: int, percent: int) -> None:
-        self.frequent, self.counts, self.k, self.percent = frequent, counts, k, percent
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, k: int, percent: int, hot: int = HOT) -> None:
+        self.frequent, self.counts, self.k, self.percent, self.over = frequent, counts, k, percent, hot
 
     def ordered(self, own: np.ndarray) -> np.ndarray:
         """The set, rarest first."""
@@ -79,13 +82,18 @@ class Order:
         at[at == len(self.frequent)] = 0
         return own[np.lexsort((own, np.where(self.frequent[at] == own, self.counts[at], 0)))]
 
+    def hot(self, own: np.ndarray) -> list[int]:
+        """Places of the shingles known to be in more texts than a task should get."""
+        hot = self.frequent[self.counts > self.over]
+        return np.flatnonzero(np.isin(own, hot)).tolist() if len(hot) else []
+
     def prefix(self, n: int) -> int:
         """Shingles of a set of n that a partner must meet: n less the least overlap, plus one."""
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
 
 class Prefixes:
-    """(…, _cid, _n, _prefix, _hist) of each text."""
+    """(…, _cid, _n, _prefix, _hot, _hist) of each text."""
 
     def __init__(self, order: Order) -> None:
         self.order = order
@@ -93,10 +101,11 @@ class Prefixes:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = sets(texts_of(batch, "_text"), self.order.k)
-            prefixes = [self.order.ordered(x)[: self.order.prefix(len(x))].view(np.int64) for x in found]
+            ordered = [self.order.ordered(x)[: self.order.prefix(len(x))] for x in found]
+            prefixes, hot = [x.view(np.int64) for x in ordered], [self.order.hot(x) for x in ordered]
             kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != "_text"]
-            made = [pa.array([identity(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([histogram(x).tobytes() for x in found], pa.binary())]
-            yield pa.record_batch([c for _, c in kept] + made, names=[n for n, _ in kept] + ["_cid", "_n", "_prefix", "_hist"])
+            made = [pa.array([identity(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int32())), pa.array([histogram(x).tobytes() for x in found], pa.binary())]
+            yield pa.record_batch([c for _, c in kept] + made, names=[n for n, _ in kept] + ["_cid", "_n", "_prefix", "_hot", "_hist"])
 
 
 def histogram(own: np.ndarray) -> np.ndarray:
@@ -163,7 +172,7 @@ def _suffix_filter(percent: int):
 
 
 class Viable:
-    """Of rows (token, cid, n, place) sorted by token those with a partner that passes the length and positional filters, and how many the token has.
+    """Of rows (token, cid, n, place, salt) sorted by token those with a partner that passes the length and positional filters; rows with a salt all pass.
 
     With P for the percentage, i and j pass if n_j P <= (n_i - place_i)(100 + P) - n_i P
     and n_i P <= (n_j - place_j)(100 + P) - n_j P, which also bounds the lengths.  So
@@ -176,6 +185,10 @@ class Viable:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            spread = batch.column(4).to_numpy() >= 0
+            if spread.any():
+                yield batch.filter(pa.array(spread)).select([0, 1, 2, 3])
+                batch = batch.filter(pa.array(~spread))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -191,13 +204,9 @@ class Viable:
 
     def kept(self, table: pa.Table) -> pa.RecordBatch:
         token, cid, n, place = (table.column(i).to_numpy() for i in range(4))
-        n, place = n.astype(np.int64), place.astype(np.int64)
         order = np.lexsort((n, token))
-        token, cid, n, place = token[order], cid[order], n[order], place[order]
-        keep = self.viable(token, n, place)
-        token, cid, n, place = token[keep], cid[keep], n[keep], place[keep]
-        _, at, count = np.unique(token, return_inverse=True, return_counts=True)
-        return pa.record_batch([pa.array(token), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(count[at])], names=["_token", "_cid", "_n", "_place", "_df"])
+        keep = order[self.viable(token[order], n[order].astype(np.int64), place[order].astype(np.int64))]
+        return pa.record_batch([pa.array(x[keep]) for x in (token, cid, n, place)], names=["_token", "_cid", "_n", "_place"])
 
     def viable(self, token: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
         if not len(token):
@@ -341,12 +350,15 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
         raise ValueError("percent must be 1 to 100 and k at least 1")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    order = Order(*frequent_shingles(rows, k), k, percent)
-    scanned = materialize(arrow_map(rows, Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>, _hist binary"), "jaccard-prefixes")
-    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_hist").alias("_hist"))
-    index = classes.select("_cid", "_n", F.posexplode("_prefix").alias("_place", "_token")).select("_token", "_cid", F.col("_n").cast("int"), "_place")
-    shared = arrow_map(index.repartition("_token").sortWithinPartitions("_token"), Viable(percent), "_token long, _cid long, _n int, _place int, _df long").filter("_df > 1")
-    shared = materialize(shared, "jaccard-index")
+    order = Order(*frequent_shingles(rows, k), k, percent, HOT)
+    scanned = materialize(arrow_map(rows, Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>, _hot array<int>, _hist binary"), "jaccard-prefixes")
+    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_hot").alias("_hot"), F.first("_hist").alias("_hist"))
+    salt = F.when(F.array_contains("_hot", F.col("_place")), F.pmod("_cid", F.lit(SALTS)).cast("int")).otherwise(-1)
+    index = classes.select("_cid", "_n", "_hot", F.posexplode("_prefix").alias("_place", "_token")).select("_token", "_cid", F.col("_n").cast("int"), "_place", salt.alias("_salt"))
+    viable = arrow_map(index.repartition("_token", "_salt").sortWithinPartitions("_token"), Viable(percent), "_token long, _cid long, _n int, _place int")
+    viable = materialize(viable, "jaccard-viable")
+    met = materialize(viable.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1"), "jaccard-tokens")
+    shared = materialize(viable.join(met.hint("merge"), "_token"), "jaccard-index")
     home = shared.groupBy("_cid").agg(F.max(F.struct("_df", "_token")).alias("_home")).select("_cid", F.col("_home._token").alias("_home"))
     homed = shared.join(home, "_cid")
     served = homed.groupBy("_token").agg(F.min("_home").alias("_h1"), F.max("_home").alias("_h2")).filter("_h1 = _h2 and _h1 <> _token").select("_token")
@@ -372,7 +384,7 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
     whole = arrow_map(texts, Sets(order), "bin int, part long, i int, j int, tile int, cid long, set binary")
     links = materialize(whole.groupBy("bin").applyInPandas(_cells(order), "a long, b long"), "jaccard-links")
-    return scanned.drop("_prefix", "_hist"), links
+    return scanned.drop("_prefix", "_hot", "_hist"), links
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,8 +46,9 @@ def brute(rows, k, percent):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("seed, k, percent, tile", [(1, 3, 90, 256), (2, 5, 80, 3), (3, 1, 50, 4), (4, 2, 100, 2)])
-def test_jaccard_against_all_pairs(spark, monkeypatch, seed, k, percent, tile):
+@pytest.mark.parametrize("seed, k, percent, tile, hot", [(1, 3, 90, 256, 100_000), (2, 5, 80, 3, 4), (3, 1, 50, 4, 100_000), (4, 2, 100, 2, 5)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, seed, k, percent, tile, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rows = list(enumerate(texts(seed)))
     random.Random(seed).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
