@@ -187,7 +187,8 @@ class Viable:
         for batch in batches:
             spread = batch.column(4).to_numpy() >= 0
             if spread.any():
-                yield batch.filter(pa.array(spread)).select([0, 1, 2, 3])
+                free = batch.filter(pa.array(spread))
+                yield pa.record_batch([free.column(i) for i in range(4)], names=["_token", "_cid", "_n", "_place"])
                 batch = batch.filter(pa.array(~spread))
             if not batch.num_rows:
                 continue
