@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every document; documents of a source move together as far as the shards stay even."""
+    """doc_id, size, text_crc32, shard and slot of every document; documents of a source move together as far as the shards stay even, and slots follow the mixed order."""
     return sharding.shard_documents(docs, shards=8, group=F.col("source")).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

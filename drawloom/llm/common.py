@@ -48,11 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage and survives lost executors; a fresh name each time, so a
     rerun never reads an older table.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The path of the table that ``materialize`` reads."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def ascii_words_table() -> bytes:

@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, unpacked, written
 from .order import ranked
 
 #: Slots of a frame: weights are whole parts of it.
 FRAME = 1024
 #: Documents of a block.
 BLOCK = 64
+#: Key of the metadata of ``doc_id`` that names the table of places of mixed documents.
+PLACES = "mixed_places"
 ADDED = ("_block", "_place", "_slot", "_release", "_deadline", "_in_mix")
 
 
@@ -97,7 +99,29 @@ def report(docs: DataFrame, **how) -> DataFrame:
     return made.select("doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("block", "place", "slot", "release", "deadline", "in_mix")))
 
 
+def mark(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash that tells documents apart; rows that repeat wholly share it."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def mixed_order(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` in the mixed order: written out, the files follow it; same columns, every row."""
-    made = mix(packed(docs, **{c: F.col(c) for c in ("doc_id", "source")}), **how)
-    return unpacked(made.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place"))
+    """``docs`` in the mixed order: written out, the files follow it; same columns, every row.
+
+    The places are a table too, whose path is in the metadata of ``doc_id``: Parquet
+    keeps it, so a later stage that deals the rows anew has the order by ``placed``.
+    """
+    made = mix(packed(docs, **{c: F.col(c) for c in ("doc_id", "source")}, _mark=mark() if "text" in docs.columns else F.xxhash64("doc_id")), **how)
+    path = written(made.select("_mark", "_slot", "_place"), "mix-places")
+    ordered = unpacked(made.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place"))
+    return ordered.withMetadata("doc_id", {PLACES: path})
+
+
+def placed(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` plus ``_mixed`` (slot and place; null for rows that are not in the table of places), by their marks in ``_key``.
+
+    The n-th of the rows that repeat wholly takes the n-th of their places.
+    """
+    places = rows.sparkSession.read.parquet(path)
+    places = places.select(F.col("_mark").alias("_m2"), F.struct("_slot", "_place").alias("_mixed"), F.row_number().over(Window.partitionBy("_mark").orderBy("_slot", "_place")).alias("_nth2"))
+    numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return numbered.join(places, (F.col("_key") == F.col("_m2")) & (F.col("_nth") == F.col("_nth2")), "left").drop("_m2", "_nth", "_nth2")

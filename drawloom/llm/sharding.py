@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .mixing import PLACES, mark, placed
 from .order import ranked
 
 
@@ -39,11 +40,12 @@ def propagate(groups: DataFrame, total: int, shards: int, rounds: int, slack: fl
     return now
 
 
-def assign(rows: DataFrame, *, shards: int = 8, rounds: int = 3, slack: float = 0.05) -> DataFrame:
+def assign(rows: DataFrame, *, shards: int = 8, rounds: int = 3, slack: float = 0.05, order: list[Column] | None = None) -> DataFrame:
     """``rows`` plus ``_shard`` (int) and ``_slot`` (long, gapless from 0 in a shard); counts differ by one at most.
 
     ``rows`` has ``_g`` (long, the group; null: linked with nothing) and ``_key`` (long,
     a hash that tells the documents of a group apart; equal keys are put in any order).
+    ``order``: what the slots of a shard follow; by default the line of its groups.
     An empty table gives no rows.
     """
     start = F.pmod(F.xxhash64("_g", "_key"), F.lit(shards)).cast("int")
@@ -60,6 +62,9 @@ def assign(rows: DataFrame, *, shards: int = 8, rounds: int = 3, slack: float =
     line = ranked(labelled.withColumn("_side", side).select(*rows.columns, "_s", "_side"), [F.col("_s"), F.col("_side"), F.col("_g"), F.col("_key")], "shard-line")
     n = max(total, 1)
     shard = F.expr(f"(_rank * {shards}) div {n}")
+    if order:
+        dealt = line.withColumn("_shard", shard.cast("int")).select(*rows.columns, "_shard")
+        return ranked(dealt, [F.col("_shard"), *order, F.col("_key")], "shard-slots", within="_shard").withColumnRenamed("_rank", "_slot")
     return line.withColumn("_shard", shard.cast("int")).withColumn("_slot", F.col("_rank") - F.expr(f"(_shard * {n}L + {shards - 1}) div {shards}")).select(*rows.columns, "_shard", "_slot")
 
 
@@ -68,10 +73,14 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, rounds: int = 3, id_col
 
     ``group``: what linked documents share; equal texts by default.  Null texts count
     as empty and are linked with empty ones; documents that repeat are rows of their
-    own; a null id is kept; an empty table gives no rows.
+    own; a null id is kept; an empty table gives no rows.  Slots follow the mixed order
+    where ``docs`` were mixed by ``mixing.mixed_order``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     group = F.xxhash64(text, F.octet_length(text)) if group is None else F.when(group.isNotNull(), F.xxhash64(group))
-    rows = docs.select(F.col(id_col).alias("_doc"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), group.alias("_g"), F.xxhash64(F.col(id_col), text).alias("_key"))
-    out = assign(materialize(rows, "shard-rows"), shards=shards, rounds=rounds)
+    rows = docs.select(F.col(id_col).alias("_doc"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), group.alias("_g"), mark(id_col, text_col).alias("_key"))
+    mixed = PLACES in docs.schema[id_col].metadata
+    if mixed:
+        rows = placed(rows, docs.schema[id_col].metadata[PLACES])
+    out = assign(materialize(rows, "shard-rows"), shards=shards, rounds=rounds, order=[F.col("_mixed").asc_nulls_last()] if mixed else None)
     return out.select(F.col("_doc").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from drawloom.llm import mixing
 from drawloom.llm.common import table
 from test_similarity import naive_set
 from test_text import brute_hits
@@ -63,3 +65,28 @@ def test_stages_take_empty_tables_nulls_and_clashing_columns(spark, name):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string")
     assert stage(spark, docs, SF).count() == 5
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_slots_follow_the_mix_and_its_weights(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "hot" if i % 3 == 0 else f"s{i % 4}", 6) for i in range(900)] + [(None, "", "en", "hot", 0)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def shards(name, mixed):
+        mixed.write.parquet(f"{tmp_path}/{name}")
+        rows = corpus_pipeline.shard(spark, spark.read.parquet(f"{tmp_path}/{name}"), SF).collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r.shard].append(r.slot)
+        assert len(rows) == 903 and all(sorted(v) == list(range(len(v))) for v in by.values())
+        return {(r.shard, r.slot): r.doc_id for r in rows}
+
+    given = lambda hot: spark.createDataFrame([("hot", hot)] + [(f"s{i}", 1.0) for i in range(4)], "source string, weight double")
+    how = {"key": [F.xxhash64("doc_id"), F.col("doc_id")], "block": 4, "frame": 64}
+    mixes = {w: mixing.mix(docs, weights=given(w), **how) for w in (1.0, 6.0)}
+    got = {w: shards(f"w{w}", mixing.mixed_order(docs, weights=given(w), **how)) for w in (1.0, 6.0)}
+    assert got[1.0] != got[6.0] != shards("unmixed", docs)
+    for w, mixed in mixes.items():
+        at = {r.doc_id: (r._slot, r._place) for r in mixed.collect()}
+        for s in range(8):
+            seen = [at[got[w][x]] for x in sorted(got[w]) if x[0] == s and got[w][x] is not None]
+            assert seen == sorted(seen)
+    assert shards("stage", corpus_pipeline.mix_sources(spark, docs, SF)) != shards("unmixed too", docs)
