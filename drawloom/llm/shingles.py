@@ -74,7 +74,7 @@ def _sets(raws: list[bytes], k: int) -> list[np.ndarray]:
     shingle = np.zeros(n, _U)
     for j in range(k):
         part = h[j:] * _U((2 * j + 3) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        shingle[: n - j if j else n] += part
+        shingle[: max(n - j, 0)] += part
     of = np.repeat(np.arange(len(raws)), words)
     full = np.arange(n) + k <= cut[1:][of]
     short = {}

@@ -150,3 +150,13 @@ def test_bounds_keep_every_close_pair():
     i, j, c = embeddings.close_pairs(p, p, 0.8)
     assert set(zip(i.tolist(), j.tolist())) >= {(a, b) for a in range(60) for b in range(60) if x[a] @ x[b] >= 0.8}
     assert np.allclose(c, (x @ x.T)[i, j])
+
+
+@pytest.mark.parametrize("k", [1, 3, 5, 8])
+def test_shingle_sets_of_few_words_alone_in_a_piece(k):
+    for text in ("", "a", "a b", "a b c", "a b c d"):
+        assert [len(x) for x in shingles.sets([text], k)] == [len(naive_set(text, k))]
+    long = "word " * (shingles.PIECE // 5 + 1)
+    got = shingles.sets([long, "a b", long, "a b c", "a b"], k)
+    assert [x.tolist() for x in got] == [shingles.sets([t], k)[0].tolist() for t in (long, "a b", long, "a b c", "a b")]
+    assert got[1].tolist() == got[4].tolist() == shingles.sets(["a b", "more words than k in the same piece of the text here"], k)[0].tolist()
