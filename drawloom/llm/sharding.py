@@ -1,11 +1,11 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
 Links are given by a group column: documents of a group are neighbours of each
-other through a hub, so no pairs are built.  Each round joins the documents with
-their group's favourite shard and moves groups there as far as the shard's quota
-allows (a keyed hash decides, in the share that fits).  A last step cuts the line of
+other through a hub, so no pairs are built.  Each round moves groups to their
+favourite shard with room as far as the shard's quota allows, until none moves.  A last step cuts the line of
 all documents, ordered by shard and group, into equal parts, so the sizes are exactly
-even and at most one group is cut at each border.  DataFrame operations only.
+even and at most one group is cut at each border.  DataFrame operations only, but for
+the admission of buckets of groups: a table of fixed size on the driver.
 """
 
 from __future__ import annotations
@@ -18,29 +18,61 @@ from .mixing import PLACES, mark, placed
 from .order import ranked
 
 
-def propagate(groups: DataFrame, total: int, shards: int, rounds: int, slack: float) -> DataFrame:
-    """(_g, _s, _n) after ``rounds`` rounds; groups: the same at the start, _n documents of group _g in shard _s.
+#: Buckets of the groups of one size class that wish for one shard, which are admitted or not as a whole.
+BUCKETS = 256
+#: Rounds in a row without a move after which groups that hinder each other stay cut.
+IDLE = 3
 
-    Works on one row per group and shard, so a hot group is at most ``shards`` rows.
+
+def admitted(cells: list[tuple[int, int, int, int]], load: list[int], quota: int) -> list[tuple[int, int, int]]:
+    """Of cells (shard, class, bucket, rows) those that fit, the largest classes first; adds their rows to ``load``."""
+    out = []
+    for t, size, bucket, n in sorted(cells, key=lambda c: (-c[1], c[2], c[0])):
+        if load[t] + n <= quota:
+            load[t] += n
+            out.append((t, size, bucket))
+    return out
+
+
+def propagate(groups: DataFrame, total: int, shards: int, rounds: int | None, slack: float) -> DataFrame:
+    """(_g, _all, _spread: array of (s, n)) when no group moves any more, or after ``rounds`` rounds; groups: the same at the start.
+
+    One row a group, so a hot group is one row of at most ``shards`` entries.  Rows of
+    groups that stand together count against the quota.  Each round, the cut groups
+    wish for the shard that holds most of them among those with room for all of them,
+    and the shards admit them by buckets, whose table has a fixed size.  So a round
+    leaves no shard over the quota by it, and a group that has come together stays.
+    Groups over the quota never move, take no room and stay spread.
     """
     quota = int(total / shards * (1 + slack)) + 1
-    now = groups
-    for r in range(rounds):
-        best = Window.partitionBy("_g").orderBy(F.col("_n").desc(), F.xxhash64("_g", "_s"))
-        held = F.sum("_n").over(Window.partitionBy("_g"))
-        wish = now.withColumns({"_to": F.first("_s").over(best), "_all": held})
-        # Rows that would come to each shard, and the room it has; at most one row per shard.
-        demand = wish.filter("_s <> _to").groupBy(F.col("_to").alias("_t")).agg(F.sum("_n").alias("_wanted"))
-        load = wish.groupBy(F.col("_s").alias("_t")).agg(F.sum("_n").alias("_load"))
-        room = demand.join(load, "_t", "left").select("_t", (F.greatest(F.lit(0), quota - F.coalesce("_load", F.lit(0))) / F.col("_wanted")).alias("_share"))
-        draw = (F.pmod(F.xxhash64("_g", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)).alias("_draw")
-        moved = wish.join(F.broadcast(room), F.col("_to") == F.col("_t"), "left").withColumn("_new", F.when((F.col("_s") == F.col("_to")) | (draw >= F.coalesce("_share", F.lit(0.0))) | (F.col("_all") > quota), F.col("_s")).otherwise(F.col("_to")))
-        now = moved.groupBy("_g", F.col("_new").alias("_s")).agg(F.sum("_n").alias("_n"))
-        now = materialize(now, f"shard-labels-{r}")
+    spark = groups.sparkSession
+    load = [0] * shards
+    for s, n in groups.filter("size(_spread) = 1").groupBy(F.col("_spread")[0]["s"]).agg(F.sum("_all")).collect():
+        load[s] = n
+    now, r, idle = groups, 0, 0
+    while idle < IDLE and (rounds is None or r < rounds):
+        cut = now.filter((F.size("_spread") > 1) & (F.col("_all") <= quota))
+        room = F.array(*(F.lit(max(quota - n, 0)).cast("long") for n in load))
+        held = lambda x: F.coalesce(F.aggregate("_spread", F.lit(0).cast("long"), lambda a, e: a + F.when(e["s"] == x, e["n"]).otherwise(F.lit(0))), F.lit(0))
+        options = F.filter(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: F.when(F.get(room, x) >= F.col("_all"), F.struct(held(x).alias("n"), F.xxhash64("_g", x, F.lit(r)).alias("h"), x.alias("s")))), lambda x: x.isNotNull())
+        bucket = F.pmod(F.xxhash64("_g", F.lit(r), F.lit(5)), F.lit(BUCKETS)).cast("int")
+        wish = lambda df: df.withColumns({"_to": F.array_max(options)["s"], "_class": F.floor(F.log2("_all")).cast("int"), "_bucket": bucket})
+        cells = wish(cut).filter("_to is not null").groupBy("_to", "_class", "_bucket").agg(F.sum("_all").alias("_n"), F.count(F.lit(1)).alias("_groups")).collect()
+        into = admitted([(c._to, c._class, c._bucket, c._n) for c in cells], load, quota)
+        if into:
+            accepted = spark.createDataFrame(into, "_to2 int, _class2 int, _bucket2 int")
+            moves = (F.size("_spread") > 1) & (F.col("_all") <= quota) & (F.col("_to") == F.col("_to2")) & (F.col("_class") == F.col("_class2")) & (F.col("_bucket") == F.col("_bucket2"))
+            moved = wish(now).join(F.broadcast(accepted), moves, "left")
+            whole = F.array(F.struct(F.col("_to2").alias("s"), F.col("_all").alias("n")))
+            now = materialize(moved.select("_g", "_all", F.when(F.col("_to2").isNotNull(), whole).otherwise(F.col("_spread")).alias("_spread")), f"shard-labels-{r}")
+        if not cells or (not into and all(c._groups == 1 for c in cells)):
+            break
+        idle = 0 if into else idle + 1
+        r += 1
     return now
 
 
-def assign(rows: DataFrame, *, shards: int = 8, rounds: int = 3, slack: float = 0.05, order: list[Column] | None = None) -> DataFrame:
+def assign(rows: DataFrame, *, shards: int = 8, rounds: int | None = None, slack: float = 0.05, order: list[Column] | None = None) -> DataFrame:
     """``rows`` plus ``_shard`` (int) and ``_slot`` (long, gapless from 0 in a shard); counts differ by one at most.
 
     ``rows`` has ``_g`` (long, the group; null: linked with nothing) and ``_key`` (long,
@@ -49,12 +81,11 @@ def assign(rows: DataFrame, *, shards: int = 8, rounds: int = 3, slack: float =
     An empty table gives no rows.
     """
     start = F.pmod(F.xxhash64("_g", "_key"), F.lit(shards)).cast("int")
-    sized = rows.filter("_g is not null").groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
     total = rows.count()
-    linked = rows.select("_g", start.alias("_s")).filter("_g is not null").groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_n")).join(sized.select("_g"), "_g", "left_semi")
-    labels = propagate(materialize(linked, "shard-groups"), total, shards, rounds, slack)
-    # A group's shards as one small row: most members go to the first of them, the rest of a hot group keep their spread.
-    spread = labels.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_s").alias("s")))).alias("_spread"))
+    linked = rows.select("_g", start.alias("_s")).filter("_g is not null").groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    # A group's shards as one small row: a group that came together has one, those of a hot group keep their spread.
+    groups = linked.groupBy("_g").agg(F.sum("_n").alias("_all"), F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_n").alias("n"))).alias("_spread")).filter("_all > 1")
+    spread = propagate(materialize(groups, "shard-groups"), total, shards, rounds, slack).select("_g", "_spread")
     own = F.when(F.col("_spread").isNull(), start).when(F.array_contains(F.col("_spread.s"), start), start).otherwise(F.col("_spread")[0]["s"])
     labelled = rows.join(spread, "_g", "left").withColumns({"_s": own, "_single": F.col("_spread").isNull()})
     # In a shard, half of the unlinked documents stand before the groups and half behind, so the cuts fall on them.
@@ -68,7 +99,7 @@ def assign(rows: DataFrame, *, shards: int = 8, rounds: int = 3, slack: float =
     return line.withColumn("_shard", shard.cast("int")).withColumn("_slot", F.col("_rank") - F.expr(f"(_shard * {n}L + {shards - 1}) div {shards}")).select(*rows.columns, "_shard", "_slot")
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 8, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None) -> DataFrame:
     """One row per document: the id, size (long, UTF-8 bytes plus 1), text_crc32 (long), law (``rows``), shard, slot, grown_shard (null).
 
     ``group``: what linked documents share; equal texts by default.  Null texts count

@@ -87,3 +87,13 @@ def test_membership_filter_lets_every_match_through(spark):
     got = flagged(rows, F.col("k"), keys, F.col("m")).collect()
     assert len(got) == 5000 and all(r._maybe for r in got if r.k % 3 == 0) and sum(r._maybe for r in got if r.k % 3) < 30
     assert flagged(rows, F.col("k"), keys.limit(0), F.col("m")).filter("_maybe").count() == 0
+
+
+@pytest.mark.parametrize("hot, groups, size, alone", [(6000, 600, 3, 10200), (0, 4000, 3, 0), (3000, 2000, 3, 0), (0, 8, 500, 0), (900, 40, 45, 0)])
+def test_few_groups_stay_cut_whatever_the_rest(spark, hot, groups, size, alone):
+    n = hot + groups * size + alone
+    linked = spark.range(n).withColumn("text", F.when(F.col("id") < groups * size, F.concat(F.lit("group "), F.floor(F.col("id") / size))).when(F.col("id") < groups * size + hot, F.lit("hot")).otherwise(F.concat(F.lit("alone "), "id")))
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(linked.withColumnRenamed("id", "doc_id").repartition(3)).collect()}
+    assert len(got) == n and max(Counter(got.values()).values()) - min(Counter(got.values()).values()) <= 1
+    cut = sum(len({got[i] for i in range(g * size, (g + 1) * size)}) > 1 for g in range(groups))
+    assert cut <= (7 if groups > 8 else 0)
