@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns give candidates; the hash of each candidate's value is counted over the
-whole corpus by distinct owners and repositories.  A value that several owners
-hold is a widely copied example; one that a single owner holds looks live.
+whole corpus by distinct owners, repositories and texts.  A value that several owners
+or repositories or very many texts hold is a widely copied example; one that a single
+one holds looks live.
 High-entropy tokens outside the base patterns become spans only if they are
 owner-specific.
 """
@@ -85,24 +86,27 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """_h, n_owners, n_repos, n_seen of each candidate value over the whole corpus.
+    """_h, n_owners, n_repos, n_seen (different texts) of each candidate value over the whole corpus.
 
-    Takes rows (_h, _owner, _repo).  Copies meet in two steps, first by value, owner
-    and repository, so a value that a third of all rows hold is one row per pair when
-    it is counted.
+    Takes rows (_h, _owner, _repo, _key).  Copies meet in two steps, first by value,
+    owner and repository (or text), so a value that a third of all rows hold is one row
+    per pair when it is counted.
     """
-    pairs = found.groupBy("_h", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_n"))
-    owners = pairs.groupBy("_h", "_owner").agg(F.count(F.lit(1)).alias("_repos"), F.sum("_n").alias("_n"))
-    return owners.groupBy("_h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("_repos").alias("n_repos"), F.sum("_n").alias("n_seen"))
+    pairs = found.select("_h", "_owner", "_repo").distinct()
+    owners = pairs.groupBy("_h", "_owner").agg(F.count(F.lit(1)).alias("_repos")).groupBy("_h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("_repos").alias("n_repos"))
+    seen = found.select("_h", "_key").distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("n_seen"))
+    return owners.join(seen.hint("merge"), "_h")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: str | Column = "source", repo: str | Column = "source", max_live_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: str | Column = "source", repo: str | Column = "source", max_live_owners: int = 1, max_live_repos: int = 1, max_live_texts: int = 100) -> DataFrame:
     """Secrets of every document, one row per input row.
 
     Columns: the id, n_assign, n_access, n_hex (long), base_sha256, spans (string, all
     spans as kind:start:end by start, then kind), n_live and n_copied (long, spans
-    whose value has at most, or more than, ``max_live_owners`` owners), max_owners
-    (long, most owners of one of its values).  Null and empty texts have no spans; a
+    whose value has at most ``max_live_owners`` owners, ``max_live_repos`` repositories
+    and ``max_live_texts`` different texts, or more of one of these), max_owners,
+    max_repos and max_texts (long, most owners, repositories and different texts of one
+    of its values).  A repository is told apart within its owner.  Null and empty texts have no spans; a
     null owner or repository is one of its own; documents that repeat each get a row,
     and their owners count once.  An empty table gives no rows.
     """
@@ -113,17 +117,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     held = scanned.filter(F.size("_found") > 0)
     each = held.select("_owner", "_repo", "_key", F.explode("_found").alias("_f")).withColumn("_h", F.col("_f.h"))
     # A written table, so that a value in very many texts is a skewed join that AQE can split.
-    counted = materialize(ownership(each.select("_h", "_owner", "_repo")), "secret-owners")
+    counted = materialize(ownership(each.select("_h", "_owner", "_repo", "_key")), "secret-owners")
     # One verdict list for each different text: its spans are the same wherever it stands.
     texts = each.groupBy("_key", "_f", "_h").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_f", "_h")
-    judged = texts.join(counted.hint("merge"), "_h").groupBy("_key").agg(F.collect_list(F.struct(F.col("_f.start").alias("start"), F.expr("array_position(array('assign','access','hex','token'), _f.kind)").alias("k"), F.col("_f.end").alias("end"), F.col("_f.kind").alias("kind"), F.col("n_owners").alias("owners"))).alias("_all"))
-    judged = judged.withColumn("_all", F.array_sort(F.filter("_all", lambda x: (x["kind"] != "token") | (x["owners"] <= max_live_owners))))
+    judged = texts.join(counted.hint("merge"), "_h").groupBy("_key").agg(F.collect_list(F.struct(F.col("_f.start").alias("start"), F.expr("array_position(array('assign','access','hex','token'), _f.kind)").alias("k"), F.col("_f.end").alias("end"), F.col("_f.kind").alias("kind"), F.col("n_owners").alias("owners"), F.col("n_repos").alias("repos"), F.col("n_seen").alias("texts"))).alias("_all"))
+    live = lambda x: (x["owners"] <= max_live_owners) & (x["repos"] <= max_live_repos) & (x["texts"] <= max_live_texts)
+    most = lambda c: F.coalesce(F.array_max(F.transform("_all", lambda x: x[c])), F.lit(0)).cast("long").alias(f"max_{c}")
+    judged = judged.withColumn("_all", F.array_sort(F.filter("_all", lambda x: (x["kind"] != "token") | live(x))))
     judged = judged.select(
-        "_key", F.array_join(F.transform("_all", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("spans"), F.size(F.filter("_all", lambda x: x["owners"] <= max_live_owners)).cast("long").alias("n_live"),
-        F.size(F.filter("_all", lambda x: x["owners"] > max_live_owners)).cast("long").alias("n_copied"), F.coalesce(F.array_max(F.transform("_all", lambda x: x["owners"])), F.lit(0)).cast("long").alias("max_owners"),
+        "_key", F.array_join(F.transform("_all", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("spans"), F.size(F.filter("_all", live)).cast("long").alias("n_live"),
+        F.size(F.filter("_all", lambda x: ~live(x))).cast("long").alias("n_copied"), most("owners"), most("repos"), most("texts"),
     )
     head = [F.col("_id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256"]
     zero = F.lit(0).cast("long")
-    with_spans = held.drop("_found").join(judged, "_key").select(*head, "spans", "n_live", "n_copied", "max_owners")
-    without = scanned.filter(F.size("_found") == 0).select(*head, F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_copied"), zero.alias("max_owners"))
+    with_spans = held.drop("_found").join(judged, "_key").select(*head, "spans", "n_live", "n_copied", "max_owners", "max_repos", "max_texts")
+    without = scanned.filter(F.size("_found") == 0).select(*head, F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_copied"), zero.alias("max_owners"), zero.alias("max_repos"), zero.alias("max_texts"))
     return with_spans.unionByName(without)

@@ -90,6 +90,18 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_copies_within_one_owner_are_not_live(spark):
+    token, other, few = "Zx9Qw8Er7Ty6Ui5Op4Lk", "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Qa9Ws8Ed7Rf6Tg5Yh4Uj"
+    rows = [(i, f"{token} and text {i}", "hot", f"r{i % 3}") for i in range(30)] + [(30 + i, f"{other} and text {i}", "hot", "r0") for i in range(12)] + [(50 + i, f"{few} once", "hot", "r0") for i in range(12)] + [(70, "plain", "hot", "r0")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, repo string").repartition(3), repo="repo", max_live_texts=10).collect()}
+    assert (got[0].spans, got[0].n_live, got[0].n_copied) == ("", 0, 0)
+    assert (got[30].spans, got[30].n_live) == ("", 0)
+    assert (got[50].spans, got[50].n_live, got[50].max_owners, got[50].max_repos, got[50].max_texts) == ("token:0:20", 1, 1, 1, 1)
+    held = [(i, f"password=examplevalue {i}", "hot", f"r{i % 3}") for i in range(6)]
+    for r in secrets.scan(spark.createDataFrame(held, "doc_id long, text string, source string, repo string"), repo="repo").collect():
+        assert (r.n_live, r.n_copied, r.max_owners, r.max_repos, r.max_texts) == (0, 1, 1, 3, 6)
+
+
 # ---- token counts
 
 
