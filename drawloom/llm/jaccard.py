@@ -135,8 +135,10 @@ def alike(hists: list[np.ndarray], tile: np.ndarray, cross: bool, percent: int)
             x = up[x]
         return x
 
+    # Sets that the length filter lets pair: twice as many bins at most from 50 per cent up, more below.
+    wider = 1 << max(-(-100 // percent) - 1, 1).bit_length()
     for bins in np.unique(size):
-        rows = np.flatnonzero((size == bins) | (size == 2 * bins))
+        rows = np.flatnonzero((size >= bins) & (size <= wider * bins))
         table = np.stack([folded(hists[r], int(bins)) for r in rows]).astype(np.int32)
         for k, r in enumerate(rows[:-1].tolist()):
             rest = rows[k + 1 :]

@@ -92,6 +92,17 @@ def test_partner_rule_and_suffix_filter_lose_nothing():
         assert jaccard.suffix_bound(x, y) <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("percent", [1, 5, 24, 25, 34, 49, 50, 80, 100])
+def test_suffix_filter_connects_sets_of_any_allowed_lengths(percent):
+    pool = np.random.default_rng(3).integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for n in (1, 15, 63, 64, 127, 128, 255, 1000):
+        m = min(100 * n // percent, len(pool))  # a subset of n has a similarity of n / m to it
+        both = [np.sort(pool[:n]), np.sort(pool[:m])]
+        for own in (both, both[::-1]):
+            root = jaccard.alike([jaccard.histogram(x) for x in own], np.zeros(2, int), False, percent)
+            assert root[0] == root[1] >= 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(7, 7), (7, 7)] + [(1000, 1001 + i) for i in range(50)]
