@@ -10,7 +10,8 @@ Large cells are cut into tiles and each pair of tiles is a cell of its own.  Ind
 go through the length and positional filters, then histograms of the sets through the
 suffix filter.  What these filters connect is a part; the sets with a partner are sent
 to their part, where pairs with a common prefix shingle are verified once.
-A cell gives a spanning forest of its links, never all pairs of a group.
+A cell gives a spanning forest of its links, never all pairs of a group; where link
+counts are asked for, every pair is verified and each set's links are summed up.
 """
 
 from __future__ import annotations
@@ -238,17 +239,17 @@ class Sets:
         self.order = order
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("bin", pa.int32()), ("part", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("cid", pa.int64()), ("set", pa.binary())])
+        kind = pa.schema([("bin", pa.int32()), ("part", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.int32()), ("cid", pa.int64()), ("copies", pa.int64()), ("set", pa.binary())])
         for batch in pieces(batches, 200):
-            cells, wanted = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cells", "_cid"))
+            cells, wanted, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cells", "_cid", "_copies"))
             rows: list[dict] = []
             size = 0
-            for own, cid, places in zip(sets(texts_of(batch, "_text"), self.order.k), wanted, cells):
+            for own, cid, places, n in zip(sets(texts_of(batch, "_text"), self.order.k), wanted, cells, copies):
                 if identity(own) != cid:
                     continue
                 data = self.order.ordered(own).tobytes()
                 for c in places:
-                    rows.append(c | {"cid": cid, "set": data})
+                    rows.append(c | {"cid": cid, "copies": n, "set": data})
                     size += len(data)
                     if size > 16 << 20:
                         yield pa.RecordBatch.from_pylist(rows, kind)
@@ -287,8 +288,11 @@ def candidates(own: list[np.ndarray], prefix: list[int], percent: int) -> tuple[
     return pair // max(len(own), 1), pair % max(len(own), 1)
 
 
-def linked(own: list[np.ndarray], prefix: list[int], tile: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a cell, as pairs of indices; cross: only between different tiles."""
+def linked(own: list[np.ndarray], prefix: list[int], tile: np.ndarray, cross: bool, percent: int, copies: np.ndarray | None = None, sums: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a cell, as pairs of indices; cross: only between different tiles.
+
+    With ``sums`` all links are found, and the copies that each set is linked with are added to it.
+    """
     i, j = candidates(own, prefix, percent)
     if cross:
         other = tile[i] != tile[j]
@@ -307,7 +311,7 @@ def linked(own: list[np.ndarray], prefix: list[int], tile: np.ndarray, cross: bo
     out = []
     for a, b in zip(i.tolist(), j.tolist()):
         ra, rb = root(a), root(b)
-        if ra == rb:
+        if ra == rb and sums is None:
             continue
         total = len(flat[a]) + len(flat[b])
         need = -(-percent * total // (100 + percent))
@@ -315,22 +319,31 @@ def linked(own: list[np.ndarray], prefix: list[int], tile: np.ndarray, cross: bo
             continue
         shared = common(flat[a], flat[b])
         if 100 * shared >= percent * (total - shared):
-            up[ra] = rb
-            out.append((a, b))
+            if sums is not None:
+                sums[a] += copies[b]
+                sums[b] += copies[a]
+            if ra != rb:
+                up[ra] = rb
+                out.append((a, b))
     return out
 
 
-def _cells(order: Order):
+def _cells(order: Order, count: bool):
+    """Links (a, b, null) of a spanning forest and, with ``count``, (a, null, n): copies that class a is linked with in a cell."""
+
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int | None, int | None]] = []
         for (_, i, j), own in pdf.groupby(["part", "i", "j"], sort=False):
             own = own.drop_duplicates("cid")
             if len(own) < 2:
                 continue
             values = [np.frombuffer(b, np.uint64) for b in own["set"]]
             ids = own["cid"].to_numpy()
-            found += [(ids[a], ids[b]) for a, b in linked(values, [order.prefix(len(v)) for v in values], own["tile"].to_numpy(), i != j, order.percent)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            sums = np.zeros(len(own), np.int64) if count else None
+            found += [(ids[a], ids[b], None) for a, b in linked(values, [order.prefix(len(v)) for v in values], own["tile"].to_numpy(), i != j, order.percent, own["copies"].to_numpy(), sums)]
+            if count:
+                found += [(ids[a], None, sums[a]) for a in np.flatnonzero(sums)]
+        return pd.DataFrame({name: pd.array([row[c] for row in found], dtype="Int64") for c, name in enumerate(("a", "b", "n"))})
 
     return join
 
@@ -344,9 +357,11 @@ def frequent_shingles(rows: DataFrame, k: int, size: int = FREQUENT) -> tuple[np
     return h[order], got["n"].to_numpy(np.int64)[order]
 
 
-def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (_id, _th, _cid, _n) of every row, and links (a, b) between classes whose components are those of all links.
+def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, counts): (_id, _th, _cid, _n) of every row, and links (a, b) between classes whose components are those of all links.
 
+    counts: (_c3, _partners), rows of other classes that the rows of class _c3 are
+    linked with; empty without ``count``, as it needs every pair of a group verified.
     _th: xxhash64 of the text; _cid: hash of the set, 0 for the empty one.
     """
     if not 0 < percent <= 100 or k < 1:
@@ -355,7 +370,7 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     kind = rows.schema["_id"].dataType.simpleString()
     order = Order(*frequent_shingles(rows, k), k, percent, HOT)
     scanned = materialize(arrow_map(rows, Prefixes(order), f"_id {kind}, _th long, _cid long, _n long, _prefix array<long>, _hot array<int>, _hist binary"), "jaccard-prefixes")
-    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_hot").alias("_hot"), F.first("_hist").alias("_hist"))
+    classes = scanned.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct("_id", "_th")).alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_hot").alias("_hot"), F.first("_hist").alias("_hist"))
     salt = F.when(F.array_contains("_hot", F.col("_place")), F.pmod("_cid", F.lit(SALTS)).cast("int")).otherwise(-1)
     index = classes.select("_cid", "_n", "_hot", F.posexplode("_prefix").alias("_place", "_token")).select("_token", "_cid", F.col("_n").cast("int"), "_place", salt.alias("_salt"))
     viable = arrow_map(index.repartition("_token", "_salt").sortWithinPartitions("_token"), Viable(percent), "_token long, _cid long, _n int, _place int")
@@ -381,17 +396,18 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     bins = max(least, (tiled.agg(F.sum(8 * F.col("_n") * F.col("_tiles"))).first()[0] or 0) // BIN_BYTES)
     sent = tiled.withColumn("_other", F.explode(F.expr("sequence(0, _tiles - 1)"))).select("_cid", "part", F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
     placed = sent.select("_cid", F.struct(F.pmod(F.xxhash64("part", "i", "j"), F.lit(bins)).cast("int").alias("bin"), "part", "i", "j", "tile").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
-    reps = classes.select("_cid", F.col("_rep._id").alias("_rid"), F.col("_rep._th").alias("_rth"))
+    reps = classes.select("_cid", "_copies", F.col("_rep._id").alias("_rid"), F.col("_rep._th").alias("_rth"))
     placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
     near = flagged(rows, F.col("_th"), placed, F.col("_rth")).filter("_maybe")
-    texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_cells")
-    whole = arrow_map(texts, Sets(order), "bin int, part long, i int, j int, tile int, cid long, set binary")
-    links = materialize(whole.groupBy("bin").applyInPandas(_cells(order), "a long, b long"), "jaccard-links")
-    return scanned.drop("_prefix", "_hot", "_hist"), links
+    texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_copies", "_cells")
+    whole = arrow_map(texts, Sets(order), "bin int, part long, i int, j int, tile int, cid long, copies long, set binary")
+    found = materialize(whole.groupBy("bin").applyInPandas(_cells(order, count), "a long, b long, n long"), "jaccard-links")
+    counts = found.filter("n is not null").groupBy(F.col("a").alias("_c3")).agg(F.sum("n").alias("_partners"))
+    return scanned.drop("_prefix", "_hot", "_hist"), found.filter("b is not null").select("a", "b"), counts
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, n_shingles (long) and component_id.
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
+    """One row per document: the id, n_shingles (long) and component_id; with ``count`` n_links (long), too.
 
     Words are runs without white space, A-Z lower-cased; a set holds the ``k``-word
     shingles, or all words as one if they are fewer; documents link when the Jaccard
@@ -399,15 +415,20 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     by links.  Null texts and texts without words have empty sets, which link with
     nothing: their component is their own id.  Rows that repeat each get a row; a null
     id takes part in links and is never the smallest; an empty table gives no rows.
+    n_links: the other rows that the row is linked with, equal sets among them; then
+    every pair of a group is verified, not only those of a spanning forest.
     """
-    members, links = join_classes(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
-    least = members.filter("_n > 0").groupBy("_cid").agg(F.min("_id").alias("_least"))
+    members, links, counts = join_classes(docs, k=k, percent=percent, id_col=id_col, text_col=text_col, count=count)
+    least = members.filter("_n > 0").groupBy("_cid").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
     parts = components(links)
     lowest = parts.join(least, parts["node"] == least["_cid"]).groupBy("component").agg(F.min("_least").alias("_lowest"))
-    judged = least.join(parts.join(lowest, "component").select(F.col("node").alias("_cid"), "_lowest"), "_cid", "left").select(F.col("_cid").alias("_c2"), F.coalesce("_lowest", "_least").alias("_component"))
+    judged = least.join(parts.join(lowest, "component").select(F.col("node").alias("_cid"), "_lowest"), "_cid", "left").select(F.col("_cid").alias("_c2"), F.coalesce("_lowest", "_least").alias("_component"), "_copies")
+    if count:
+        judged = judged.join(counts, F.col("_c2") == F.col("_c3"), "left").select("_c2", "_component", (F.col("_copies") - 1 + F.coalesce("_partners", F.lit(0))).alias("_links"))
     # A written table, so that a class of very many copies is a skewed join that AQE can split.
     judged = materialize(judged, "jaccard-components").hint("merge")
-    return members.join(judged, (F.col("_n") > 0) & (F.col("_cid") == F.col("_c2")), "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", F.when(F.col("_n") == 0, F.col("_id"))).alias("component_id"))
+    n_links = [F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")] if count else []
+    return members.join(judged, (F.col("_n") > 0) & (F.col("_cid") == F.col("_c2")), "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", F.when(F.col("_n") == 0, F.col("_id"))).alias("component_id"), *n_links)
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -416,7 +437,7 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     Documents without words are no duplicates and stay.  Of rows that repeat wholly in
     id and text one stays.
     """
-    members, links = join_classes(docs, k=k, percent=percent)
+    members, links, _ = join_classes(docs, k=k, percent=percent)
     parts = components(links)
     classes = members.filter("_n > 0").groupBy("_cid").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_th")).alias("_rep"))
     grouped = classes.join(parts, F.col("_cid") == F.col("node"), "left").select("_cid", "_rep", F.coalesce("component", "_cid").alias("_group"))

@@ -57,6 +57,19 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, seed, k, percent, tile, h
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("seed, k, percent, tile", [(1, 3, 90, 256), (2, 5, 60, 3), (3, 1, 40, 4)])
+def test_link_counts_against_all_pairs(spark, monkeypatch, seed, k, percent, tile):
+    rows = list(enumerate(texts(seed)))
+    docs = spark.createDataFrame([*rows, rows[0], rows[5]], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard.join_classes, "__kwdefaults__", jaccard.join_classes.__kwdefaults__ | {"tile": tile})
+    got = jaccard.near_duplicates(docs, k=k, percent=percent, count=True).collect()
+    own = [naive_set(t, k) for _, t in rows]
+    weight = [2 if i in (0, 5) else 1 for i in range(len(rows))]
+    want = {i: sum(weight[j] for j, y in enumerate(own) if x and y and 100 * len(x & y) >= percent * len(x | y)) - bool(x) for i, x in enumerate(own)}
+    assert len(got) == len(rows) + 2 and {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, percent)
+
+
 def test_keep_one_and_edges(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "A b c d e f g", "y"), (1, "A b c d e f g", "y"), (None, "a b c d e f g", "z"), (5, None, None), (6, None, None), (7, "", ""), (8, "other words here stand alone now", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _cid string")
