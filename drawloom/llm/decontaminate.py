@@ -1,8 +1,9 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-Each shard (the documents of some Arrow batches) gets a suffix array of its word
-sequence; every suffix of every benchmark item is looked up in it by binary
-search.  Windows of ``window`` words (an item of fewer words is one window) that
+Each shard (the documents of some Arrow batches) gets a sorted array of the suffixes
+of its word sequence, cut to a window and only where all words of it are the
+benchmark's; every window of every benchmark item is looked up in it by binary
+search, and a match below a window is none.  Windows of ``window`` words (an item of fewer words is one window) that
 occur mark the words they cover; runs of windows on one diagonal give the longest
 verbatim match.  The benchmark is the stated query set: it goes to the shards in
 blocks whose size is measured first, and no shuffle takes place.
