@@ -30,7 +30,6 @@ IDENTITY_GROUPS = (
 SWAP = {a.encode(): b.encode() for group in IDENTITY_GROUPS for a, b in zip(group, group[1:] + group[:1])}
 #: Bytes of the beginnings of words that are features.
 BEGINNINGS = (4, 6)
-MAX_CANDIDATES = 50_000
 
 
 def words(text: str) -> set[bytes]:
@@ -131,11 +130,12 @@ class _Rows:
             yield pa.record_batch([batch.column(batch.schema.get_field_index("_id")), batch.column(batch.schema.get_field_index("_y")), pa.array(own, kind), pa.array(swap, kind)], names=["_id", "_y", "own", "swap"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "toxic", max_rows: int = 20_000, max_features: int = 600, least: int = 3, counterfactual: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "toxic", max_rows: int = 20_000, max_features: int | None = None, least: int = 3, counterfactual: float = 1.0) -> Model:
     """Fit on at most ``max_rows`` labelled documents that are not held out.
 
-    Features are the ``max_features`` marks that tell toxic texts apart most surely (by
-    the z score of the smoothed log odds), and the identity terms of the sample.  Null
+    Features are all marks of ``least`` toxic texts or more whose z score of the smoothed
+    log odds is over 2 (the ``max_features`` highest, if given), and the identity terms
+    of the sample.  Null
     texts count as empty, null labels are left out, a document with several labels has
     their majority, and a table without labels gives the constant score 0.05.
     """
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held: Column, label: str = "tox
     names: list[bytes] = []
     if toxic and clean:
         count = lambda df, wanted: arrow_map(df, _Counts(wanted), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
-        seen = count(rows.filter("_y = 1"), None).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(MAX_CANDIDATES).collect()
+        seen = count(rows.filter("_y = 1"), None).filter(F.col("n") >= least).collect()
         in_toxic = {bytes(r.f): r.n for r in seen}
         terms = {b"=" + t for t in SWAP}
         in_clean = {bytes(r.f): r.n for r in count(rows.filter("_y = 0"), set(in_toxic) | terms).collect()}

@@ -93,3 +93,10 @@ def test_swapping_identity_terms_hardly_changes_scores(spark):
     fair = toxicity.train(docs, docs, held=never, counterfactual=5.0).score([neutral, other, "vile " + neutral])
     assert plain[0] - plain[1] > 0.3
     assert abs(fair[0] - fair[1]) < 0.1 and fair[0] < 0.3 and fair[2] > 0.3
+
+
+def test_all_marks_that_tell_toxic_texts_apart_are_features(spark):
+    rows = [(i, " ".join(f"{chr(97 + j // 26)}{chr(97 + j % 26)}{i % 2}" for j in range(660)), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs, held=F.lit(False))
+    assert len(model.names) == 660
