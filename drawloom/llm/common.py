@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,54 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import WRITTEN, clear_tables, materialize, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by the Spark reader only, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: ``spark.checkpoint.dir``; one of our own where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="drawloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-#: Paths of the tables that materialize has written, by session.
-WRITTEN: dict[str, list[str]] = {}
-
-
-def clear_tables(spark: SparkSession) -> int:
-    """Delete the tables that operators have written in this session; to be called when their results are no longer read."""
-    paths = WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return len(paths)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors; a fresh name each time, so a
-    rerun never reads an older table.
-    """
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
-
-
-def written(df: DataFrame, name: str) -> str:
-    """The path of the table that ``materialize`` reads."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return path
-
-
 def ascii_words_table() -> bytes:
     """Byte table: A-Z to a-z; digits, a-z and all bytes of non-ASCII code points stay; the rest become spaces."""
     out = bytearray(b" " * 256)
@@ -118,6 +76,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(np.asarray(starts, np.int64), lengths)
 
 
+#: Rows that a table may have to be broadcast: some tens of MB.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which is counted first, else with a merge hint."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 #: Bits of a membership filter: its table is 4 MB at most, whatever the number of keys.
 FILTER_BITS = 1 << 25
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 
 def ranked(df: DataFrame, keys: list[Column], name: str, within: str | None = None) -> DataFrame:
@@ -14,18 +14,23 @@ def ranked(df: DataFrame, keys: list[Column], name: str, within: str | None = No
     The rows are dealt by ranges of the keys, so the keys should end in something
     that splits a hot group.  Each partition numbers its rows; what lies before a
     partition comes from a table with a row for each partition (and value of
-    ``within`` in it), whose size follows the number of partitions.  The numbered rows
+    ``within`` in it), which is broadcast only if it is small.  The numbered rows
     are written to the shared folder first, as a repeated sampling could deal them
     otherwise.  ``within`` must be the first key.
     """
     number = "shiftright(_id, 33)", "_id & 8589934591L"
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    held = materialize(dealt, name).withColumns({"_part": F.expr(number[0]).cast("int"), "_at": F.expr(number[1].replace("L", ""))})
+    held = materialize(dealt, name)
+    held = held.withColumns({"_part": F.expr(number[0]).cast("int"), "_at": F.expr(number[1].replace("L", ""))})
     by = ["_part", *([within] if within else [])]
     counts = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*([within] if within else [])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("_part").alias("_part2"), *([F.col(within).alias("_within2")] if within else []), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    counts = materialize(counts, f"{name}-parts")
+    group = [within] if within else []
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    starts = counts.select(F.col("_part").alias("_part2"), *(F.col(c).alias("_within2") for c in group), shift)
     same = F.col("_part") == F.col("_part2")
     if within:
         same &= F.col(within).eqNullSafe(F.col("_within2"))
-    return held.join(F.broadcast(starts), same).select(*(f"`{c}`" for c in df.columns), (F.col("_at") + F.col("_shift")).alias("_rank"))
+    rank = (F.col("_at") + F.col("_shift")).alias("_rank")
+    return held.join(broadcast_if_small(starts), same).select(*(f"`{c}`" for c in df.columns), rank)
