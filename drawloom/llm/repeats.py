@@ -15,8 +15,11 @@ and derives the common prefix of neighbours as one more than the least one in be
 in the step before.  Common prefixes grow by one a step and are followed no further
 than ``length`` bytes, at which a window is known to repeat.
 
-A shard with more than HOT different items is cut into one shard for each window, so
-no group is ever unbounded: equal windows are then counted, in partial aggregates.
+A shard with more than HOT different items is cut in two by lengthening its core: the
+earlier half of its windows share more bytes on the left, the later half on the right.
+The halves are shards of the same kind, with shorter wings, so they go through the
+transform too, and are cut again as long as they are large; in the end a core is a
+whole window, of which there is one item only.  So no group is ever unbounded.
 Texts that are equal are one text; all of their windows repeat.
 """
 
@@ -96,7 +99,7 @@ def wings_of(raw: bytes, place: int, size: int, wing: int) -> tuple[int, int, by
 
 
 class Cores:
-    """(core, item, key, n, place) of each block of each different text of a task."""
+    """(core, item, key, n, places) of the blocks of each different text of a task: one row for all places of an item."""
 
     def __init__(self, length: int, block: int) -> None:
         self.length, self.block = length, block
@@ -104,24 +107,21 @@ class Cores:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         size, wing = self.length - self.block + 1, self.block - 1
-        kind = pa.schema([("_core", pa.int64()), ("_item", pa.int64()), ("_key", pa.int64()), ("_n", pa.int32()), ("_place", pa.int32())])
+        kind = pa.schema([("_core", pa.int64()), ("_item", pa.int64()), ("_key", pa.int64()), ("_n", pa.int32()), ("_places", pa.list_(pa.int32()))])
         for batch in pieces(batches):
-            core, item, keys, sizes, places = [], [], [], [], []
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for text, key in zip(texts_of(batch, "_text"), batch.column(batch.schema.get_field_index("_key")).to_pylist()):
                 if key in seen:
                     continue
                 seen.add(key)
                 raw = text.encode("utf-8", "surrogatepass")
-                own = blocks(raw, self.length, self.block)
-                for p in own.tolist():
-                    c, i, _, _ = wings_of(raw, p, size, wing)
-                    core.append(c)
-                    item.append(i)
-                keys.append(np.full(len(own), key, np.int64))
-                sizes.append(np.full(len(own), len(raw), np.int32))
-                places.append(own.astype(np.int32))
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, sizes, places)]
-            yield pa.record_batch([pa.array(v, f.type) for v, f in zip((core, item, *flat), kind)], schema=kind)
+                own: dict[tuple[int, int], list[int]] = {}
+                for p in blocks(raw, self.length, self.block).tolist():
+                    own.setdefault(wings_of(raw, p, size, wing)[:2], []).append(p)
+                for (core, item), places in own.items():
+                    for values, v in zip(rows, (core, item, key, len(raw), places)):
+                        values.append(v)
+            yield pa.record_batch([pa.array(v, f.type) for v, f in zip(rows, kind)], schema=kind)
 
 
 class Wings:
@@ -247,39 +247,108 @@ class Shards:
         return pa.record_batch([pa.array(core[hit]), pa.array(item[hit]), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], names=["_core", "_item", "_first", "_last"])
 
 
+def extended(items: DataFrame, block: int) -> DataFrame:
+    """(_core, _item, _first, _last) of the items with repeated windows; items: (_core, _item, _left, _right, _many)."""
+    dealt = items.repartition("_core").sortWithinPartitions("_core")
+    return arrow_map(dealt, Shards(block), "_core long, _item long, _first int, _last int")
+
+
+def halves(items: DataFrame, block: int) -> DataFrame:
+    """Items of shards whose cores are longer: each item's earlier and later windows, as far as the text reaches.
+
+    ``items`` and the result: (_core0, _item0, _base, _core, _item, _left, _right,
+    _many); _base: the first window that the wings stand for, counted in the windows of
+    (_core0, _item0).
+    """
+    half = -(-block // 2)
+    more, wing = block - half, half - 1
+    left, right = F.octet_length("_left"), F.octet_length("_right")
+    part = lambda c, start, size: F.substring(F.col(c), start, size)
+    near = F.greatest(left - more, F.lit(0))  # bytes of the left wing before those that the core takes
+    cut = lambda start: F.greatest(start, F.lit(0)).cast("int")
+    earlier = items.filter(left >= more).select(
+        "_core0", "_item0", "_base", "_many", F.lit(0).alias("_side"), "_core",
+        part("_left", cut(near - wing) + 1, F.least(near, F.lit(wing))).alias("_left"),
+        part("_right", F.lit(1), F.lit(wing)).alias("_right"),
+        part("_left", cut(near) + 1, F.lit(more)).alias("_taken"),
+    )
+    later = items.filter(right >= more).select(
+        "_core0", "_item0", (F.col("_base") + more).alias("_base"), "_many", F.lit(1).alias("_side"), "_core",
+        part("_left", cut(left - wing) + 1, F.lit(wing)).alias("_left"),
+        part("_right", F.lit(more + 1), F.lit(wing)).alias("_right"),
+        part("_right", F.lit(1), F.lit(more)).alias("_taken"),
+    )
+    longer = earlier.unionByName(later).withColumn("_core", F.xxhash64("_core", "_side", "_taken")).drop("_side", "_taken")
+    # The length of one wing tells where the other begins.
+    item = F.xxhash64("_core", F.octet_length("_left"), "_left", "_right")
+    return longer.withColumn("_item", item)
+
+
+def cut_shards(hot: DataFrame, block: int) -> DataFrame:
+    """(_core, _item, _first, _last) of the items of shards with more than HOT items."""
+    found = []
+    now = hot.select(F.col("_core").alias("_core0"), F.col("_item").alias("_item0"), F.lit(0).alias("_base"), "_core", "_item", "_left", "_right", "_many")
+    while True:
+        now, block = materialize(halves(now, block), "repeat-halves"), -(-block // 2)
+        # Equal items of a longer core are one, which stands at all their places.
+        one = now.groupBy("_core", "_item", "_left", "_right").agg(F.least(F.sum("_many"), F.lit(2)).cast("int").alias("_many"))
+        one = materialize(one, "repeat-half-items")
+        sizes = materialize(one.groupBy("_core").agg(F.count(F.lit(1)).alias("_kinds")).filter("_kinds > 1"), "repeat-half-kinds")
+        sized = one.join(sizes.hint("merge"), "_core", "left").filter("_kinds > 1 or _many > 1")
+        own = extended(sized.filter(F.coalesce("_kinds", F.lit(1)) <= HOT).drop("_kinds"), block)
+        back = now.select("_core0", "_item0", "_base", "_core", "_item").join(own.hint("merge"), ["_core", "_item"])
+        spans = back.select("_core0", "_item0", (F.col("_base") + F.col("_first")).alias("_first"), (F.col("_base") + F.col("_last")).alias("_last"))
+        found.append(materialize(spans, "repeat-half-spans"))
+        large = sizes.filter(F.col("_kinds") > HOT)
+        if large.isEmpty():
+            break
+        now = now.join(large.hint("merge"), "_core", "left_semi")
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    # Windows of an item overlap as all hold its core: the first and the last one give the span.
+    ends = every.groupBy("_core0", "_item0").agg(F.min("_first").cast("int").alias("_first"), F.max("_last").cast("int").alias("_last"))
+    return ends.select(F.col("_core0").alias("_core"), F.col("_item0").alias("_item"), "_first", "_last")
+
+
 def repeated_spans(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """(_key, _n, _spans): for each different text the spans of repeated windows as array<struct<a, b>>; rows: (_key, _text)."""
     wing, size = block - 1, length - block + 1
-    cores = materialize(arrow_map(rows, Cores(length, block), "_core long, _item long, _key long, _n int, _place int"), "repeat-cores")
+    kind = "_core long, _item long, _key long, _n int, _places array<int>"
+    cores = materialize(arrow_map(rows, Cores(length, block), kind), "repeat-cores")
     # A place is told by its hash; equal texts are one, so a core of one place has one hash however often it was read.
-    place = F.xxhash64("_key", "_n", "_place")
-    several = materialize(cores.groupBy("_core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("_core"), "repeat-several")
-    wanted = cores.join(several.hint("merge"), "_core", "left_semi").groupBy("_core", "_item", "_key", "_n", "_place").agg(F.lit(1).alias("_one")).drop("_one")
-    wanted = materialize(wanted, "repeat-wanted")
+    place = F.xxhash64("_key", "_n", F.col("_places")[0])
+    spots = cores.groupBy("_core").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.size("_places")).alias("c"))
+    several = materialize(spots.filter("a <> b or c > 1").select("_core"), "repeat-several")
+    # Written tables, so that a core of very many texts is a skewed join that AQE can split.
+    wanted = materialize(cores.join(several.hint("merge"), "_core", "left_semi"), "repeat-wanted")
+    wanted = materialize(wanted.distinct(), "repeat-places")
     # Items: different surroundings of a core, each with whether it stands at several places.
-    items = materialize(wanted.groupBy("_core", "_item").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("_key", "_n", "_place")).alias("_at")), "repeat-items")
+    first = F.struct("_key", "_n", F.col("_places")[0].alias("_place"))
+    items = wanted.groupBy("_core", "_item").agg(F.sum(F.size("_places")).alias("_many"), F.min(first).alias("_at"))
+    items = materialize(items, "repeat-items")
     kinds = materialize(items.groupBy("_core").agg(F.count(F.lit(1)).alias("_kinds")).filter("_kinds > 1"), "repeat-kinds")
-    mixed = items.join(kinds.hint("merge"), "_core")
-    places = materialize(mixed.groupBy(F.col("_at._key").alias("_k"), F.col("_at._n").alias("_kn")).agg(F.collect_set("_at._place").alias("_places")), "repeat-places")
+    mixed = materialize(items.join(kinds.hint("merge"), "_core"), "repeat-mixed")
+    places = mixed.groupBy(F.col("_at._key").alias("_k"), F.col("_at._n").alias("_kn")).agg(F.collect_set("_at._place").alias("_places"))
+    places = materialize(places, "repeat-texts")
     near = flagged(rows, F.col("_key"), places, F.col("_k")).filter("_maybe")
-    texts = near.join(places.hint("merge"), (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn"))).select("_key", "_text", "_places")
+    same = (F.col("_key") == F.col("_k")) & (F.octet_length("_text") == F.col("_kn"))
+    texts = near.join(places.hint("merge"), same).select("_key", "_text", "_places")
     wings = arrow_map(texts, Wings(length, block), "_core long, _item long, _left binary, _right binary").dropDuplicates(["_core", "_item"])
-    wings = materialize(wings.join(mixed.select("_core", "_item", F.least("_many", F.lit(2)).cast("int").alias("_many"), "_kinds").hint("merge"), ["_core", "_item"]), "repeat-wings")
-    plain = wings.filter(F.col("_kinds") <= HOT)
-    found = arrow_map(plain.repartition("_core").sortWithinPartitions("_core"), Shards(block), "_core long, _item long, _first int, _last int")
-    # Hot cores: a shard for each window, whose wings are empty, so its items are equal and only counted.
-    fits = (F.octet_length("_left") >= F.lit(wing) - F.col("_w")) & (F.octet_length("_right") >= F.col("_w"))
-    cut = wings.filter(F.col("_kinds") > HOT).withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(wing)))).filter(fits)
-    cut = cut.withColumns({"_l": F.expr(f"substring(_left, cast(octet_length(_left) - {wing} + _w + 1 as int), cast({wing} - _w as int))"), "_r": F.expr("substring(_right, 1, _w)")}).select("_core", "_item", "_w", "_many", F.xxhash64("_core", "_w", "_l", F.lit(1), "_r").alias("_window"))
-    twice = materialize(cut.groupBy("_core", "_w", "_window").agg(F.min("_item").alias("a"), F.max("_item").alias("b"), F.max("_many").alias("m")).filter("a <> b or m > 1").select("_core", "_w", "_window"), "repeat-hot")
-    # Windows of an item overlap as they are longer than a block: the first and the last one give the span.
-    each = cut.join(twice.hint("merge"), ["_core", "_w", "_window"], "left_semi").groupBy("_core", "_item").agg(F.min("_w").cast("int").alias("_first"), F.max("_w").cast("int").alias("_last"))
-    alike = items.join(kinds.select("_core").hint("merge"), "_core", "left_anti").select("_core", "_item", F.lit(0).alias("_first"), F.lit(wing).alias("_last"))
-    found = materialize(found.union(each).union(alike), "repeat-found")
+    many = mixed.select("_core", "_item", F.least("_many", F.lit(2)).cast("int").alias("_many"), "_kinds")
+    wings = materialize(wings.join(many.hint("merge"), ["_core", "_item"]), "repeat-wings")
+    found = extended(wings.filter(F.col("_kinds") <= HOT).drop("_kinds"), block)
+    hot = wings.filter(F.col("_kinds") > HOT)
+    if not hot.isEmpty():
+        found = found.union(cut_shards(hot, block))
+    # All places of a core with one item have the same wings: all their windows repeat.
+    alike = items.join(kinds.select("_core").hint("merge"), "_core", "left_anti")
+    found = materialize(found.union(alike.select("_core", "_item", F.lit(0).alias("_first"), F.lit(wing).alias("_last"))), "repeat-found")
     # A window can't begin before the text or end behind it.
     begin = F.greatest(F.lit(0), F.col("_place") - wing + F.col("_first"))
     end = F.least(F.col("_n"), F.col("_place") - wing + F.col("_last") + length)
-    spans = wanted.join(found.hint("merge"), ["_core", "_item"]).select("_key", "_n", begin.alias("a"), end.alias("b"))
+    spans = wanted.join(found.hint("merge"), ["_core", "_item"]).withColumn("_place", F.explode("_places"))
+    spans = spans.select("_key", "_n", begin.alias("a"), end.alias("b"))
     return spans.groupBy("_key", "_n").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
 
 

@@ -50,7 +50,7 @@ def rows(df):
     return [tuple(r)[1:5] for r in df.orderBy("doc_id").collect()]
 
 
-@pytest.mark.parametrize("seed, length, block, hot", [(1, 64, 20, 4096), (2, 64, 32, 2), (3, 100, 50, 3), (4, 80, 10, 4096)])
+@pytest.mark.parametrize("seed, length, block, hot", [(1, 64, 20, 4096), (2, 64, 32, 2), (3, 100, 50, 3), (4, 80, 10, 4096), (5, 64, 31, 1)])
 def test_against_brute_force(spark, monkeypatch, seed, length, block, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     texts = corpus(seed)
@@ -70,7 +70,7 @@ def test_kept_bytes_and_clashing_columns(spark):
 def test_extension_against_pairs():
     rng = np.random.default_rng(5)
     for _ in range(300):
-        block, n = int(rng.integers(2, 9)), int(rng.integers(1, 12))
+        block, n = int(rng.integers(1, 9)), int(rng.integers(1, 12))
         wing = block - 1
         items = {(int(rng.integers(0, 2)), bytes(rng.choice([97, 98], rng.integers(0, wing + 1)).tolist()), bytes(rng.choice([97, 98], rng.integers(0, wing + 1)).tolist())) for _ in range(n)}
         items = sorted(items)
@@ -86,3 +86,20 @@ def test_extension_against_pairs():
                 if same or many[k]:
                     hit.append(w)
             assert (first[k], last[k]) == ((hit[0], hit[-1]) if hit else (-1, -1)), (items, k)
+
+
+def test_periodic_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 4)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line = "one common line in very many texts, which is longer than a window. "
+    texts = ["ab" * 60_000, line * 900, *(letters(40) + line + letters(rng.randint(0, 50)) for _ in range(60)), letters(150_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert rows(repeats.remove_repeats(docs, length=64, block=32)) == brute(texts, 64)
+
+
+def test_a_periodic_text_gives_few_rows():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1]), pa.array(["xyz" * 100_000])], names=["_key", "_text"])
+    assert sum(b.num_rows for b in repeats.Cores(400, 192)(iter([batch]))) < 1000
