@@ -1,12 +1,15 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-Each shard (the documents of some Arrow batches) gets a sorted array of the suffixes
-of its word sequence, cut to a window and only where all words of it are the
-benchmark's; every window of every benchmark item is looked up in it by binary
-search, and a match below a window is none.  Windows of ``window`` words (an item of fewer words is one window) that
-occur mark the words they cover; runs of windows on one diagonal give the longest
-verbatim match.  The benchmark is the stated query set: it goes to the shards in
-blocks whose size is measured first, and no shuffle takes place.
+Each shard (the documents of some Arrow batches) has the suffix array of its word
+sequence.  It is built a word at a time: the suffixes of an interval, which agree so
+far, are sorted by their next word, and the suffixes of the benchmark that lie in the
+interval are binary-searched among them.  Only intervals with a suffix of the
+benchmark are sorted further.  Where a suffix of the benchmark finds no interval any
+more its longest verbatim match ends, and the interval before holds its locations.
+Windows of ``window`` words (an item of fewer words is one window) that have an
+interval mark the words they cover; equal windows share it, so each is handled once.
+The benchmark is the stated query set: it goes to the shards in blocks whose size is
+measured first, and no shuffle takes place.
 """
 
 from __future__ import annotations
@@ -34,62 +37,66 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """One block of benchmark items: vocabulary, and the suffixes to look up, by length of the window."""
+    """One block of benchmark items: vocabulary, words, and for each suffix its item and the length of its window."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.names = sorted({name for name, _ in items})
         rank = {name: i for i, name in enumerate(self.names)}
-        by_length: dict[int, list[tuple[list[int], int, int]]] = {}
-        at = 0
+        flat: list[int] = []
+        item: list[int] = []
+        length: list[int] = []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not ids:
-                continue
             n = min(window, len(ids))
-            for i in range(len(ids) - n + 1):
-                by_length.setdefault(n, []).append((ids[i : i + n], rank[name], at + i))
-            at += len(ids) + 1
-        self.by_length = {}
-        for n, rows in by_length.items():
-            self.by_length[n] = (keys(np.array([r[0] for r in rows], np.uint32)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.unique([r[0][0] for r in rows]))
-
-
-def keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of word ids as byte strings of the same order."""
-    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
-
-
-def search(ids: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches of one shard as (start, words, item, longest) rows; ids: 0 for words outside the benchmark and between texts."""
-    out = []
-    for n, (wanted, item, place, first) in queries.by_length.items():
-        if len(ids) < n:
-            continue
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        starts = np.flatnonzero((known[n:] - known[:-n] == n))
-        starts = starts[np.isin(ids[starts], first)]
-        if not len(starts):
-            continue
-        suffixes = keys(ids[starts[:, None] + np.arange(n)])
-        order = np.argsort(suffixes, kind="stable")
-        suffixes, starts = suffixes[order], starts[order]
-        low, high = np.searchsorted(suffixes, wanted, "left"), np.searchsorted(suffixes, wanted, "right")
-        found = high - low
-        at = starts[ranges(low, found)]
-        query = np.repeat(np.arange(len(wanted)), found)
-        if not len(at):
-            continue
-        # Windows that follow each other in the text and in the item are one longer match.
-        diagonal = at - place[query]
-        order = np.lexsort((at, diagonal))
-        new = np.ones(len(at), bool)
-        new[1:] = (diagonal[order][1:] != diagonal[order][:-1]) | (at[order][1:] != at[order][:-1] + 1)
-        run = np.cumsum(new) - 1
-        longest = np.empty(len(at), np.int64)
-        longest[order] = np.bincount(run)[run] + n - 1
-        out.append(np.stack([at, np.full(len(at), n), item[query], longest]))
-    return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+            flat += [*ids, 0]
+            item += [rank[name]] * (len(ids) + 1)
+            length += [n if i + n <= len(ids) else 0 for i in range(len(ids))] + [0]
+        self.words = np.array(flat, np.int64)
+        self.item, self.length = np.array(item, np.int64), np.array(length, np.int64)
+        self.suffixes = np.flatnonzero(self.words)
+        self.lengths = set(np.unique(self.length).tolist()) - {0}
+
+
+def search(ids: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(longest, hits, items) of one shard; ids: 0 for words outside the benchmark, between the texts and at the end.
+
+    longest: words of the longest match with the benchmark that begins at each place;
+    hits: rows (start, words, window) of places of windows; items: those of each window.
+    """
+    longest = np.zeros(len(ids), np.int32)
+    found, items = [np.zeros((3, 0), np.int64)], []
+    size = len(queries.vocabulary) + 1
+    # Suffixes in the order of the array, and the interval of each; those of the benchmark likewise.
+    at, interval = np.flatnonzero(ids), np.zeros(int(np.count_nonzero(ids)), np.int64)
+    asked, asked_in = queries.suffixes, np.zeros(len(queries.suffixes), np.int64)
+    depth = 0
+    while len(at) and len(asked):
+        key = interval * size + ids[at + depth]
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        ends = queries.words[asked + depth] > 0
+        asked, asked_in = asked[ends], asked_in[ends]
+        wanted, which = np.unique(asked_in * size + queries.words[asked + depth], return_inverse=True)
+        low, high = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
+        # Intervals that hold suffixes of both sides are numbered anew.
+        held = high > low
+        number = np.cumsum(held) - 1
+        at = at[ranges(low[held], (high - low)[held])]
+        interval = np.repeat(np.arange(int(held.sum())), (high - low)[held])
+        asked, asked_in = asked[held[which]], number[which[held[which]]]
+        depth += 1
+        longest[at] = depth
+        if depth in queries.lengths and len(asked):
+            whole = queries.length[asked] == depth
+            pairs = np.unique(np.stack([asked_in[whole], queries.item[asked[whole]]]), axis=1)
+            windows, first = np.unique(pairs[0], return_index=True)
+            place = np.searchsorted(windows, interval)
+            hit = np.isin(interval, windows)
+            start = at[hit]
+            found.append(np.stack([start, np.full(len(start), depth), place[hit] + len(items)]))
+            items += np.split(pairs[1], first[1:]) if len(windows) else []
+    return longest, np.concatenate(found, axis=1), items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -119,30 +126,35 @@ class Marker:
                 column = batch.column(batch.schema.get_field_index(self.column))
                 while end < batch.num_rows and total < SHARD_WORDS:
                     found = words(column[end].as_py())
-                    texts.append(np.fromiter((get(w, 0) for w in found), np.uint32, len(found)))
+                    texts.append(np.fromiter((get(w, 0) for w in found), np.int64, len(found)))
                     total += len(found) + 1
                     end += 1
                 yield self.shard(batch.slice(at, end - at), texts, queries)
                 at = end
 
     def shard(self, batch: pa.RecordBatch, texts: list[np.ndarray], queries: Queries) -> pa.RecordBatch:
-        gap = np.zeros(1, np.uint32)
+        gap = np.zeros(1, np.int64)
         ids = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        start, n, item, longest = search(ids, queries)
+        longest, (start, n, window), items_of = search(ids, queries)
         owner = np.searchsorted(begin, start, "right") - 1
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(len(texts) + 1))
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        spans, items, most = columns["_spans"].to_pylist(), columns["_items"].to_pylist(), columns["_longest"].to_pylist()
+        spans, items = columns["_spans"].to_pylist(), columns["_items"].to_pylist()
         for k in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[k] : cuts[k + 1]]
             own = set(zip((start[rows] - begin[k]).tolist(), (start[rows] - begin[k] + n[rows]).tolist()))
             own |= set(zip(spans[k][::2], spans[k][1::2]))
             spans[k] = merged(list(own))
-            items[k] = sorted({*items[k], *(queries.names[i] for i in np.unique(item[rows]))})
-            most[k] = max(most[k], int(longest[rows].max()))
-        columns |= {"_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string())), "_longest": pa.array(most, pa.int64()), "_words": pa.array([len(t) for t in texts], pa.int64())}
+            named = np.unique(np.concatenate([items_of[w] for w in np.unique(window[rows])]))
+            items[k] = sorted({*items[k], *(queries.names[i] for i in named)})
+        most = np.maximum.reduceat(longest, begin[:-1]) if texts else np.zeros(0, np.int32)
+        most = np.maximum(most, columns["_longest"].to_numpy(zero_copy_only=False))
+        columns |= {
+            "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string())),
+            "_longest": pa.array(most, pa.int64()), "_words": pa.array([len(t) for t in texts], pa.int64()),
+        }
         return pa.record_batch([columns[x] for x in batch.schema.names], names=batch.schema.names)
 
 
@@ -152,7 +164,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, window: int = 10,
     Added columns: ``_words`` (long, words of the text), ``_spans`` (array<int>,
     starts and ends of disjoint hit runs, in words), ``_items`` (array<string>, ids
     of items with a window in it, sorted as strings) and ``_longest`` (long, words of
-    the longest verbatim match).  Null and empty texts have no words and no hits;
+    the longest run that some item has, too, be it shorter than a window).  Null and empty texts have no words and no hits;
     items that share an id count as one; a null id is written ``null``.  Rows that
     repeat are handled alike, ties do not arise, an empty table gives no rows; other
     columns pass through, and columns of the four added names are replaced.
@@ -185,5 +197,9 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFr
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; same columns."""
+    """``docs`` without the documents that hold a benchmark window; same columns.
+
+    Null and empty texts and texts without words stay, rows that repeat go or stay
+    alike, an empty table gives no rows, and no column of ``docs`` can clash.
+    """
     return unpacked(match_benchmark(packed(docs, text=F.col("text").cast("string")), benchmark, window=window).filter(F.size("_spans") == 0))

@@ -95,8 +95,11 @@ hits AS (SELECT doc_id, n, i, item, p FROM doc_windows JOIN item_windows USING (
 words AS (SELECT DISTINCT doc_id, i + k - 1 AS x FROM hits, range(n) AS r(k)),
 runs AS (SELECT doc_id, min(x) AS a, max(x) + 1 AS b FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS g FROM words) GROUP BY doc_id, g),
 spans AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_hit, string_agg(a || ',' || b, ',' ORDER BY a) AS hit_spans FROM runs GROUP BY doc_id),
-diagonals AS (SELECT doc_id, n, count(*) + n - 1 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, n, i - p ORDER BY i) AS g FROM hits) GROUP BY doc_id, item, n, i - p, g),
-longest AS (SELECT doc_id, CAST(max(words) AS BIGINT) AS longest_match FROM diagonals GROUP BY doc_id),
+item_words AS (SELECT k, p, w[p] AS x FROM (SELECT row_number() OVER () AS k, w FROM items) AS l, range(1, len(w) + 1) AS r(p)),
+doc_words AS (SELECT doc_id, i, w[i] AS x FROM docs, range(1, len(w) + 1) AS r(i)),
+same_words AS (SELECT doc_id, k, i, i - p AS diagonal FROM doc_words JOIN item_words USING (x)),
+matches AS (SELECT doc_id, count(*) AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, k, diagonal ORDER BY i) AS g FROM same_words) GROUP BY doc_id, k, diagonal, g),
+longest AS (SELECT doc_id, CAST(max(words) AS BIGINT) AS longest_match FROM matches GROUP BY doc_id),
 named AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest_match, 0) AS longest_match, coalesce(hit_spans, '') AS hit_spans
 FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN named USING (doc_id)

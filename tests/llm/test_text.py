@@ -21,15 +21,13 @@ def brute_hits(docs, items, window):
         for name, t in items:
             v = tokens(t)
             n = min(window, len(v))
-            for a in range(len(v) - n + 1):
-                for b in range(len(w) - n + 1):
-                    if n and w[b : b + n] == v[a : a + n]:
-                        hit |= set(range(b, b + n))
-                        ids.add("null" if name is None else str(name))
-                        k = n
-                        while a + k < len(v) and b + k < len(w) and v[a + k] == w[b + k]:
-                            k += 1
-                        longest = max(longest, k)
+            run = [0] * (len(v) + 1)  # words of the common run that ends at each word of the item
+            for b, x in enumerate(w):
+                run = [0, *(run[a] + 1 if x == y else 0 for a, y in enumerate(v))]
+                longest = max(longest, *run)
+                if n and max(run) >= n:
+                    hit |= set(range(b - n + 1, b + 1))
+                    ids.add("null" if name is None else str(name))
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit), longest))
     return sorted(out, key=repr)
 
@@ -53,6 +51,19 @@ def test_decontamination_against_brute_force(spark, block_bytes, window):
     assert decontaminate.report(d.limit(0), b).count() == 0 and decontaminate.report(d, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_matches_below_a_window_and_very_long_texts(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    loop = "again and " * 400
+    docs = [(1, "x w3 w4 w5 y w9 w10"), (2, "w0"), (3, "none of them"), (4, ("pad " * 70_000) + item + " pad" * 9), (5, loop), (6, None)]
+    d = spark.createDataFrame([(*r, "n") for r in docs], "doc_id long, text string, _words string")
+    b = spark.createDataFrame([(1, item), (2, item + " more"), (3, "again and " * 30)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(d, b).collect()}
+    assert {i: r.longest_match for i, r in got.items()} == {1: 3, 2: 1, 3: 0, 4: 30, 5: 60, 6: 0}
+    assert (got[4].n_hit, got[4].hit_spans, got[4].n_items, got[5].n_hit) == (30, "70000,70030", 2, 800)
+    left = decontaminate.remove_contaminated(d, b)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 6]
+
+
 # ---- secrets
 
 
