@@ -1,8 +1,8 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
 Equal unit vectors of a label become one row first.  A label's vectors are rotated
-by its principal axes and cut into tiles along the first one; only tiles closer than
-the threshold allows are paired.  A pair of tiles is compared from the leading
+by its principal axes and cut into tiles along the first one; only tiles whose boxes on
+the leading axes are closer than the threshold allows are paired.  A pair of tiles is compared from the leading
 dimensions on: the partial product plus the product of the suffix norms bounds the
 cosine, and pairs whose bound is below the threshold are dropped before the next
 dimensions are read.  Cosines are in double precision; the few within 1e-9 of the
@@ -21,8 +21,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 
-#: Vectors of a tile.
-TILE = 1024
+#: Bytes of the coordinates of a tile, about; a label that fits is one tile.
+TILE_BYTES = 4 << 20
+#: Bytes of the vectors that are rotated by one task at once, about.
+ROTATED_BYTES = 16 << 20
+#: Leading axes of which a tile knows its least and largest coordinates.
+BOX = 8
+#: Pairs of vectors that are compared at once.
+PAIRS = 1 << 22
 #: Dimensions after which the bound is checked.
 STEPS = (8, 16, 32)
 #: Slack of the bounds and tile gaps for rounding; the last comparison has none.
@@ -58,6 +64,19 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, steps: tuple[int
     return i, j, part
 
 
+def all_close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``close_pairs``, some rows of x at a time so that memory stays bounded; same: x is y, and only pairs i < j count."""
+    out = []
+    step = max(1, PAIRS // max(len(y), 1))
+    for at in range(0, len(x), step):
+        from_row = at if same else 0
+        i, j, cosine = close_pairs(x[at : at + step], y[from_row:], threshold)
+        i, j = i + at, j + from_row
+        keep = i < j if same else np.ones(len(i), bool)
+        out.append((i[keep], j[keep], cosine[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else close_pairs(x, y, threshold)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Positions of pairs that connect all that the pairs connect, without a circle."""
     up: dict[int, int] = {}
@@ -88,9 +107,7 @@ def _tile_pairs(threshold: float):
             for ids, ns, pca, ids2, ns2, pca2, same in zip(pdf["ids"], pdf["ns"], pdf["pca"], pdf["ids2"], pdf["ns2"], pdf["pca2"], pdf["same"]):
                 ids, ns, ids2, ns2 = (np.asarray(v, np.int64) for v in (ids, ns, ids2, ns2))
                 x, y = (np.frombuffer(b"".join(b), np.float64).reshape(len(k), -1) for b, k in ((pca, ids), (pca2, ids2)))
-                i, j, cosine = close_pairs(x, y, threshold)
-                if same:
-                    i, j, cosine = i[i < j], j[i < j], cosine[i < j]
+                i, j, cosine = all_close_pairs(x, y, threshold, bool(same))
                 near = np.abs(cosine - threshold) <= SLACK
                 sure = ~near & (cosine >= threshold)
                 found.append(pd.DataFrame({"a": ids[i[near]], "b": ids2[j[near]], "n": pd.NA, "near": True}))
@@ -137,18 +154,47 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_label": [label], "_dims": [dims], "_m": [s.ravel().tolist()]})
 
 
-def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each class's coordinates on the axes of its label."""
+def _rotate(own: pd.DataFrame, bases: pd.DataFrame) -> pd.DataFrame:
+    """Coordinates of some vectors of a label on its axes, which come once for all of them."""
+    columns = ["_class", "_n", "_label", "_dims"]
+    if not len(own) or not len(bases):
+        return pd.DataFrame({c: [] for c in [*columns, "_p", "_first"]})
+    x = np.frombuffer(b"".join(own["_u"]), np.float64).reshape(len(own), -1)
+    p = x @ np.frombuffer(bases["_axes"].iloc[0], np.float64).reshape(x.shape[1], -1)
+    return own[columns].assign(_p=[r.tobytes() for r in p], _first=p[:, 0])
+
+
+def _boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the least and largest coordinates of each tile on the leading axes."""
     for pdf in batches:
-        parts = []
-        for _, own in pdf.groupby(["_label", "_dims"]):
-            x = np.frombuffer(b"".join(own["_u"]), np.float64).reshape(len(own), -1)
-            p = x @ np.frombuffer(own["_axes"].iloc[0], np.float64).reshape(x.shape[1], -1)
-            parts.append(own[["_class", "_n", "_label", "_dims"]].assign(_p=[r.tobytes() for r in p], _first=p[:, 0]))
-        yield pd.concat(parts) if parts else pd.DataFrame(columns=["_class", "_n", "_label", "_dims", "_p", "_first"])
+        boxes = [np.frombuffer(b"".join(p), np.float64).reshape(len(p), -1)[:, :BOX] for p in pdf["pca"]]
+        yield pdf[["_label", "_dims", "_tile"]].assign(lo=[b.min(0) for b in boxes], hi=[b.max(0) for b in boxes])
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
+def paired(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(_label, _dims, t1, t2): pairs of tiles that may hold a close pair; tiles: (_label, _dims, _tile, lo, hi).
+
+    The distance of unit vectors is at least that of their boxes on any axes.  The
+    tiles of a label are dealt over tasks: each meets the others in one of several parts.
+    """
+    sizes = tiles.groupBy("_label", "_dims").agg(F.expr("cast(1 + count(1) div 64 as int)").alias("_parts"))
+    dealt = tiles.join(sizes, ["_label", "_dims"])
+    one = dealt.select(
+        "_label", "_dims", F.pmod(F.xxhash64("_tile"), F.col("_parts")).cast("int").alias("_part"),
+        F.col("_tile").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"),
+    )
+    two = dealt.select(
+        "_label", "_dims", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_part"),
+        F.col("_tile").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"),
+    )
+    gaps = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    apart = F.zip_with(gaps("lo2", "hi1"), gaps("lo1", "hi2"), lambda x, y: (x + y) * (x + y))
+    distance = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x)
+    near = one.join(two, ["_label", "_dims", "_part"]).filter((F.col("t1") <= F.col("t2")) & (distance <= max(0.0, 2 - 2 * threshold) + 1e-6))
+    return near.select("_label", "_dims", "t1", "t2")
+
+
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int | None = None) -> DataFrame:
     """One row per vector: the id, n_links (long), component_id (long), kept (boolean).
 
     Vectors link when their labels are equal and not null and their cosine, in double
@@ -157,6 +203,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     different lengths.  n_links counts the other rows linked directly (rows that
     repeat, also under one id, count each); component_id is the smallest id reachable;
     a null id takes part in links and stands under null.  An empty table gives no rows.
+    ``tile``: vectors of a tile; by default as many as have TILE_BYTES.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vector_col).cast("array<double>").alias("_v"))
     units = materialize(rows.mapInPandas(_units, "_id long, _label string, _u binary"), "vectors")
@@ -172,16 +219,23 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
             yield pd.DataFrame({"_label": pdf["_label"], "_dims": pdf["_dims"], "_axes": [np.ascontiguousarray(axes(np.array([c["s"] for c in m]).reshape(d, d))).tobytes() for m, d in zip(pdf["m"], pdf["_dims"])]})
 
     bases = materialize(moments.mapInPandas(to_axes, "_label string, _dims int, _axes binary"), "vector-axes")
-    projected = materialize(classes.join(bases, ["_label", "_dims"]).select("_class", "_n", "_label", "_dims", "_u", "_axes").mapInPandas(_project, "_class long, _n long, _label string, _dims int, _p binary, _first double"), "vector-projections")
-    # Tiles: runs of about ``tile`` classes of a label along its first axis, by exact quantile buckets of a range partitioning.
-    dealt = projected.repartitionByRange(F.col("_label"), F.col("_dims"), F.col("_first"), F.col("_class")).sortWithinPartitions("_label", "_dims", "_first", "_class").withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_tile", F.expr(f"_at div {tile}"))
-    tiles = dealt.groupBy("_label", "_dims", "_tile").agg(F.sort_array(F.collect_list(F.struct("_class", "_n", "_p"))).alias("c"), F.min("_first").alias("lo"), F.max("_first").alias("hi"))
-    tiles = materialize(tiles.select("_label", "_dims", "_tile", "lo", "hi", F.col("c._class").alias("ids"), F.col("c._n").alias("ns"), F.col("c._p").alias("pca")), "vector-tiles")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    one = tiles.select("_label", "_dims", F.col("_tile").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    two = tiles.select("_label", "_dims", F.col("_tile").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    near = one.join(two, ["_label", "_dims"]).filter((F.col("t1") <= F.col("t2")) & (F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach)).select("_label", "_dims", "t1", "t2")
+    # The axes of a label go once to each part of its vectors, not to each vector.
+    width = F.greatest(F.lit(1), F.lit(ROTATED_BYTES) / (8 * F.col("_dims")))
+    parts = classes.groupBy("_label", "_dims").agg(F.count(F.lit(1)).alias("_c")).withColumn("_parts", F.ceil(F.col("_c") / width).cast("int"))
+    salted = classes.join(parts, ["_label", "_dims"]).withColumn("_part", F.pmod("_class", F.col("_parts")).cast("int"))
+    spread = bases.join(parts, ["_label", "_dims"]).select("_label", "_dims", "_axes", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_part"))
+    keys = ["_label", "_dims", "_part"]
+    rotated = salted.select("_class", "_n", "_u", *keys).groupBy(*keys).cogroup(spread.groupBy(*keys))
+    projected = materialize(rotated.applyInPandas(_rotate, "_class long, _n long, _label string, _dims int, _p binary, _first double"), "vector-projections")
+    # Tiles: runs of classes of a label along its first axis, by exact quantile buckets of a range partitioning.
+    line = [F.col(c) for c in ("_label", "_dims", "_first", "_class")]
+    dealt = projected.repartitionByRange(*line).sortWithinPartitions(*line).withColumn("_at", F.monotonically_increasing_id())
+    per_tile = str(tile) if tile else f"greatest(1, {TILE_BYTES} div (8 * _dims))"
+    dealt = dealt.withColumn("_tile", F.expr(f"_at div {per_tile}"))
+    tiles = dealt.groupBy("_label", "_dims", "_tile").agg(F.sort_array(F.collect_list(F.struct("_class", "_n", "_p"))).alias("c"))
+    tiles = materialize(tiles.select("_label", "_dims", "_tile", F.col("c._class").alias("ids"), F.col("c._n").alias("ns"), F.col("c._p").alias("pca")), "vector-tiles")
+    boxes = tiles.select("_label", "_dims", "_tile", "pca").mapInPandas(_boxes, "_label string, _dims int, _tile long, lo array<double>, hi array<double>")
+    near = paired(materialize(boxes, "vector-boxes"), threshold)
     first = tiles.select("_label", "_dims", F.col("_tile").alias("t1"), "ids", "ns", "pca")
     second = tiles.select("_label", "_dims", F.col("_tile").alias("t2"), *(F.col(c).alias(f"{c}2") for c in ("ids", "ns", "pca")))
     work = near.join(first, ["_label", "_dims", "t1"]).join(second, ["_label", "_dims", "t2"]).withColumn("same", F.col("t1") == F.col("t2"))
