@@ -1,8 +1,9 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 The shingles of a text are put in one global order, rarest first: by the frequency of
-the most frequent shingles of the corpus (a table of fixed size, counted over all
-documents), then by hash.  Two sets that reach the threshold share a shingle in their
+the most frequent shingles of the corpus (a table of at most FREQUENT, counted over all
+documents; a task with very many different shingles forgets those it has seen once so
+far, so a count may be low, which costs candidates and never a link), then by hash.  Two sets that reach the threshold share a shingle in their
 prefixes, so the prefixes are indexed.  Texts with equal sets are one class.  Classes
 that share a prefix shingle meet in a cell; where the classes of a shingle all share
 one hotter shingle, the hotter one's cell serves for both, so a set is sent about once.
@@ -30,6 +31,8 @@ from .shingles import common, identity, sets
 
 #: Most frequent shingles whose frequency the order knows.
 FREQUENT = 1 << 17
+#: Rows of one shingle that a task holds at once; of a shingle with more all rows pass.
+HELD = 2_000_000
 #: Texts with a shingle beyond which its index rows are spread over SALTS tasks, which then can't drop any.
 HOT = 100_000
 SALTS = 64
@@ -37,6 +40,8 @@ SALTS = 64
 TILE = 256
 #: Shingles a task counts at once; beyond, those seen once are forgotten and counted anew.
 COUNTED = 2_000_000
+#: Bytes of the sets of a tile, about; a single larger set is a tile of its own.
+TILE_BYTES = 8 << 20
 #: Rows of a bin of cells with histograms, and bytes of one with sets, about.
 BIN_ROWS = 1500
 BIN_BYTES = 4 << 20
@@ -186,18 +191,30 @@ class Viable:
         self.percent = percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_token", "_cid", "_n", "_place"]
         held: list[pa.RecordBatch] = []
+        passing = None  # a token of which some rows have passed without a look at the others
         for batch in batches:
-            spread = batch.column(4).to_numpy() >= 0
-            if spread.any():
-                free = batch.filter(pa.array(spread))
-                yield pa.record_batch([free.column(i) for i in range(4)], names=["_token", "_cid", "_n", "_place"])
-                batch = batch.filter(pa.array(~spread))
+            free = batch.column(4).to_numpy() >= 0
+            if passing is not None:
+                free |= batch.column(0).to_numpy() == passing
+            if free.any():
+                through = batch.filter(pa.array(free))
+                yield pa.record_batch([through.column(i) for i in range(4)], names=names)
+                batch = batch.filter(pa.array(~free))
             if not batch.num_rows:
                 continue
             held.append(batch)
             first, last = held[0].column(0)[0].as_py(), batch.column(0)[batch.num_rows - 1].as_py()
-            if first == last or sum(b.num_rows for b in held) < 50_000:
+            rows = sum(b.num_rows for b in held)
+            if first == last:
+                if rows > HELD:
+                    passing = last
+                    for b in held:
+                        yield pa.record_batch([b.column(i) for i in range(4)], names=names)
+                    held = []
+                continue
+            if rows < 50_000:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             cut = int(np.flatnonzero(table.column(0).to_numpy() != last)[-1]) + 1
@@ -349,9 +366,22 @@ def _cells(order: Order, count: bool):
 
 
 def frequent_shingles(rows: DataFrame, k: int, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` most frequent shingles over all texts, sorted by hash, with their counts: a bounded table."""
-    counted = arrow_map(rows.select("_text"), Counter(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 3")
-    got = counted.orderBy(F.col("n").desc(), "h").limit(size).toPandas()
+    """At most ``size`` of the most frequent shingles over all texts, sorted by hash, with their counts.
+
+    A histogram of the counts, in steps of a sixteenth of a doubling, tells from which
+    step on the shingles are few enough, so only these come to the driver.
+    """
+    level = F.floor(16 * F.log2("n")).cast("int")
+    counted = arrow_map(rows.select("_text"), Counter(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.filter("n > 3"), "jaccard-frequent")
+    steps = counted.groupBy(level.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    from_step, total = 1 << 20, 0
+    for step, n in sorted(((r.step, r.n) for r in steps), reverse=True):
+        total += n
+        if total > size:
+            break
+        from_step = step
+    got = counted.filter(level >= from_step).toPandas()
     h = got["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], got["n"].to_numpy(np.int64)[order]
@@ -390,9 +420,12 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     sketched = cells.join(classes.select("_cid", "_hist"), "_cid").withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)).cast("int"))
     edges = materialize(sketched.groupBy("bin").applyInPandas(_suffix_filter(percent), "a long, b long"), "jaccard-edges")
     parts = components(edges).select(F.col("node").alias("_cid"), F.col("component").alias("part"))
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_g"))
-    tiled = parts.join(sizes, "part").withColumn("_tiles", F.expr(f"cast((_g + {tile - 1}) div {tile} as int)"))
-    tiled = materialize(tiled.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int")).join(classes.select("_cid", "_n"), "_cid"), "jaccard-parts")
+    sized = parts.join(classes.select("_cid", "_n"), "_cid")
+    sizes = sized.groupBy("part").agg(F.count(F.lit(1)).alias("_g"), (8 * F.sum("_n")).alias("_bytes"))
+    tiles = F.expr(f"cast(greatest((_g + {tile - 1}) div {tile}, (_bytes + {TILE_BYTES - 1}) div {TILE_BYTES}) as int)")
+    tiled = sized.join(sizes, "part").withColumn("_tiles", tiles)
+    tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int")).drop("_g", "_bytes")
+    tiled = materialize(tiled, "jaccard-parts")
     bins = max(least, (tiled.agg(F.sum(8 * F.col("_n") * F.col("_tiles"))).first()[0] or 0) // BIN_BYTES)
     sent = tiled.withColumn("_other", F.explode(F.expr("sequence(0, _tiles - 1)"))).select("_cid", "part", F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
     placed = sent.select("_cid", F.struct(F.pmod(F.xxhash64("part", "i", "j"), F.lit(bins)).cast("int").alias("bin"), "part", "i", "j", "tile").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))

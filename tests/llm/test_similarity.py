@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from drawloom.llm import components as components_module
 from drawloom.llm import embeddings, jaccard, shingles
 from drawloom.llm.components import components
 
@@ -116,9 +117,23 @@ def test_suffix_filter_connects_sets_of_any_allowed_lengths(percent):
             assert root[0] == root[1] >= 0
 
 
-def test_components(spark):
+def test_a_shingle_with_very_many_rows_passes_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "HELD", 30)
+    token = np.repeat([1, 2, 3], [40, 100, 5])
+    table = pa.table({"_token": token, "_cid": np.arange(145), "_n": np.where(np.arange(145) % 2, 10, 1000), "_place": np.zeros(145, int), "_salt": np.full(145, -1)})
+    out = pa.Table.from_batches(list(jaccard.Viable(90)(iter(table.to_batches(max_chunksize=20)))))
+    assert {1, 2} <= set(out["_token"].to_pylist()) and out["_token"].to_pylist().count(2) == 100
+    assert len(set(out["_cid"].to_pylist())) == out.num_rows >= 140
+
+
+@pytest.mark.parametrize("chunk, degree", [(1_000_000, 400), (7, 3), (1, 1)])
+def test_components(spark, monkeypatch, chunk, degree):
+    monkeypatch.setattr(components_module, "CHUNK", chunk)
+    monkeypatch.setattr(components_module, "DEGREE", degree)
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(7, 7), (7, 7)] + [(1000, 1001 + i) for i in range(50)]
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(7, 7), (7, 7)] + [(1000, 1001 + i) for i in range(50)] + [(2000 + i, 3000) for i in range(50)]
     up = {x: x for e in edges for x in e}
 
     def root(i):
@@ -130,11 +145,18 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         up[y] = x
     real = {x for a, b in edges if a != b for x in (a, b)}
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {x: root(x) for x in real}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_table_of_frequent_shingles_is_bounded(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{j}" for j in range(i, 60)),) for i in range(60)], "_text string")
+    every = jaccard.frequent_shingles(docs, 1)
+    few = jaccard.frequent_shingles(docs, 1, size=20)
+    assert len(every[0]) == 57 and 0 < len(few[0]) <= 20 and few[1].min() > every[1].min() and (np.diff(few[0].astype(object)) > 0).all()
+
+
 def brute_vectors(rows, threshold):
     ok = lambda v: v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v)
     link = lambda a, b: a[2] is not None and a[2] == b[2] and ok(a[1]) and ok(b[1]) and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= threshold
@@ -153,7 +175,7 @@ def brute_vectors(rows, threshold):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
+@pytest.mark.parametrize("tile", [4, None])
 def test_vectors_against_all_pairs(spark, tile):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 40))
@@ -184,3 +206,26 @@ def test_shingle_sets_of_few_words_alone_in_a_piece(k):
     got = shingles.sets([long, "a b", long, "a b c", "a b"], k)
     assert [x.tolist() for x in got] == [shingles.sets([t], k)[0].tolist() for t in (long, "a b", long, "a b c", "a b")]
     assert got[1].tolist() == got[4].tolist() == shingles.sets(["a b", "more words than k in the same piece of the text here"], k)[0].tolist()
+
+
+def test_wide_vectors_ties_and_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 768))
+    rows = [(i, (centres[i % 4] + rng.normal(size=768) * 0.2).tolist(), i % 2, "x", i) for i in range(60)]
+    tie = [0.93, float(np.sqrt(1 - 0.93**2))]
+    rows += [(100, [1.0, 0.0], 9, "x", 0), (101, tie, 9, "x", 0), (102, [tie[0] - 1e-7, float(np.sqrt(1 - (tie[0] - 1e-7) ** 2))], 9, "x", 0), (100, [1.0, 0.0], 9, "x", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, _class string, _n long").repartition(3)
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(df, tile=7).collect())
+    assert [r for r in got if r[0] < 100] == brute_vectors(rows[:60], 0.93)
+    exact = float(np.dot(embeddings.unit(np.array([[1.0, 0.0]]))[0], embeddings.unit(np.array([tie]))[0])) >= 0.93
+    assert [r[1] for r in got if r[0] >= 100] == ([2, 2, 3, 1] if exact else [1, 1, 1, 1])
+
+
+def test_comparison_in_parts_equals_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = (embeddings.unit(rng.normal(size=(n, 24)) + 1.5) for n in (50, 33))
+    whole = {(i, j) for i in range(50) for j in range(33) if x[i] @ y[j] >= 0.9}
+    monkeypatch.setattr(embeddings, "PAIRS", 100)
+    assert {(i, j) for i, j, c in zip(*embeddings.all_close_pairs(x, y, 0.9, False)) if c >= 0.9} == whole
+    i, j, c = embeddings.all_close_pairs(x, x, 0.9, True)
+    assert {(a, b) for a, b, v in zip(i, j, c) if v >= 0.9} == {(a, b) for a in range(50) for b in range(a + 1, 50) if x[a] @ x[b] >= 0.9}
