@@ -7,10 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import greedy_diverse, ticket_error
+from ..functions.arrays import greedy_diverse, overlap, ticket_error
 from ..schema import OptimizerError, SelectionError
 
 
+#: Tickets that a round of the optimizer looks at.
+BLOCK = 200
+
+
 @dataclass(frozen=True)
 class OptimizerConfig:
     max_overlap: int = 4
@@ -34,10 +38,31 @@ class TicketOptimizer:
             raise OptimizerError(bad.e)
 
     def optimize(self, tickets: DataFrame) -> DataFrame:
-        """(pos, ticket) of the accepted ones; tickets: (pos, ticket), one list, checked whole before."""
+        """(pos, ticket) of the accepted ones; tickets: (pos, ticket), one list, checked whole before.
+
+        Equal tickets meet in a distributed aggregate.  Then rounds of BLOCK: the first
+        tickets that are compatible with all accepted so far, of which the greedy rule
+        accepts the first at least; so there are at most ``max_tickets`` rounds, and
+        the list is never in one place.
+        """
         self.check(tickets)
-        listed = tickets.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ticket"))), lambda x: x["ticket"]).alias("tickets"))
-        return self.optimize_lists(listed).select(F.posexplode("recommended").alias("pos", "ticket"))
+        each = tickets.groupBy(F.array_sort("ticket").alias("ticket")).agg(F.min("pos").alias("pos"))
+        chosen: list[list[int]] = []
+        last = None
+        while len(chosen) < self.config.max_tickets:
+            left = each if last is None else each.filter(F.col("pos") > last)
+            for c in chosen:
+                left = left.filter(overlap(F.col("ticket"), F.array(*map(F.lit, c))) <= self.config.max_overlap)
+            block = left.orderBy("pos").limit(BLOCK).collect()
+            for row in block:
+                room = len(chosen) < self.config.max_tickets
+                if room and all(len(set(c) & set(row.ticket)) <= self.config.max_overlap for c in chosen):
+                    chosen.append(row.ticket)
+            if len(block) < BLOCK:
+                break
+            last = block[-1].pos
+        kind = tickets.schema["ticket"].dataType.simpleString()
+        return tickets.sparkSession.createDataFrame(list(enumerate(chosen)), f"pos int, ticket {kind}")
 
     def optimize_lists(self, lists: DataFrame) -> DataFrame:
         """``lists`` plus recommended; lists: one array ``tickets`` in each row."""
@@ -55,7 +80,7 @@ class TicketSelector:
         try:
             chosen = self.optimizer.optimize(tickets)
         except OptimizerError as bad:
-            raise SelectionError(str(bad)) from bad
+            raise SelectionError(f"Ticket optimization failed: {bad}") from bad
         if chosen.isEmpty():
             raise SelectionError("No tickets remained after optimization")
         return chosen

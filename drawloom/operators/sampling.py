@@ -64,11 +64,19 @@ class TicketGenerator:
         return lists.select(*by, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda t: weighted_ticket(F.col("_c"), seed, t, self.main_number_count)).alias("tickets"))
 
     def generate_tickets(self, scores: DataFrame, count: int, seed: int | None = None) -> DataFrame:
-        """(ticket_no, ticket): ``count`` tickets; equal seeds give equal tickets; tickets may repeat."""
+        """(ticket_no, ticket): ``count`` tickets; equal seeds give equal tickets; tickets may repeat.
+
+        The candidates are one row (of max_number numbers at most), which goes to all
+        tasks; the tickets are spread over the cluster by their numbers.
+        """
         if count <= 0:
             raise ValueError("count must be positive")
         self.check_scores(scores, [])
-        return self.generate_lists(scores, count, F.lit(fixed_seed(seed)), []).select(F.posexplode("tickets").alias("ticket_no", "ticket"))
+        one = scores.agg(F.sort_array(F.collect_list(F.struct("number", F.col("score").alias("weight")))).alias("_c"))
+        t = F.col("id").cast("int")
+        numbered = scores.sparkSession.range(count).join(F.broadcast(one))
+        ticket = weighted_ticket(F.col("_c"), F.lit(fixed_seed(seed)), t, self.main_number_count)
+        return numbered.select(t.alias("ticket_no"), ticket.alias("ticket"))
 
     def generate_ticket(self, scores: DataFrame, seed: int | None = None) -> DataFrame:
         return self.generate_tickets(scores, 1, seed)

@@ -28,7 +28,8 @@ class NumberPredictor:
     def score_numbers(self, frequencies: DataFrame, recency: DataFrame | None = None, by: list[str] | None = None, *, check: bool = True) -> DataFrame:
         """(by..., number, score); frequencies: (by..., number, count), recency: (number, recency), 0 where absent.
 
-        No rows give no rows; a negative count is an error.
+        Without ``by`` in the order of the numbers.  No rows give no rows; a negative
+        count is an error.
         """
         by = by or []
         if check and frequencies.filter("count < 0").limit(1).count():
@@ -39,7 +40,8 @@ class NumberPredictor:
             frequencies = frequencies.join(recency.select("number", F.col("recency").cast("double").alias("_recency")), "number", "left")
             recent = F.coalesce(F.col("_recency"), F.lit(0.0))
         fw, rw = F.lit(float(self.frequency_weight)), F.lit(float(self.recency_weight))
-        return frequencies.select(*by, "number", ((fw * share + rw * recent) / (fw + rw)).alias("score"))
+        scores = frequencies.select(*by, "number", ((fw * share + rw * recent) / (fw + rw)).alias("score"))
+        return scores if by else scores.orderBy("number")
 
     def rank_numbers(self, frequencies: DataFrame, recency: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
         """The scores plus rank: best first, ties by number."""

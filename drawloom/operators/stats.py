@@ -22,8 +22,9 @@ def number_counts(draws: DataFrame) -> DataFrame:
 
 
 def number_frequency(draws: DataFrame) -> DataFrame:
-    """number, count, frequency: the share of all numbers drawn (not of the draws)."""
-    return number_counts(draws).withColumn("frequency", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    """number, count, frequency, by number; frequency: the share of all numbers drawn (not of the draws)."""
+    share = F.col("count") / F.sum("count").over(Window.partitionBy())
+    return number_counts(draws).withColumn("frequency", share).orderBy("number")
 
 
 def frequency_for(frequency: DataFrame, number: int) -> DataFrame:

@@ -30,11 +30,21 @@ class BacktestResult:
             out += [F.coalesce(F.max(f"{side}best_match"), zero).alias(f"{side}best_match"), F.coalesce(F.sum(f"{side}total_matches"), zero).alias(f"{side}total_matches"), F.coalesce(F.sum(f"{side}total_matches").cast("double") / F.count(F.lit(1)), F.lit(0.0)).alias(f"{side}average_matches")]
         return self.cases.agg(*out)
 
-    def at_least(self, threshold: int) -> DataFrame:
-        """One row: threshold, match_count, baseline_match_count, the cases whose best match reaches it."""
-        if threshold <= 0:
+    def at_least(self, *thresholds: int) -> DataFrame:
+        """A row each: threshold (long), match_count, baseline_match_count, the cases whose best match reaches it.
+
+        All thresholds in one pass over the cases.
+        """
+        if not thresholds or min(thresholds) <= 0:
             raise ValueError("threshold must be positive")
-        return self.cases.agg(F.count_if(F.col("best_match") >= threshold).alias("match_count"), F.count_if(F.col("baseline_best_match") >= threshold).alias("baseline_match_count")).select(F.lit(threshold).alias("threshold"), "match_count", "baseline_match_count")
+        reach = lambda c, t: F.count_if(F.col(c) >= t)
+        rows = [F.struct(F.lit(t).cast("long"), F.lit(i)) for i, t in enumerate(thresholds)]
+        counts = self.cases.agg(
+            F.array(*(reach("best_match", t) for t in thresholds)).alias("_ours"),
+            F.array(*(reach("baseline_best_match", t) for t in thresholds)).alias("_theirs"),
+        )
+        each = counts.select("_ours", "_theirs", F.explode(F.array(*rows)).alias("_t")).select("_ours", "_theirs", F.col("_t.col1").alias("threshold"), F.col("_t.col2").alias("_i"))
+        return each.select("threshold", F.get("_ours", "_i").alias("match_count"), F.get("_theirs", "_i").alias("baseline_match_count"))
 
     def report(self) -> DataFrame:
         """The summary with the size of the dataset and the differences to the baseline."""

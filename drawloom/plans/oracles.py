@@ -74,7 +74,16 @@ SQL = {
     "ticket_jaccard": f"{PAIRS} SELECT ord, CAST(len(list_intersect(numbers, other)) AS DOUBLE) / len(list_distinct(numbers || other)) AS jaccard FROM pairs",
     "distinct_ticket_lists": f"{LISTS}, chosen AS (SELECT * FROM lists) {EXPLODED}",
     "optimize_tickets": f"{LISTS}, chosen AS (SELECT list, {_greedy('tickets')} AS tickets FROM lists) {EXPLODED}",
-    "select_tickets": f"{LISTS}, chosen AS (SELECT list, {_greedy('tickets')} AS tickets FROM lists) {EXPLODED}",
+    "select_tickets": f"""WITH {BASE}, firsts AS (SELECT numbers, min(ord) AS first FROM draws GROUP BY numbers),
+        one AS (SELECT {_greedy("list(numbers ORDER BY first)")} AS tickets FROM firsts)
+        SELECT CAST(pos - 1 AS BIGINT) AS pos, array_to_string(tickets[pos], ',') AS ticket FROM one, range(1, len(tickets) + 1) AS r(pos)""",
+    "csv_rows": """WITH made AS (SELECT o_orderkey AS k, CASE WHEN k % 2 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders),
+        listed AS (SELECT k, date, CASE WHEN k % 11 = 6 THEN '' ELSE CAST(k AS VARCHAR) END AS draw_id,
+            CASE k % 11 WHEN 1 THEN [] WHEN 2 THEN ['1', NULL, '3'] WHEN 3 THEN [] WHEN 4 THEN [CAST(k % 7 + 1 AS VARCHAR), CAST(k % 7 + 1 AS VARCHAR)] WHEN 5 THEN ['4', '0']
+            ELSE [CAST(k % 7 + 1 AS VARCHAR), CAST(k % 5 + 11 AS VARCHAR), CAST(k % 3 + 31 AS VARCHAR)] END AS numbers FROM made)
+        SELECT k AS ord, draw_id, array_to_string(numbers, ',') AS numbers, date,
+            CASE k % 11 WHEN 1 THEN 'numbers cannot be empty' WHEN 2 THEN 'numbers must contain integers' WHEN 3 THEN 'A draw must contain at least one number' WHEN 4 THEN 'Lottery numbers must be unique'
+            WHEN 5 THEN 'Lottery numbers must be positive' WHEN 6 THEN 'draw_id cannot be empty' END AS error FROM listed""",
     "walk_forward_splits": f"WITH {BASE}, {SIZES} SELECT split_id, CAST(train + split_id * test AS BIGINT) AS train_size, CAST(test AS BIGINT) AS test_size, ord, draw_id FROM test_rows",
     "walk_forward_frequency": f"WITH {BASE}, {SIZES} SELECT split_id, number, count FROM train_counts",
     "generate_tickets": f"WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED))} SELECT ticket_no, array_to_string(ticket, ',') AS ticket FROM tickets",

@@ -1,7 +1,8 @@
 """Queries over the driver tables and the SQL that gives the same rows.
 
 Draws come from orders (see sources.tables).  Walk-forward queries train on half of
-the draws and test in blocks of a twentieth, with TICKETS tickets and SEED.
+the draws and test in blocks of a twentieth, with TICKETS tickets and SEED; the draws in
+their order are written once, as counting, checking and testing each read them.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import distinct_tickets, greedy_diverse, jaccard_similarity, overlap
+from ..functions.arrays import distinct_tickets, jaccard_similarity, overlap
 from ..operators import draws as D
 from ..operators import stats as S
-from ..operators.diversity import TicketOptimizer
+from ..operators.diversity import TicketOptimizer, TicketSelector
 from ..operators.sampling import RandomBaseline, TicketGenerator
 from ..operators.scoring import NumberPredictor
 from ..sources import tables
+from ..sources.csv_draws import CsvDatasetLoader
 from ..sources.entries import entries_desc as newest_first
+from ..storage import materialize
 from .backtest import Backtester, BacktestResult
 from .recommend import RecommendationEngine
 
@@ -37,7 +40,7 @@ def _sizes(draws: DataFrame) -> tuple[int, int, int]:
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> D.WalkForward:
-    draws = tables.draws(spark, sf_dir)
+    draws = materialize(tables.draws(spark, sf_dir), "draws")
     return D.WalkForward(draws, *_sizes(draws))
 
 
@@ -146,9 +149,30 @@ def optimize_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def select_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimizing what was optimized changes nothing."""
-    once = TicketOptimizer().optimize_lists(_lists(spark, sf_dir))
-    return _exploded(once, greedy_diverse(F.col("recommended"), 4, 10))
+    """The selector's choice from all draws as one list of tickets, in their order."""
+    draws = materialize(tables.draws(spark, sf_dir), "draws")
+    chosen = TicketSelector().select(draws.select(F.col("ord").alias("pos"), F.col("numbers").alias("ticket")))
+    return chosen.select(F.col("pos").cast("long").alias("pos"), listed(F.col("ticket")).alias("ticket"))
+
+
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the CSV loader makes of a record for each order, of which some are broken on purpose, each in its way.
+
+    The records are made here as the reader gives them, from the line numbers of orders
+    as texts with blanks, signs, semicolons and empty parts.
+    """
+    k = F.col("o_orderkey")
+    key, part = k.cast("string"), lambda m: (k % m + 1).cast("string")
+    three = F.concat(part(7), F.lit(", "), (k % 5 + 11).cast("string"), F.lit(";;+"), (k % 3 + 31).cast("string"), F.lit(" "))
+    text = (
+        F.when(k % 11 == 1, F.lit("  ")).when(k % 11 == 2, F.lit("1,x,3")).when(k % 11 == 3, F.lit(" ; ,"))
+        .when(k % 11 == 4, F.concat(part(7), F.lit(","), part(7))).when(k % 11 == 5, F.lit("4,0")).otherwise(three)
+    )
+    name = F.when(k % 11 == 6, F.lit(" \t ")).otherwise(F.concat(F.lit(" "), key))
+    date = F.when(k % 2 == 0, F.lit(" ")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    raw = tables.read(spark, sf_dir, "orders").select(name.alias("_c0"), text.alias("_c1"), date.alias("_c2"), (k + 1).alias("_id"))
+    rows = CsvDatasetLoader().rows(raw, ["draw_id", "numbers", "date"])
+    return rows.select("ord", "draw_id", listed(F.col("numbers")).alias("numbers"), "date", "error")
 
 
 def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +206,7 @@ def backtest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, sf_dir: str) -> BacktestResult:
-    draws = tables.draws(spark, sf_dir)
+    draws = materialize(tables.draws(spark, sf_dir), "draws")
     train, test, n = _sizes(draws)
     return Backtester().run(draws, train, test, TICKETS, SEED, n=n)
 
@@ -196,13 +220,7 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = _result(spark, sf_dir)
-    steps = spark.range(1, 7).select(F.col("id").alias("threshold"))
-    by_best = result.cases.groupBy("best_match", "baseline_best_match").agg(F.count(F.lit(1)).alias("n"))
-    grid = by_best.withColumn("threshold", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))))
-    hit = lambda c: F.sum(F.when(F.col(c) >= F.col("threshold"), F.col("n")).otherwise(0))
-    counted = grid.groupBy("threshold").agg(hit("best_match").alias("match_count"), hit("baseline_best_match").alias("baseline_match_count"))
-    return steps.join(counted, "threshold", "left").select("threshold", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("baseline_match_count", F.lit(0)).alias("baseline_match_count"))
+    return _result(spark, sf_dir).at_least(*range(1, 7))
 
 
 def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +237,7 @@ def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order, draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, rank_numbers, ticket_overlap, ticket_jaccard,
-    distinct_ticket_lists, optimize_tickets, select_tickets, walk_forward_splits, walk_forward_frequency, generate_tickets, baseline_tickets, recommend, backtest_matches, backtest_cases, backtest_summary, match_thresholds, backtest_report, entries_desc, entry_by_id,
+    distinct_ticket_lists, optimize_tickets, select_tickets, csv_rows, walk_forward_splits, walk_forward_frequency, generate_tickets, baseline_tickets, recommend, backtest_matches, backtest_cases, backtest_summary, match_thresholds, backtest_report, entries_desc, entry_by_id,
 )
 
 

@@ -37,5 +37,9 @@ class BacktestError(Exception):
     """A backtest can't be run."""
 
 
+class EntryError(Exception):
+    """An entry can't be stored now."""
+
+
 class BaselineError(Exception):
     """A baseline can't be drawn."""

@@ -1,14 +1,16 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from drawloom.functions.arrays import compatible, jaccard_similarity, overlap
+from drawloom.operators import diversity
 from drawloom.operators.diversity import OptimizerConfig, TicketOptimizer, TicketSelector
 from drawloom.operators.draws import DrawDataset
 from drawloom.operators.sampling import RandomBaseline, TicketGenerator
 from drawloom.operators.scoring import NumberPredictor
-from drawloom.operators.stats import number_counts
+from drawloom.operators.stats import number_counts, number_frequency
 from drawloom.plans.backtest import Backtester
 from drawloom.plans.recommend import RecommendationEngine
 from drawloom.schema import BacktestError, GeneratorError, OptimizerError, SelectionError
@@ -116,11 +118,38 @@ def test_optimizer(spark):
         with pytest.raises(ValueError):
             OptimizerConfig(*bad)
     assert listed(TicketSelector().select(tickets(spark, [six]))) == [six]
-    for bad in ([], [()]):
-        with pytest.raises(SelectionError):
+    for bad, error in (([], "No tickets were provided"), ([()], "Ticket optimization failed: Ticket cannot be empty")):
+        with pytest.raises(SelectionError, match=error):
             TicketSelector().select(tickets(spark, bad))
 
 
+def test_optimizer_rounds_equal_the_plain_rule(spark, monkeypatch):
+    monkeypatch.setattr(diversity, "BLOCK", 7)
+    rng = random.Random(4)
+    rows = [rng.sample(range(1, 11), 6) for _ in range(150)]
+    for most, limit in ((3, 10), (4, 12), (6, 5), (0, 3)):
+        want = []
+        for t in map(sorted, rows):
+            if t not in want and len(want) < limit and all(len(set(t) & set(c)) <= most for c in want):
+                want.append(t)
+        got = TicketOptimizer(OptimizerConfig(most, limit)).optimize(tickets(spark, rows).repartition(4))
+        assert [list(x) for x in listed(got)] == want and [r.pos for r in got.collect()] == list(range(len(want)))
+
+
+def test_tickets_of_a_call_are_spread_and_equal_those_of_lists(spark):
+    g, s = TicketGenerator(), scored(spark, {i: float(i) for i in range(1, 11)})
+    spread = g.generate_tickets(s, 500, 42)
+    lists = g.generate_lists(s, 500, F.lit(42), []).select(F.posexplode("tickets").alias("n", "ticket"))
+    assert spread.rdd.getNumPartitions() > 1 and listed(spread) == listed(lists)
+
+
+def test_scores_and_frequencies_are_in_the_order_of_numbers(spark):
+    c = counts(spark, {9: 3, 2: 5, 30: 1, 4: 9}).repartition(3)
+    assert [r.number for r in NumberPredictor().score_numbers(c).collect()] == [2, 4, 9, 30]
+    shares = number_frequency(DrawDataset.of(spark, FIVE).draws.repartition(3)).collect()
+    assert [r.number for r in shares] == list(range(1, 19))
+
+
 def test_recommend(spark):
     c = number_counts(DrawDataset.of(spark, FIVE).draws)
     made = RecommendationEngine().recommend(c, 50, 42)
@@ -144,6 +173,7 @@ def test_backtest(spark):
     assert [tuple(r) for r in Backtester().run(d, 3, 1, 10, 42).cases.orderBy("ord").collect()] == [tuple(c) for c in cases]
     two = Backtester().run(d, 3, 2, 5, 1).cases.collect()
     assert len(two) == 2 and all(c.train_size == 3 and c.test_size == 2 for c in two)
+    assert [tuple(r) for r in result.at_least(1, 9).collect()] == [(1, sum(c.best_match >= 1 for c in cases), sum(c.baseline_best_match >= 1 for c in cases)), (9, 0, 0)]
     with pytest.raises(ValueError):
         result.at_least(0)
     with pytest.raises(BacktestError):
