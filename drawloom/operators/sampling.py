@@ -61,6 +61,9 @@ class TicketGenerator:
         if count <= 0:
             raise ValueError("count must be positive")
         lists = scores.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("number", F.col("score").alias("weight")))).alias("_c"))
+        if by:
+            # The lists are few bytes and much work: dealt out evenly, to as many tasks as asked for, whatever their size.
+            lists = lists.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return lists.select(*by, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda t: weighted_ticket(F.col("_c"), seed, t, self.main_number_count)).alias("tickets"))
 
     def generate_tickets(self, scores: DataFrame, count: int, seed: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.draws import WalkForward
 from ..operators.sampling import RandomBaseline, fixed_seed
 from ..schema import BacktestError, DatasetError
+from ..storage import materialize
 from .recommend import RecommendationEngine
 
 #: Added to the seeds of the baseline.
@@ -59,10 +60,12 @@ class Backtester:
     def split_tickets(self, walk: WalkForward, ticket_count: int, seed: int | None, *, check: bool = True) -> DataFrame:
         """split_id, tickets, recommended, baseline: a row for each split."""
         base = fixed_seed(seed)
-        counts = walk.train_frequency()
+        # Written once: the check and the lists read the counts, and several columns read the lists.
+        counts = materialize(walk.train_frequency(), "backtest-counts")
         if check:
             self.engine.generator.check_scores(self.engine.predictor.score_numbers(counts, by=["split_id"], check=False), ["split_id"])
         lists = self.engine.recommend_lists(counts, ticket_count, F.lit(base) + F.col("split_id"), ["split_id"])
+        lists = materialize(lists, "backtest-lists")
         return lists.withColumn("baseline", self.baseline.ticket_list(F.size("recommended"), F.lit(base + BASELINE_SEED) + F.col("split_id")))
 
     def run(self, draws: DataFrame, train_size: int, test_size: int = 1, ticket_count: int = 50, seed: int | None = None, *, check: bool = True, n: int | None = None) -> BacktestResult:
