@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, written
+from .common import BROADCAST_ROWS, packed, unpacked, written
 from .order import ranked
 
 #: Slots of a frame: weights are whole parts of it.
@@ -81,10 +81,12 @@ def mix(docs: DataFrame, *, weights: DataFrame | None = None, temper: float = 0.
     placed = ranked(lined, [F.col("_source"), *(F.col(n) for n in names)], "mix", within="_source").drop(*names)
     placed = placed.withColumns({"_block": F.expr(f"_rank div {block}"), "_place": F.col("_rank") % block})
     weight = schedule.groupBy(F.col("_source").alias("_s1")).agg(F.first("_w").alias("_w"))
-    placed = placed.join(F.broadcast(weight), F.col("_source").eqNullSafe(F.col("_s1"))).drop("_s1")
+    # Tables of a row for each source and each slot of the frame are broadcast only if they are small.
+    sent = F.broadcast if frame <= BROADCAST_ROWS else lambda df: df.hint("merge")
+    placed = placed.join(sent(weight), F.col("_source").eqNullSafe(F.col("_s1"))).drop("_s1")
     placed = placed.withColumn("_j", F.expr("_block % _w"))
     offsets = schedule.select(F.col("_source").alias("_s2"), F.col("_j").alias("_j2"), "_offset")
-    placed = placed.join(F.broadcast(offsets), F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_j") == F.col("_j2"))).drop("_s2", "_j2")
+    placed = placed.join(sent(offsets), F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_j") == F.col("_j2"))).drop("_s2", "_j2")
     placed = placed.withColumns({"_slot": F.expr(f"(_block div _w) * {frame} + _offset"), "_release": F.expr(f"(_block * {frame}) div _w"), "_deadline": F.expr(f"((_block + 1) * {frame} + _w - 1) div _w")})
     # The first slot for which a source has no block: a source's blocks are 0 to its last, whose successor's slot follows from the schedule.
     blocks = sizes.join(weight, F.col("_source").eqNullSafe(F.col("_s1"))).select("_source", "_w", F.expr(f"(_docs + {block - 1}) div {block}").alias("_b"))
@@ -109,6 +111,8 @@ def mixed_order(docs: DataFrame, **how) -> DataFrame:
 
     The places are a table too, whose path is in the metadata of ``doc_id``: Parquet
     keeps it, so a later stage that deals the rows anew has the order by ``placed``.
+    Null sources are a source; rows that repeat are placed each; an empty table gives no
+    rows; further columns pass through, whatever their names.
     """
     made = mix(packed(docs, **{c: F.col(c) for c in ("doc_id", "source")}, _mark=mark() if "text" in docs.columns else F.xxhash64("doc_id")), **how)
     path = written(made.select("_mark", "_slot", "_place"), "mix-places")

@@ -23,7 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    # Targets: square roots of the sources' characters, so long texts weigh more than many.
+    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.col("n_chars"), F.lit(0)) + 1).alias("_chars"))
+    return mixing.report(docs, weights=sizes.select("source", F.sqrt("_chars").alias("weight")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

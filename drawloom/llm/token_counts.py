@@ -48,7 +48,11 @@ def encoded_lengths(docs: DataFrame, *, keep: list[str] | None = None, text_col:
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens, n_docs: one row for each length that occurs; partial counts before the shuffle."""
+    """n_tokens, n_docs: one row for each length that occurs; partial counts before the shuffle.
+
+    Rows that repeat count each; further columns play no part, also one named n_docs; a
+    null length is a row of its own; an empty table gives no rows.
+    """
     return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 

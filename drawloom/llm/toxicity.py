@@ -186,7 +186,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def remove_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; same columns, no shuffle."""
+    """``docs`` without those that score ``threshold`` or more; same columns, no shuffle.
+
+    Whole texts are scored; null and empty ones have the score of the bias; rows that
+    repeat go or stay alike; an empty table gives no rows; no column can clash.
+    """
     rows = packed(docs, _text=F.col("text").cast("string"))
     scored = arrow_map(rows, Scorer(model, "_text", "_score", True), T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())]))
     return unpacked(scored.filter(F.col("_score") < threshold))

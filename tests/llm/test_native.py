@@ -44,6 +44,35 @@ def test_mixing_keeps_less_than_one_block_of_deviation(spark, sizes, weights):
                 assert -1 < low and high < 1
 
 
+def earliest_deadline_first(parts, frame):
+    """(source, block) of each slot: a plain scheduler over integer release times and deadlines, ties to the first source."""
+    done, out = dict.fromkeys(parts, 0), []
+    for t in range(frame):
+        ready = [(-(-(done[s] + 1) * frame // w), i, s) for i, (s, w) in enumerate(sorted(parts.items())) if done[s] < w and done[s] * frame // w <= t]
+        s = min(ready)[2]
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1, "d": 1}, {"a": 10, "b": 3, "c": 3, "d": 1}, {"a": 33, "b": 1, "c": 29, "d": 7, "e": 7, "f": 2}])
+def test_schedule_equals_a_plain_scheduler(spark, weights):
+    frame = 64
+    given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _weight double")
+    shares = mixing.parts(given, frame)
+    parts = {r._source: r._w for r in shares.collect()}
+    assert sum(parts.values()) == frame
+    got = {r._offset: (r._source, r._j) for r in mixing.frame_schedule(shares, frame).collect()}
+    assert [got[t] for t in range(frame)] == earliest_deadline_first(parts, frame)
+
+
+def test_mixing_without_broadcasts(spark, monkeypatch):
+    docs = sources(spark, {"a": 60, "b": 30, None: 5})
+    want = sorted(tuple(r) for r in mixing.report(docs, block=4, frame=32).select("doc_id", "slot", "place").collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in mixing.report(docs, block=4, frame=32).select("doc_id", "slot", "place").collect()) == want
+
+
 def test_mixed_order_and_edges(spark):
     docs = sources(spark, {"a": 40, "b": 40}).withColumn("text", F.lit("x"))
     order = [r.source for r in mixing.mixed_order(docs, block=1, frame=16).collect()]
