@@ -4,8 +4,8 @@ Links are given by a group column: documents of a group are neighbours of each
 other through a hub, so no pairs are built.  Each round moves groups to their
 favourite shard with room as far as the shard's quota allows, until none moves.  A last step cuts the line of
 all documents, ordered by shard and group, into equal parts, so the sizes are exactly
-even and at most one group is cut at each border.  DataFrame operations only, but for
-the admission of buckets of groups: a table of fixed size on the driver.
+even and at most one group is cut at each border.  DataFrame operations only; the
+driver holds one row a shard.
 """
 
 from __future__ import annotations
@@ -24,14 +24,24 @@ BUCKETS = 256
 IDLE = 3
 
 
-def admitted(cells: list[tuple[int, int, int, int]], load: list[int], quota: int) -> list[tuple[int, int, int]]:
-    """Of cells (shard, class, bucket, rows) those that fit, the largest classes first; adds their rows to ``load``."""
-    out = []
-    for t, size, bucket, n in sorted(cells, key=lambda c: (-c[1], c[2], c[0])):
-        if load[t] + n <= quota:
-            load[t] += n
-            out.append((t, size, bucket))
-    return out
+def admitted(cells: DataFrame, room: Column) -> DataFrame:
+    """(_to, _left, _in: array of (c, b), _most): what each shard takes of its cells (_to, _class, _bucket, _n, _groups).
+
+    A fold over a shard's cells, the largest classes first, takes each that still fits
+    into ``room[_to]``; ``c`` is the class with its sign turned.  One row a shard, whose
+    arrays have at most BUCKETS entries a size class.
+    """
+    cell = F.struct((-F.col("_class")).alias("c"), F.col("_bucket").alias("b"), F.col("_n").alias("n"))
+    listed = cells.groupBy("_to").agg(F.array_sort(F.collect_list(cell)).alias("_cells"), F.max("_groups").alias("_most"))
+    start = F.struct(F.get(room, F.col("_to")).alias("left"), F.expr("cast(array() as array<struct<c:int,b:int>>)").alias("in"))
+
+    def take(state: Column, e: Column) -> Column:
+        more = F.array_append(state["in"], F.struct(e["c"].alias("c"), e["b"].alias("b")))
+        return F.when(e["n"] <= state["left"], F.struct((state["left"] - e["n"]).alias("left"), more.alias("in"))).otherwise(state)
+
+    return listed.withColumn("_state", F.aggregate("_cells", start, take)).select(
+        "_to", F.col("_state.left").alias("_left"), F.col("_state.in").alias("_in"), "_most"
+    )
 
 
 def propagate(groups: DataFrame, total: int, shards: int, rounds: int | None, slack: float) -> DataFrame:
@@ -45,27 +55,47 @@ def propagate(groups: DataFrame, total: int, shards: int, rounds: int | None, sl
     Groups over the quota never move, take no room and stay spread.
     """
     quota = int(total / shards * (1 + slack)) + 1
-    spark = groups.sparkSession
     load = [0] * shards
-    for s, n in groups.filter("size(_spread) = 1").groupBy(F.col("_spread")[0]["s"]).agg(F.sum("_all")).collect():
+    whole = groups.filter("size(_spread) = 1").groupBy(F.col("_spread")[0]["s"])
+    for s, n in whole.agg(F.sum("_all")).collect():
         load[s] = n
     now, r, idle = groups, 0, 0
+    movable = (F.size("_spread") > 1) & (F.col("_all") <= quota)
     while idle < IDLE and (rounds is None or r < rounds):
-        cut = now.filter((F.size("_spread") > 1) & (F.col("_all") <= quota))
-        room = F.array(*(F.lit(max(quota - n, 0)).cast("long") for n in load))
-        held = lambda x: F.coalesce(F.aggregate("_spread", F.lit(0).cast("long"), lambda a, e: a + F.when(e["s"] == x, e["n"]).otherwise(F.lit(0))), F.lit(0))
-        options = F.filter(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: F.when(F.get(room, x) >= F.col("_all"), F.struct(held(x).alias("n"), F.xxhash64("_g", x, F.lit(r)).alias("h"), x.alias("s")))), lambda x: x.isNotNull())
-        bucket = F.pmod(F.xxhash64("_g", F.lit(r), F.lit(5)), F.lit(BUCKETS)).cast("int")
-        wish = lambda df: df.withColumns({"_to": F.array_max(options)["s"], "_class": F.floor(F.log2("_all")).cast("int"), "_bucket": bucket})
-        cells = wish(cut).filter("_to is not null").groupBy("_to", "_class", "_bucket").agg(F.sum("_all").alias("_n"), F.count(F.lit(1)).alias("_groups")).collect()
-        into = admitted([(c._to, c._class, c._bucket, c._n) for c in cells], load, quota)
+        left = [max(quota - n, 0) for n in load]
+        room = F.array(*(F.lit(n).cast("long") for n in left))
+
+        def option(x: Column) -> Column:
+            of_x = F.aggregate(
+                "_spread", F.lit(0).cast("long"), lambda a, e: a + F.when(e["s"] == x, e["n"]).otherwise(F.lit(0))
+            )
+            wished = F.struct(F.coalesce(of_x, F.lit(0)).alias("n"), F.xxhash64("_g", x, F.lit(r)).alias("h"), x.alias("s"))
+            return F.when(F.get(room, x) >= F.col("_all"), wished)
+
+        options = F.filter(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), option), lambda x: x.isNotNull())
+        wishes = {
+            "_to": F.array_max(options)["s"],
+            "_class": F.floor(F.log2("_all")).cast("int"),
+            "_bucket": F.pmod(F.xxhash64("_g", F.lit(r), F.lit(5)), F.lit(BUCKETS)).cast("int"),
+        }
+        cells = now.filter(movable).withColumns(wishes).filter("_to is not null").groupBy("_to", "_class", "_bucket")
+        cells = cells.agg(F.sum("_all").alias("_n"), F.count(F.lit(1)).alias("_groups"))
+        decided = materialize(admitted(cells, room), f"shard-admitted-{r}")
+        tally = decided.select("_to", "_left", F.size("_in").alias("_taken"), "_most").collect()  # one row a shard
+        into = sum(t._taken for t in tally)
         if into:
-            accepted = spark.createDataFrame(into, "_to2 int, _class2 int, _bucket2 int")
-            moves = (F.size("_spread") > 1) & (F.col("_all") <= quota) & (F.col("_to") == F.col("_to2")) & (F.col("_class") == F.col("_class2")) & (F.col("_bucket") == F.col("_bucket2"))
-            moved = wish(now).join(F.broadcast(accepted), moves, "left")
-            whole = F.array(F.struct(F.col("_to2").alias("s"), F.col("_all").alias("n")))
-            now = materialize(moved.select("_g", "_all", F.when(F.col("_to2").isNotNull(), whole).otherwise(F.col("_spread")).alias("_spread")), f"shard-labels-{r}")
-        if not cells or (not into and all(c._groups == 1 for c in cells)):
+            for t in tally:
+                load[t._to] += left[t._to] - t._left
+            accepted = decided.select(F.col("_to").alias("_to2"), F.explode("_in").alias("_a"))
+            accepted = accepted.select("_to2", (-F.col("_a.c")).alias("_class2"), F.col("_a.b").alias("_bucket2"))
+            same = movable
+            for c in wishes:
+                same &= F.col(c) == F.col(f"{c}2")
+            moved = now.withColumns(wishes).join(F.broadcast(accepted), same, "left")
+            together = F.array(F.struct(F.col("_to2").alias("s"), F.col("_all").alias("n")))
+            spread = F.when(F.col("_to2").isNotNull(), together).otherwise(F.col("_spread")).alias("_spread")
+            now = materialize(moved.select("_g", "_all", spread), f"shard-labels-{r}")
+        if not tally or (not into and all(t._most == 1 for t in tally)):
             break
         idle = 0 if into else idle + 1
         r += 1
