@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,3 +127,30 @@ def test_few_groups_stay_cut_whatever_the_rest(spark, hot, groups, size, alone):
     assert len(got) == n and max(Counter(got.values()).values()) - min(Counter(got.values()).values()) <= 1
     cut = sum(len({got[i] for i in range(g * size, (g + 1) * size)}) > 1 for g in range(groups))
     assert cut <= (7 if groups > 8 else 0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shards_admit_like_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    cells = [(t, c, b, rng.randrange(1, 60), rng.randrange(1, 4)) for t in range(3) for c in range(4) for b in range(6) if rng.random() < 0.7]
+    room, want = [0, 150, 10_000], set()
+    left = list(room)
+    for t, c, b, n, _ in sorted(cells, key=lambda x: (-x[1], x[2])):
+        if n <= left[t]:
+            left[t] -= n
+            want.add((t, c, b))
+    frame = spark.createDataFrame(cells, "_to int, _class int, _bucket int, _n long, _groups long").repartition(3)
+    got = sharding.admitted(frame, F.array(*(F.lit(n).cast("long") for n in room))).collect()
+    assert {(r._to, -a.c, a.b) for r in got for a in r._in} == want
+    assert {r._to: r._left for r in got} == dict(enumerate(left))
+    assert {r._to: r._most for r in got} == {t: max(x[4] for x in cells if x[0] == t) for t in range(3)}
+
+
+def test_native_operators_send_no_local_rows(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 70).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+
+    def refuse(*_, **__):
+        raise AssertionError("rows from the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    assert sharding.shard_documents(docs).count() == 300 == mixing.report(docs, block=4, frame=32).count()
