@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, mixing, quality, repeats, secrets, sharding, token_counts, toxicity
+from . import (
+    decontaminate, embeddings, jaccard, mixing, packing, quality, repeats, resample, secrets, sharding, token_counts,
+    toxicity, whitening,
+)
 from .common import table
 from .labelled import held_out
 
@@ -60,8 +63,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"))))
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), window=2048)
+
+
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample.resample(docs, benchmark, percent=25, least_words=20, seed=7)
+
+
+QUERIES = (
+    op1_suffix_array_dedup, op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier,
+    op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_label_propagation_shards,
+    op10_token_counts, op11_mixture_packing, op12_svd_whitening, op13_importance_resampling,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_pfair_mixing, op4_secret_scan, op5_toxicity_classifier, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_label_propagation_shards, op10_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP8_SQL = """
@@ -109,5 +132,27 @@ FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT J
 """
 
 
+# DuckDB has no crc32: each different feature's sum is folded over its bytes, with the table that the polynomial gives.
+OP13_SQL = r"""
+WITH words AS (SELECT corpus, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT 'source' AS corpus, doc_id AS id, text FROM documents UNION ALL SELECT 'target', NULL, text FROM benchmark)),
+features AS (SELECT corpus, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+counts AS (SELECT corpus, id, f, count(*) AS n FROM features GROUP BY ALL),
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+hashed AS (SELECT f, xor(list_reduce([4294967295] || list_transform(range(1, octet_length(encode(f)) + 1), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT f FROM counts), crc),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (corpus = 'source'), 0) AS s, coalesce(sum(n) FILTER (corpus = 'target'), 0) AS t FROM counts JOIN hashed USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sums),
+weights AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM counts JOIN hashed USING (f) JOIN gains USING (bucket) WHERE corpus = 'source' GROUP BY id),
+scored AS (SELECT d.id AS doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM (SELECT * FROM words WHERE corpus = 'source') d LEFT JOIN weights USING (id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= 20) AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL}
+    return {
+        "op6_benchmark_decontamination": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL,
+        "op8_embedding_near_dedup": OP8_SQL, "op13_importance_resampling": OP13_SQL,
+    }
