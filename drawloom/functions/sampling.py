@@ -31,7 +31,8 @@ def weighted_ticket(candidates: Column, seed: Column, ticket_no: Column, count:
     return F.array_sort(F.transform(F.slice(F.array_sort(F.transform(candidates, race)), 1, count), lambda r: r["number"]))
 
 
-def uniform_ticket(seed: Column, ticket_no: Column, count: int, low: int, high: int, stream: str = "baseline") -> Column:
+def uniform_ticket(seed: Column, ticket_no: Column, count: int | Column, low: int | Column, high: int | Column, stream: str = "baseline") -> Column:
     """``count`` different numbers of low..high, ascending, all equally likely."""
-    race = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(uniform(stream, seed, ticket_no, n).alias("u"), n.alias("number")))
-    return F.array_sort(F.transform(F.slice(F.array_sort(race), 1, count), lambda r: r["number"]))
+    count, low, high = (x if isinstance(x, Column) else F.lit(x) for x in (count, low, high))
+    race = F.transform(F.sequence(low, high), lambda n: F.struct(uniform(stream, seed, ticket_no, n).alias("u"), n.alias("number")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(race), F.lit(1), count), lambda r: r["number"]))

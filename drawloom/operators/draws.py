@@ -5,24 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DRAWS, DatasetError, InvalidDrawError
-
-
-def with_ord(df: DataFrame, coarse: Column, *fine: Column) -> DataFrame:
-    """``df`` plus ``ord``, its position (from 0) in the order of coarse, then fine.
-
-    Two levels, so no task ranks all rows: rows are ranked within a coarse value (a
-    day, say), and the rows before it come from a table with a row for each coarse
-    value.
-    """
-    keyed = df.withColumn("_coarse", coarse)
-    counts = keyed.groupBy(F.col("_coarse").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_c", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_coarse").orderBy(*fine)) - 1
-    return keyed.withColumn("_inside", inside).join(before, F.col("_coarse").eqNullSafe(F.col("_c"))).withColumn("ord", (F.col("_before") + F.col("_inside")).cast("long")).drop("_coarse", "_c", "_before", "_inside")
+from .running import running
+from .stats import recency_of
 
 
 def draw_error() -> Column:
@@ -135,18 +123,23 @@ class WalkForward:
         ids = self.draws.sparkSession.range(self.n_splits).select(F.col("id").cast("int").alias("split_id"))
         return ids.select("split_id", (F.lit(self.train_size) + F.col("split_id") * self.test_size).cast("long").alias("train_size"), F.lit(self.test_size).cast("long").alias("test_size"))
 
-    def train_frequency(self) -> DataFrame:
-        """split_id, number, count over the training rows; numbers not seen are absent.
+    def train_statistics(self) -> DataFrame:
+        """split_id, number, count, last_ord (of the latest training row with the number); numbers not seen are absent.
 
         Every draw is exploded once.  A draw counts from the first split that trains on
-        it; the counts per number and first split are summed up along the splits, so
-        the work follows draws + splits * numbers, not splits * draws.
+        it, and counts and last positions are carried along the splits in two levels, so
+        the work follows draws + rows of the result, with a split for each draw too.
         """
-        last = self.n_splits - 1
         first = F.expr(f"cast(greatest(0, (ord - {self.train_size}) div {self.test_size} + if(ord < {self.train_size}, 0, 1)) as int)")
-        new = self.draws.select(first.alias("_b"), F.explode("numbers").alias("number")).filter(F.col("_b") <= last).groupBy("number", "_b").agg(F.count(F.lit(1)).alias("_n"))
-        by_number = new.groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_new"))
-        grid = by_number.select("number", "_new", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("split_id"))
-        run = Window.partitionBy("number").orderBy("split_id").rowsBetween(Window.unboundedPreceding, 0)
-        summed = grid.select("split_id", "number", F.sum(F.coalesce(F.try_element_at("_new", "split_id"), F.lit(0))).over(run).alias("count"))
-        return summed.filter("count > 0")
+        new = self.draws.select(first.alias("split_id"), "ord", F.explode("numbers").alias("number")).filter(F.col("split_id") < self.n_splits)
+        events = new.groupBy("number", "split_id").agg(F.count(F.lit(1)).alias("count"), F.max("ord").alias("last_ord"))
+        return running(events, "number", "split_id", self.n_splits - 1, total="count", latest="last_ord")
+
+    def train_frequency(self) -> DataFrame:
+        """split_id, number, count over the training rows; numbers not seen are absent."""
+        return self.train_statistics().select("split_id", "number", "count")
+
+    def train_recency(self) -> DataFrame:
+        """split_id, number, gap (training draws since the number was last seen, 0: in the last one), recency 1 / (1 + gap)."""
+        gap = F.lit(self.train_size - 1) + F.col("split_id").cast("long") * self.test_size - F.col("last_ord")
+        return self.train_statistics().select("split_id", "number", gap.alias("gap")).withColumn("recency", recency_of("gap"))

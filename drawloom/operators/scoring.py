@@ -26,7 +26,8 @@ class NumberPredictor:
             raise ValueError("At least one weight must be positive")
 
     def score_numbers(self, frequencies: DataFrame, recency: DataFrame | None = None, by: list[str] | None = None, *, check: bool = True) -> DataFrame:
-        """(by..., number, score); frequencies: (by..., number, count), recency: (number, recency), 0 where absent.
+        """(by..., number, score); frequencies: (by..., number, count), recency: (number, recency), 0 where absent,
+        with the columns of ``by`` where it differs between them.
 
         Without ``by`` in the order of the numbers.  No rows give no rows; a negative
         count is an error.
@@ -37,7 +38,8 @@ class NumberPredictor:
         share = F.col("count").cast("double") / largest_count(by).cast("double")
         recent = F.lit(0.0)
         if recency is not None:
-            frequencies = frequencies.join(recency.select("number", F.col("recency").cast("double").alias("_recency")), "number", "left")
+            on = [c for c in [*by, "number"] if c in recency.columns]
+            frequencies = frequencies.join(recency.select(*on, F.col("recency").cast("double").alias("_recency")), on, "left")
             recent = F.coalesce(F.col("_recency"), F.lit(0.0))
         fw, rw = F.lit(float(self.frequency_weight)), F.lit(float(self.recency_weight))
         scores = frequencies.select(*by, "number", ((fw * share + rw * recent) / (fw + rw)).alias("score"))

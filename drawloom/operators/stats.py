@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import with_previous
+
 
 def dataset_statistics(draws: DataFrame) -> DataFrame:
     """One row: draw_count, number_count, minimum, maximum (null for no draws); no explode."""
@@ -45,3 +47,25 @@ def least_frequent(frequency: DataFrame, limit: int = 10) -> DataFrame:
 def largest_count(by: list[str]) -> Column:
     """The largest count within ``by``, 1 if that is less."""
     return F.greatest(F.max("count").over(Window.partitionBy(*by)), F.lit(1))
+
+
+def recency_of(gap: str) -> Column:
+    """1 for a number of the latest draw, falling towards 0 with the draws since."""
+    return F.lit(1.0) / (F.lit(1.0) + F.col(gap).cast("double"))
+
+
+def number_gaps(draws: DataFrame) -> DataFrame:
+    """ord, number, gap: for every number of every draw the draws since it was last seen (0: in the one before), null at first.
+
+    ``draws``: (ord, numbers); ord from 0.  Carried over blocks of draws, so no task has a number's whole history.
+    """
+    last = draws.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
+    seen = with_previous(draws.select("ord", F.explode("numbers").alias("number")), "number", "ord", last, "_before")
+    return seen.select("ord", "number", (F.col("ord") - F.col("_before") - 1).alias("gap"))
+
+
+def number_recency(draws: DataFrame) -> DataFrame:
+    """number, gap (draws after the number's last one), recency (1 / (1 + gap)): what score_numbers takes; partial maxima before the shuffle."""
+    size = draws.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
+    last = draws.select("ord", F.explode("numbers").alias("number")).groupBy("number").agg(F.max("ord").alias("_last"))
+    return last.select("number", (F.lit(size) - F.col("_last")).alias("gap")).withColumn("recency", recency_of("gap"))

@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
-from .registry import SEED, TICKETS
+from .registry import MANY, SEED, TICKETS
 
 BASE = """base AS (SELECT o_orderkey, any_value(o_orderdate) AS d, list_sort(list(DISTINCT CAST(l_partkey % 37 + 1 AS INTEGER))) AS numbers FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
 draws AS (SELECT row_number() OVER (ORDER BY d, o_orderkey) - 1 AS ord, CAST(o_orderkey AS VARCHAR) AS draw_id, numbers, strftime(d, '%Y-%m-%d') AS date FROM base),
 counts AS (SELECT number, count(*) AS count FROM (SELECT unnest(numbers) AS number FROM draws) GROUP BY number)"""
 SCORES = """scores AS (SELECT number, (0.7e0 * (CAST(count AS DOUBLE) / greatest(max(count) OVER (), 1)) + 0.3e0 * 0e0) / (0.7e0 + 0.3e0) AS score FROM counts)"""
-SIZES = """sizes AS (SELECT n, greatest(n // 2, 1) AS train, greatest(n // 20, 1) AS test, (n - greatest(n // 2, 1)) // greatest(n // 20, 1) AS splits FROM (SELECT count(*) AS n FROM draws)),
+# Counts before each split by a window over the draws, whatever the number of splits.
+COUNTED = """train_counts AS (SELECT split_id, number, count, last_ord FROM (
+    SELECT number, split_id, sum(n) OVER w AS count, max(o) OVER w AS last_ord FROM (
+        SELECT number, CAST(greatest(0, ceil((ord - train + 1) / test)) AS INTEGER) AS split_id, count(*) AS n, max(ord) AS o FROM draws, sizes, unnest(numbers) AS u(number) GROUP BY ALL
+        UNION ALL SELECT number, split_id, 0, NULL FROM split_ids, (SELECT number FROM counts)) GROUP BY number, split_id, n, o
+    WINDOW w AS (PARTITION BY number ORDER BY split_id RANGE UNBOUNDED PRECEDING)) WHERE count > 0 AND split_id < (SELECT splits FROM sizes) GROUP BY ALL)"""
+
+
+def _sizes(test: str) -> str:
+    return f"""sizes AS (SELECT n, greatest(n // 2, 1) AS train, {test} AS test, (n - greatest(n // 2, 1)) // ({test}) AS splits FROM (SELECT count(*) AS n FROM draws)),
 split_ids AS (SELECT CAST(unnest(range(splits)) AS INTEGER) AS split_id FROM sizes),
-test_rows AS (SELECT CAST((ord - train) // test AS INTEGER) AS split_id, ord, draw_id, numbers, train, test FROM draws, sizes WHERE ord >= train AND ord < train + splits * test),
+test_rows AS (SELECT CAST((ord - train) // test AS INTEGER) AS split_id, ord, draw_id, numbers, train, test FROM draws, sizes WHERE ord >= train AND ord < train + splits * test)"""
+
+
+SIZES = f"""{_sizes("greatest(n // 20, 1)")},
 train_counts AS (SELECT split_id, number, count(*) AS count FROM split_ids, sizes, draws, unnest(numbers) AS u(number) WHERE ord < train + split_id * test GROUP BY ALL)"""
+EACH = f"""{_sizes("1")},
+{COUNTED}"""
 
 
 def _uniform(stream: str, seed: str) -> str:
     return f"((CAST(('0x' || substr(md5('{stream}|' || CAST({seed} AS VARCHAR) || '|' || CAST(ticket_no AS VARCHAR) || '|' || CAST(number AS VARCHAR)), 1, 8)) AS BIGINT) + 1) / 4294967297e0)"
 
 
-def _greedy(tickets: str) -> str:
-    """At most 10 tickets, at most 4 shared numbers; a fold over single-ticket lists."""
-    return f"list_reduce(list_transform({tickets}, lambda t: [t]), lambda acc, x: CASE WHEN len(acc) < 10 AND len(list_filter(acc, lambda s: len(list_intersect(s, x[1])) > 4)) = 0 THEN acc || x ELSE acc END)"
+def _greedy(tickets: str, most: int = 10, overlap: int = 4) -> str:
+    """At most ``most`` tickets that share ``overlap`` numbers at most; a fold over single-ticket lists."""
+    return f"list_reduce(list_transform({tickets}, lambda t: [t]), lambda acc, x: CASE WHEN len(acc) < {most} AND len(list_filter(acc, lambda s: len(list_intersect(s, x[1])) > {overlap})) = 0 THEN acc || x ELSE acc END)"
+
+
+def _masks(tickets: str, most: int, overlap: int) -> str:
+    """The same fold over tickets as sets of bits, for long lists."""
+    return f"list_reduce(list_transform({tickets}, lambda t: [t]), lambda acc, x: CASE WHEN len(acc) < {most} AND len(list_filter(acc, lambda s: bit_count(s & x[1]) > {overlap})) = 0 THEN acc || x ELSE acc END)"
+
 
+MASK = "list_sum(list_transform({}, lambda n: CAST(1 AS BIGINT) << n))::BIGINT"
 
-def _race(scores: str, seed: str) -> str:
+
+def _race(scores: str, seed: str, count: int = TICKETS) -> str:
     """(split_id, ticket_no, ticket): the six smallest keys."""
-    return f"""raced AS (SELECT split_id, ticket_no, number, {_uniform("engine", seed)} AS u, score FROM {scores}, range({TICKETS}) AS r(ticket_no)),
+    return f"""raced AS (SELECT split_id, ticket_no, number, {_uniform("engine", seed)} AS u, score FROM {scores}, range({count}) AS r(ticket_no)),
     keyed AS (SELECT *, row_number() OVER (PARTITION BY split_id, ticket_no ORDER BY CASE WHEN score > 0 THEN -ln(u) / score ELSE 'inf'::DOUBLE END, u, number) AS k FROM raced),
     tickets AS (SELECT split_id, ticket_no, list(number ORDER BY number) AS ticket FROM keyed WHERE k <= 6 GROUP BY ALL),
-    firsts AS (SELECT split_id, ticket, min(ticket_no) AS first FROM tickets GROUP BY ALL),
-    recommended AS (SELECT split_id, {_greedy("list(ticket ORDER BY first)")} AS chosen FROM firsts GROUP BY split_id)"""
+    firsts AS (SELECT split_id, ticket, min(ticket_no) AS first FROM tickets GROUP BY ALL)"""
+
 
+RECOMMENDED = f"""recommended AS (SELECT split_id, {_greedy("list(ticket ORDER BY first)")} AS chosen FROM firsts GROUP BY split_id)"""
 
-WALK = f"""WITH {BASE}, {SIZES},
+
+def _walk(sizes: str) -> str:
+    return f"""WITH {BASE}, {sizes},
 split_scores AS (SELECT split_id, number, (0.7e0 * (CAST(count AS DOUBLE) / greatest(max(count) OVER (PARTITION BY split_id), 1)) + 0.3e0 * 0e0) / (0.7e0 + 0.3e0) AS score FROM train_counts),
-{_race("split_scores", f"({SEED} + split_id)")}"""
-CASES = f"""{WALK},
+{_race("split_scores", f"({SEED} + split_id)")}, {RECOMMENDED}"""
+
+
+def _cases(walk: str) -> str:
+    return f"""{walk},
 uniform AS (SELECT split_id, ticket_no, number, {_uniform("baseline", f"({SEED} + 10000 + split_id)")} AS u FROM recommended, range(len(chosen)) AS r(ticket_no), range(1, 38) AS m(number)),
 base_keyed AS (SELECT *, row_number() OVER (PARTITION BY split_id, ticket_no ORDER BY u, number) AS k FROM uniform),
 base_tickets AS (SELECT split_id, ticket_no, list(number ORDER BY number) AS ticket FROM base_keyed WHERE k <= 6 GROUP BY ALL),
@@ -44,6 +72,10 @@ theirs AS (SELECT ord, max(m) AS best, sum(m) AS total FROM (SELECT t.ord, len(l
 cases AS (SELECT t.split_id, t.ord, CAST(train + t.split_id * test AS BIGINT) AS train_size, CAST(test AS BIGINT) AS test_size, CAST({TICKETS} AS BIGINT) AS generated_ticket_count, CAST(len(chosen) AS BIGINT) AS recommended_ticket_count, draw_id AS test_draw_id,
     CAST(o.best AS BIGINT) AS best_match, CAST(o.total AS BIGINT) AS total_matches, CAST(h.best AS BIGINT) AS baseline_best_match, CAST(h.total AS BIGINT) AS baseline_total_matches
     FROM test_rows t JOIN recommended USING (split_id) JOIN ours o ON o.ord = t.ord JOIN theirs h ON h.ord = t.ord)"""
+
+
+WALK = _walk(SIZES)
+CASES = _cases(WALK)
 SUMMARY = """count(*) AS case_count, max(best_match) AS best_match, CAST(sum(total_matches) AS BIGINT) AS total_matches, CAST(sum(total_matches) AS DOUBLE) / count(*) AS average_matches,
 max(baseline_best_match) AS baseline_best_match, CAST(sum(baseline_total_matches) AS BIGINT) AS baseline_total_matches, CAST(sum(baseline_total_matches) AS DOUBLE) / count(*) AS baseline_average_matches"""
 SHOWN = "ord, draw_id, array_to_string(numbers, ',') AS numbers, date"
@@ -87,9 +119,24 @@ SQL = {
     "walk_forward_splits": f"WITH {BASE}, {SIZES} SELECT split_id, CAST(train + split_id * test AS BIGINT) AS train_size, CAST(test AS BIGINT) AS test_size, ord, draw_id FROM test_rows",
     "walk_forward_frequency": f"WITH {BASE}, {SIZES} SELECT split_id, number, count FROM train_counts",
     "generate_tickets": f"WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED))} SELECT ticket_no, array_to_string(ticket, ',') AS ticket FROM tickets",
-    "baseline_tickets": f"""WITH uniform AS (SELECT ticket_no, number, {_uniform("baseline", str(SEED))} AS u FROM range(1000) AS r(ticket_no), range(1, 38) AS m(number)),
-        keyed AS (SELECT *, row_number() OVER (PARTITION BY ticket_no ORDER BY u, number) AS k FROM uniform) SELECT ticket_no, array_to_string(list(number ORDER BY number), ',') AS ticket FROM keyed WHERE k <= 6 GROUP BY ticket_no""",
-    "recommend": f"WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED))} SELECT CAST(pos - 1 AS BIGINT) AS pos, array_to_string(chosen[pos], ',') AS ticket FROM recommended, range(1, len(chosen) + 1) AS r(pos)",
+    "baseline_tickets": f"""WITH requests AS (SELECT s_suppkey AS request_id, unnest(range(s_suppkey % 3 + 1)) AS ticket_no, s_suppkey % 4 + 1 AS low, s_suppkey % 11 + 37 AS high FROM supplier),
+        uniform AS (SELECT request_id, ticket_no, number, {_uniform("baseline", f"'{SEED}/' || request_id")} AS u FROM (SELECT request_id, ticket_no, unnest(range(low, high + 1)) AS number FROM requests)),
+        keyed AS (SELECT *, row_number() OVER (PARTITION BY request_id, ticket_no ORDER BY u, number) AS k FROM uniform)
+        SELECT request_id, ticket_no, array_to_string(list(number ORDER BY number), ',') AS ticket FROM keyed WHERE k <= 6 GROUP BY request_id, ticket_no""",
+    "reservoir_tickets": f"WITH one AS (SELECT 0 AS split_id, p_partkey + 1 AS number, CAST(p_retailprice AS DOUBLE) AS score FROM part), {_race('one', str(SEED))} SELECT ticket_no, array_to_string(ticket, ',') AS ticket FROM tickets",
+    "recommend_many": f"""WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED), MANY)},
+        masks AS (SELECT {MASK.format("ticket")} AS m, ticket, first FROM firsts), chosen AS (SELECT {_masks("list(m ORDER BY first)", 500, 3)} AS c FROM masks)
+        SELECT CAST(list_position(c, m) - 1 AS BIGINT) AS pos, array_to_string(ticket, ',') AS ticket FROM masks, chosen WHERE list_contains(c, m)""",
+    "diverse_draws": f"""WITH {BASE}, masks AS (SELECT {MASK.format("numbers")} AS m, numbers, min(ord) AS first FROM draws GROUP BY ALL), chosen AS (SELECT {_masks("list(m ORDER BY first)", 100_000, 2)} AS c FROM masks),
+        places AS (SELECT c[i] AS m, CAST(i - 1 AS BIGINT) AS pos FROM chosen, range(1, len(c) + 1) AS r(i))
+        SELECT pos, array_to_string(numbers, ',') AS ticket FROM masks JOIN places USING (m)""",
+    "number_gaps": f"WITH {BASE} SELECT ord, number, coalesce(ord - lag(ord) OVER (PARTITION BY number ORDER BY ord) - 1, -1) AS gap FROM (SELECT ord, unnest(numbers) AS number FROM draws)",
+    "gap_recency_scores": f"""WITH {BASE}, last_seen AS (SELECT number, (SELECT count(*) FROM draws) - 1 - max(ord) AS gap FROM (SELECT ord, unnest(numbers) AS number FROM draws) GROUP BY number)
+        SELECT number, gap, (0.7e0 * (CAST(count AS DOUBLE) / greatest(max(count) OVER (), 1)) + 0.3e0 * (1e0 / (1e0 + gap))) / (0.7e0 + 0.3e0) AS score FROM counts JOIN last_seen USING (number)""",
+    "walk_forward_each_draw": f"""WITH {BASE}, {EACH}, gaps AS (SELECT *, train - 1 + split_id - last_ord AS gap FROM train_counts, sizes)
+        SELECT split_id, number, CAST(count AS BIGINT) AS count, CAST(gap AS BIGINT) AS gap, (0.7e0 * (CAST(count AS DOUBLE) / greatest(max(count) OVER (PARTITION BY split_id), 1)) + 0.3e0 * (1e0 / (1e0 + gap))) / (0.7e0 + 0.3e0) AS score FROM gaps""",
+    "backtest_each_draw": f"{_cases(_walk(EACH))}, s AS (SELECT {SUMMARY} FROM cases) SELECT (SELECT n FROM sizes) AS dataset_size, *, average_matches - baseline_average_matches AS average_difference, total_matches - baseline_total_matches AS total_difference FROM s",
+    "recommend": f"WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED))}, {RECOMMENDED} SELECT CAST(pos - 1 AS BIGINT) AS pos, array_to_string(chosen[pos], ',') AS ticket FROM recommended, range(1, len(chosen) + 1) AS r(pos)",
     "backtest_matches": f"{WALK} SELECT split_id, ord, CAST(pos - 1 AS BIGINT) AS pos, CAST(len(list_intersect(chosen[pos], numbers)) AS BIGINT) AS matches FROM test_rows JOIN recommended USING (split_id), range(1, len(chosen) + 1) AS r(pos)",
     "backtest_cases": f"{CASES} SELECT * FROM cases",
     "backtest_summary": f"{CASES} SELECT {SUMMARY} FROM cases",

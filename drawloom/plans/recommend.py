@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.diversity import OptimizerConfig, TicketOptimizer
-from ..operators.sampling import TicketGenerator, fixed_seed
+from ..operators.sampling import TicketGenerator
 from ..operators.scoring import NumberPredictor
 from ..schema import RecommendationError
+from ..storage import materialize
 
 
 @dataclass(frozen=True)
@@ -34,13 +35,18 @@ class RecommendationEngine:
         return self.optimizer.optimize_lists(self.generator.generate_lists(scores, ticket_count, seed, by))
 
     def recommend(self, frequencies: DataFrame, ticket_count: int = 50, seed: int | None = None) -> RecommendationResult:
-        """From (number, count); recency plays no part here."""
+        """From (number, count); recency plays no part here.
+
+        The tickets are rows from the generator to the optimizer, so their number is
+        bounded by the cluster only; they are written once, as the check, the choice and
+        the result read them.
+        """
         if ticket_count <= 0:
             raise ValueError("ticket_count must be positive")
         scores = self.predictor.score_numbers(frequencies.select("number", "count"))
-        self.generator.check_scores(scores, [])
-        lists = self.optimizer.optimize_lists(self.generator.generate_lists(scores, ticket_count, F.lit(fixed_seed(seed)), []))
-        generated, recommended = (lists.select(F.posexplode(c).alias("pos", "ticket")) for c in ("tickets", "recommended"))
+        made = self.generator.generate_tickets(scores, ticket_count, seed)
+        generated = materialize(made.select(F.col("ticket_no").alias("pos"), "ticket"), "recommend-tickets")
+        recommended = self.optimizer.optimize(generated)
         if recommended.isEmpty():
             raise RecommendationError("No tickets were recommended")
         return RecommendationResult(scores, generated, recommended)

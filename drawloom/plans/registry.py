@@ -2,7 +2,7 @@
 
 Draws come from orders (see sources.tables).  Walk-forward queries train on half of
 the draws and test in blocks of a twentieth, with TICKETS tickets and SEED; the draws in
-their order are written once, as counting, checking and testing each read them.
+their order are a written table, as counting, checking and testing each read them.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.arrays import distinct_tickets, jaccard_similarity, overlap
 from ..operators import draws as D
 from ..operators import stats as S
-from ..operators.diversity import TicketOptimizer, TicketSelector
+from ..operators.diversity import OptimizerConfig, TicketOptimizer, TicketSelector
 from ..operators.sampling import RandomBaseline, TicketGenerator
 from ..operators.scoring import NumberPredictor
 from ..sources import tables
 from ..sources.csv_draws import CsvDatasetLoader
 from ..sources.entries import entries_desc as newest_first
-from ..storage import materialize
 from .backtest import Backtester, BacktestResult
 from .recommend import RecommendationEngine
 
 TICKETS, SEED = 20, 42
+#: Tickets of the query that recommends many.
+MANY = 2000
 
 
 def listed(ticket: Column) -> Column:
@@ -40,10 +41,17 @@ def _sizes(draws: DataFrame) -> tuple[int, int, int]:
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> D.WalkForward:
-    draws = materialize(tables.draws(spark, sf_dir), "draws")
+    draws = tables.draws(spark, sf_dir)
     return D.WalkForward(draws, *_sizes(draws))
 
 
+def _each_draw(spark: SparkSession, sf_dir: str) -> D.WalkForward:
+    """Splits that train on half of the draws or more and test on one draw each."""
+    draws = tables.draws(spark, sf_dir)
+    train, _, n = _sizes(draws)
+    return D.WalkForward(draws, train, 1, n)
+
+
 def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dataset_statistics(tables.numbers_only(spark, sf_dir))
 
@@ -112,6 +120,18 @@ def score_with_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NumberPredictor().score_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)), _recency(spark, sf_dir))
 
 
+def number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of all numbers of all draws; -1 where a number is seen for the first time."""
+    return S.number_gaps(tables.draws(spark, sf_dir)).fillna(-1, ["gap"])
+
+
+def gap_recency_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores whose recency comes from the draws: how long ago each number was last seen."""
+    draws = tables.draws(spark, sf_dir)
+    recency = S.number_recency(draws)
+    return NumberPredictor().score_numbers(S.number_counts(draws), recency).join(recency.select("number", "gap"), "number")
+
+
 def rank_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NumberPredictor().rank_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)))
 
@@ -150,11 +170,18 @@ def optimize_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selector's choice from all draws as one list of tickets, in their order."""
-    draws = materialize(tables.draws(spark, sf_dir), "draws")
+    draws = tables.draws(spark, sf_dir)
     chosen = TicketSelector().select(draws.select(F.col("ord").alias("pos"), F.col("numbers").alias("ticket")))
     return chosen.select(F.col("pos").cast("long").alias("pos"), listed(F.col("ticket")).alias("ticket"))
 
 
+def diverse_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All draws as one list of tickets, of which each may share two numbers with any accepted before it; no bound that is met."""
+    draws = tables.draws(spark, sf_dir).select(F.col("ord").alias("pos"), F.col("numbers").alias("ticket"))
+    chosen = TicketOptimizer(OptimizerConfig(max_overlap=2, max_tickets=100_000)).optimize(draws)
+    return chosen.select(F.col("pos").cast("long").alias("pos"), listed(F.col("ticket")).alias("ticket"))
+
+
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the CSV loader makes of a record for each order, of which some are broken on purpose, each in its way.
 
@@ -184,14 +211,36 @@ def walk_forward_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir).train_frequency()
 
 
+def walk_forward_each_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, gaps and scores of the numbers before every draw of the second half, each a split of its own."""
+    walk = _each_draw(spark, sf_dir)
+    counts, recency = walk.train_frequency(), walk.train_recency()
+    scores = NumberPredictor().score_numbers(counts, recency, by=["split_id"], check=False)
+    return counts.join(recency.select("split_id", "number", "gap"), ["split_id", "number"]).join(scores, ["split_id", "number"])
+
+
 def generate_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = NumberPredictor().score_numbers(S.number_counts(tables.numbers_only(spark, sf_dir)))
     return TicketGenerator().generate_tickets(scores, TICKETS, SEED).select(F.col("ticket_no").cast("long").alias("ticket_no"), listed(F.col("ticket")).alias("ticket"))
 
 
+def reservoir_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets of six parts (keys from 1), weighted by their prices; the parts are rows all the way."""
+    parts = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("number"), F.col("p_retailprice").cast("double").alias("score"))
+    generator = TicketGenerator(6, 1, (1 << 31) - 1)
+    made = generator.generate_tickets(parts, TICKETS, SEED)
+    return made.select(F.col("ticket_no").cast("long").alias("ticket_no"), listed(F.col("ticket")).alias("ticket"))
+
+
 def baseline_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A baseline ticket for each of a thousand numbers; the tables play no part in it."""
-    return RandomBaseline().generate_tickets(spark, 1000, SEED).select(F.col("ticket_no").cast("long").alias("ticket_no"), listed(F.col("ticket")).alias("ticket"))
+    """What the suppliers ask for: one to three tickets of six numbers, from ranges that begin and end where their keys say."""
+    key = F.col("s_suppkey").cast("int")
+    requests = tables.read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("request_id"), (key % 3 + 1).alias("tickets"), F.lit(6).alias("main_number_count"),
+        (key % 4 + 1).alias("min_number"), (key % 11 + 37).alias("max_number"),
+    )
+    made = RandomBaseline.requested(requests, SEED)
+    return made.select("request_id", F.col("ticket_no").cast("long").alias("ticket_no"), listed(F.col("ticket")).alias("ticket"))
 
 
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +248,13 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.recommended.select(F.col("pos").cast("long").alias("pos"), listed(F.col("ticket")).alias("ticket"))
 
 
+def recommend_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 500 tickets out of 2,000 that share three numbers at most."""
+    engine = RecommendationEngine(optimizer=TicketOptimizer(OptimizerConfig(max_overlap=3, max_tickets=500)))
+    made = engine.recommend(S.number_counts(tables.numbers_only(spark, sf_dir)), MANY, SEED)
+    return made.recommended.select(F.col("pos").cast("long").alias("pos"), listed(F.col("ticket")).alias("ticket"))
+
+
 def backtest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk = _walk(spark, sf_dir)
     tickets = Backtester().split_tickets(walk, TICKETS, SEED).select("split_id", F.posexplode("recommended").alias("pos", "ticket"))
@@ -206,7 +262,7 @@ def backtest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, sf_dir: str) -> BacktestResult:
-    draws = materialize(tables.draws(spark, sf_dir), "draws")
+    draws = tables.draws(spark, sf_dir)
     train, test, n = _sizes(draws)
     return Backtester().run(draws, train, test, TICKETS, SEED, n=n)
 
@@ -227,6 +283,12 @@ def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, sf_dir).report()
 
 
+def backtest_each_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest with a split for each draw of the second half; what its cases sum up to."""
+    walk = _each_draw(spark, sf_dir)
+    return Backtester().run(walk.draws, walk.train_size, 1, TICKETS, SEED, n=walk.n).report()
+
+
 def entries_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_first(tables.entries(spark, sf_dir))
 
@@ -236,8 +298,12 @@ def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order, draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, rank_numbers, ticket_overlap, ticket_jaccard,
-    distinct_ticket_lists, optimize_tickets, select_tickets, csv_rows, walk_forward_splits, walk_forward_frequency, generate_tickets, baseline_tickets, recommend, backtest_matches, backtest_cases, backtest_summary, match_thresholds, backtest_report, entries_desc, entry_by_id,
+    dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order,
+    draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, number_gaps, gap_recency_scores,
+    rank_numbers, ticket_overlap, ticket_jaccard, distinct_ticket_lists, optimize_tickets, select_tickets, diverse_draws,
+    csv_rows, walk_forward_splits, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
+    baseline_tickets, recommend, recommend_many, backtest_matches, backtest_cases, backtest_summary, match_thresholds,
+    backtest_report, backtest_each_draw, entries_desc, entry_by_id,
 )
 
 

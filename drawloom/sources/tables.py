@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.draws import with_ord
+from ..operators.running import ranked
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("n")).alias("numbers"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     joined = orders.join(numbers, F.col("o_orderkey") == F.col("l_orderkey"))
-    placed = with_ord(joined, F.to_date("o_orderdate"), F.col("o_orderdate"), F.col("o_orderkey"))
+    placed = ranked(joined, F.col("o_orderdate"), F.col("o_orderkey"))
     return placed.select("ord", F.col("o_orderkey").cast("string").alias("draw_id"), "numbers", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
 
 

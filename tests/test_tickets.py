@@ -124,7 +124,7 @@ def test_optimizer(spark):
 
 
 def test_optimizer_rounds_equal_the_plain_rule(spark, monkeypatch):
-    monkeypatch.setattr(diversity, "BLOCK", 7)
+    monkeypatch.setattr(diversity, "AHEAD", 1)
     rng = random.Random(4)
     rows = [rng.sample(range(1, 11), 6) for _ in range(150)]
     for most, limit in ((3, 10), (4, 12), (6, 5), (0, 3)):
