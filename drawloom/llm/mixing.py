@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-Each source's documents form blocks.  With a weight of w parts in a frame of F
-slots, block j (from 0) of a source may not start before floor(j F / w) and must be
-placed before ceil((j + 1) F / w); earliest deadline first among the released blocks
-gives every source, after any number of slots, less than one block more or less than
-its share.  Weights are whole parts of a frame, so the schedule of one frame repeats.
+Each source's documents form blocks, one for each slot.  In t slots a source's exact
+share is t * weight / sum of weights; when a source has run out, the others share the
+slots by their weights.  Block j (from 0) of a source may not start before the last slot at whose
+begin the share is at most j, and must be placed before the first slot at whose begin it is j + 1 or more.
+Earliest deadline first among the released blocks meets all these windows, so after any
+number of slots every source is less than one block off its exact share.
 """
 
 from __future__ import annotations
@@ -12,87 +13,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, packed, unpacked, written
+from .common import broadcast_if_small, materialize, packed, unpacked, written
 from .order import ranked
 
-#: Slots of a frame: weights are whole parts of it.
-FRAME = 1024
+#: The weights' sum, about, as whole numbers: a weight is rounded by half of this part at most.
+SCALE = 1 << 30
 #: Documents of a block.
 BLOCK = 64
+#: Slots that one schedule has at most; larger corpora have larger blocks.
+SLOTS = 1 << 18
+#: Slots whose choices are gathered in one array.
+CHUNK = 1024
 #: Key of the metadata of ``doc_id`` that names the table of places of mixed documents.
 PLACES = "mixed_places"
 ADDED = ("_block", "_place", "_slot", "_release", "_deadline", "_in_mix")
 
 
-def parts(weights: DataFrame, frame: int) -> DataFrame:
-    """(_source, _w): whole parts of the frame by largest remainders, one at least; weights: (_source, _weight > 0).
+def shares(sources: DataFrame) -> DataFrame:
+    """One row: l (array of s, w, b: sources by the time they run out), phases (array of t, before, weight), total; sources: (_source, _weight > 0, _b blocks).
 
-    Its rows are the sources, of which there must be at most ``frame`` (checked by the caller).
+    Phase p ends where source p of the list runs out, ``t`` slots (rounded down) from the
+    begin; ``before`` are the blocks of the sources that ran out earlier, ``weight`` the
+    weights of the others.  Its size is that of the table of sources.
     """
-    everything = Window.partitionBy()
-    spare = F.lit(frame) - F.count(F.lit(1)).over(everything)
-    fluid = weights.withColumn("_fluid", F.col("_weight") / F.sum("_weight").over(everything) * spare).withColumn("_floor", F.floor("_fluid"))
-    left = (spare - F.sum("_floor").over(everything)).alias("_left")
-    order = F.row_number().over(Window.orderBy((F.col("_floor") - F.col("_fluid")), "_source"))
-    return fluid.withColumns({"_left": left, "_order": order}).select("_source", (F.col("_floor") + 1 + (F.col("_order") <= F.col("_left")).cast("long")).cast("int").alias("_w"))
-
-
-def frame_schedule(shares: DataFrame, frame: int) -> DataFrame:
-    """(_source, _w, _j, _offset): the slot of block _j of each source in a frame, ``frame`` rows.
-
-    A fold over the slots keeps each source's next block; in each slot the released
-    block with the earliest deadline is placed (ties: the first source).
+    listed = sources.agg(F.collect_list(F.struct("_source", "_weight", "_b")).alias("_all")).filter(F.size("_all") > 0)
+    listed = listed.withColumn("_sum", F.expr("aggregate(_all, 0D, (a, x) -> a + x._weight)"))
+    whole = f"transform(_all, x -> named_struct('s', x._source, 'w', greatest(1L, cast(round(x._weight / _sum * {SCALE}) as bigint)), 'b', x._b))"
+    by_end = f"""array_sort({whole}, (x, y) -> case when x.b * y.w < y.b * x.w then -1 when x.b * y.w > y.b * x.w then 1
+        when x.s <=> y.s then 0 when x.s is null or x.s < y.s then -1 else 1 end)"""
+    listed = listed.select(F.expr(by_end).alias("l"))
+    phases = """aggregate(l, named_struct('b', 0L, 'w', aggregate(l, 0L, (a, x) -> a + x.w), 'o', cast(array() as array<struct<t: bigint, before: bigint, weight: bigint>>)),
+        (a, x) -> named_struct('b', a.b + x.b, 'w', a.w - x.w, 'o', array_append(a.o, named_struct('t', a.b + (x.b * a.w) div x.w, 'before', a.b, 'weight', a.w))), a -> a.o)"""
+    return listed.select("l", F.expr(phases).alias("phases"), F.expr("aggregate(l, 0L, (a, x) -> a + x.b)").alias("total"))
+
+
+def schedule(given: DataFrame) -> DataFrame:
+    """(_source, _block, _slot, _release, _deadline, _in_mix): every block's slot and window, from the written row of ``shares``.
+
+    A fold over the slots keeps each source's next block with its window; in each slot the
+    released block with the earliest deadline is placed (ties: the source that runs out first).
     """
-    listed = shares.agg(F.array_sort(F.collect_list(F.struct("_source", "_w"))).alias("l"))
-    fold = f"""aggregate(sequence(0, {frame - 1}), named_struct('n', transform(l, x -> 0), 'o', cast(array() as array<int>)), (s, t) ->
-        aggregate(array(array_min(transform(s.n, (n, i) -> if(n < l[i]._w and (n * {frame}) div l[i]._w <= t, named_struct('d', ((n + 1) * {frame} + l[i]._w - 1) div l[i]._w, 'i', i), null)))), s,
-            (a, p) -> named_struct('n', transform(a.n, (n, i) -> if(i = p.i, n + 1, n)), 'o', array_append(a.o, p.i))), s -> s.o)"""
-    placed = listed.filter(F.size("l") > 0).withColumn("o", F.expr(fold)).select("l", F.posexplode("o").alias("_offset", "_i"))
-    placed = placed.select(F.col("l")[F.col("_i")]["_source"].alias("_source"), F.col("l")[F.col("_i")]["_w"].alias("_w"), "_offset")
-    return placed.withColumn("_j", F.row_number().over(Window.partitionBy("_source").orderBy("_offset")) - 1)
-
-
-def mix(docs: DataFrame, *, weights: DataFrame | None = None, temper: float = 0.5, source_col: str = "source", key: list[Column] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    # The phase in which a source's share is j: the first whose source then has blocks left, or just none.
+    phase = lambda j: f"get(filter(zip_with(l, phases, (y, f) -> named_struct('y', y, 'f', f)), z -> z.y.b * l[i].w >= ({j}) * z.y.w), 0).f"
+    next_block = lambda n: f"""transform(array(named_struct('r', {phase(n)}, 'd', {phase(f"{n} + 1")})), q -> named_struct('n', {n},
+        'r', q.r.before + (q.r.weight * ({n})) div l[i].w, 'd', q.d.before + (q.d.weight * ({n} + 1) + l[i].w - 1) div l[i].w))[0]"""
+    start = f"transform(l, (x, i) -> {next_block('0L')})"
+    ready = "array_min(transform(a.st, (x, i) -> if(x.n < l[i].b and x.r <= t, named_struct('d', x.d, 'i', i, 'n', x.n, 'r', x.r), null)))"
+    moved = f"transform(a.st, (x, i) -> if(i = p.i, {next_block('x.n + 1')}, x))"
+    none = "cast(array() as array<struct<d: bigint, i: int, n: bigint, r: bigint>>)"
+    one = f"aggregate(array({ready}), a, (a, p) -> named_struct('st', {moved}, 'o', array_append(a.o, p)))"
+    slots = f"sequence(c * {CHUNK}, least((c + 1) * {CHUNK}, total) - 1)"
+    chunk = f"aggregate({slots}, named_struct('st', e.st, 'o', {none}), (a, t) -> {one})"
+    fold = f"""aggregate(sequence(0L, (total - 1) div {CHUNK}), named_struct('st', {start}, 'o', cast(array() as array<array<struct<d: bigint, i: int, n: bigint, r: bigint>>>)),
+        (e, c) -> aggregate(array({chunk}), e, (e, k) -> named_struct('st', k.st, 'o', array_append(e.o, k.o))), e -> flatten(e.o))"""
+    placed = given.withColumn("o", F.expr(fold)).select("l", F.col("phases")[0]["t"].alias("_end"), F.posexplode("o").alias("_slot", "_p"))
+    return placed.select(
+        F.col("l")[F.col("_p.i")]["s"].alias("_source"), F.col("_p.n").alias("_block"), F.col("_slot").cast("long").alias("_slot"),
+        F.col("_p.r").alias("_release"), F.col("_p.d").alias("_deadline"), (F.col("_slot") < F.col("_end")).alias("_in_mix"),
+    )
+
+
+def mix(
+    docs: DataFrame, *, weights: DataFrame | None = None, temper: float = 0.5, source_col: str = "source", key: list[Column] | None = None,
+    block: int = BLOCK, most_slots: int = SLOTS,
+) -> DataFrame:
     """``docs`` plus _block, _place, _slot, _release, _deadline (long) and _in_mix (boolean); every row stays.
 
     The mixed order is that of (_slot, _place).  ``weights``: (source, weight) with
     weights over 0; by default each source's number of documents to the power
     ``temper``.  A source without a weight, and a null source as any other, has the
-    default weight.  _in_mix: before the first source runs out, which is as far as the
-    targets can be met; later slots of that source stay empty and the others keep
-    their proportion.  Repeated rows are placed each; an empty table gives no rows.
+    default weight.  After any number of slots, a source has less than one block more or
+    fewer than its exact share.  _in_mix: before the first source runs out, which is as far as the
+    targets can be met; later the others share the slots by their weights.
+
+    A block has ``block`` documents (a source's last one may have fewer), or as many as
+    make ``most_slots`` blocks of the corpus if that is more: the schedule of all slots is one
+    fold, whose length is so bounded whatever the corpus.
+    Repeated rows are placed each; an empty table gives no rows.
     Columns of ``docs`` with one of the added names are replaced.
     """
     docs = docs.drop(*ADDED)
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_docs"))
-    n_sources = sizes.count()
-    while frame < 4 * n_sources:
-        frame *= 2
+    sizes = materialize(sizes, "mix-sizes")
+    block = max(block, -(-(sizes.agg(F.sum("_docs")).first()[0] or 0) // most_slots))
     target = F.pow(F.col("_docs").cast("double"), F.lit(temper))
     if weights is None:
-        asked = sizes.select("_source", target.alias("_weight"))
+        asked = sizes.withColumn("_weight", target)
     else:
         given = weights.select(F.col(source_col).cast("string").alias("_given"), F.col("weight").cast("double").alias("_w0"))
-        asked = sizes.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left").select("_source", F.coalesce("_w0", target).alias("_weight"))
-    schedule = frame_schedule(parts(asked, frame), frame)
+        asked = sizes.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left").withColumn("_weight", F.coalesce("_w0", target))
+    blocks = asked.select("_source", "_weight", F.expr(f"(_docs + {block - 1}) div {block}").alias("_b"))
+    # One written row: else the fold would work out the shares again for every slot.
+    slots = materialize(schedule(materialize(shares(blocks), "mix-shares")), "mix-slots").withColumnsRenamed({"_source": "_s2", "_block": "_b2"})
     key = key or [F.xxhash64(*(F.col(c) for c in docs.columns)), *(F.col(c) for c in docs.columns if c == "doc_id")]
     names = [f"_k{i}" for i in range(len(key))]
     lined = packed(docs, _source=F.col(source_col).cast("string"), **dict(zip(names, key)))
     placed = ranked(lined, [F.col("_source"), *(F.col(n) for n in names)], "mix", within="_source").drop(*names)
     placed = placed.withColumns({"_block": F.expr(f"_rank div {block}"), "_place": F.col("_rank") % block})
-    weight = schedule.groupBy(F.col("_source").alias("_s1")).agg(F.first("_w").alias("_w"))
-    # Tables of a row for each source and each slot of the frame are broadcast only if they are small.
-    sent = F.broadcast if frame <= BROADCAST_ROWS else lambda df: df.hint("merge")
-    placed = placed.join(sent(weight), F.col("_source").eqNullSafe(F.col("_s1"))).drop("_s1")
-    placed = placed.withColumn("_j", F.expr("_block % _w"))
-    offsets = schedule.select(F.col("_source").alias("_s2"), F.col("_j").alias("_j2"), "_offset")
-    placed = placed.join(sent(offsets), F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_j") == F.col("_j2"))).drop("_s2", "_j2")
-    placed = placed.withColumns({"_slot": F.expr(f"(_block div _w) * {frame} + _offset"), "_release": F.expr(f"(_block * {frame}) div _w"), "_deadline": F.expr(f"((_block + 1) * {frame} + _w - 1) div _w")})
-    # The first slot for which a source has no block: a source's blocks are 0 to its last, whose successor's slot follows from the schedule.
-    blocks = sizes.join(weight, F.col("_source").eqNullSafe(F.col("_s1"))).select("_source", "_w", F.expr(f"(_docs + {block - 1}) div {block}").alias("_b"))
-    ends = blocks.join(offsets, F.col("_source").eqNullSafe(F.col("_s2")) & (F.expr("_b % _w") == F.col("_j2")))
-    end = ends.agg(F.min(F.expr(f"(_b div _w) * {frame} + _offset"))).first()[0] or 0
-    return unpacked(placed, "_block", "_place", "_slot", "_release", "_deadline", (F.col("_slot") < end).alias("_in_mix"))
+    same = F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_block") == F.col("_b2"))
+    return unpacked(placed.join(broadcast_if_small(slots), same), "_block", "_place", "_slot", "_release", "_deadline", "_in_mix")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

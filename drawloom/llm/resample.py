@@ -75,7 +75,7 @@ class Postings:
     """
 
     def __init__(self, buckets: int, ranges: int, kind: pa.DataType) -> None:
-        self.buckets, self.ranges = buckets, ranges
+        self.buckets, self.ranges, self.most = buckets, ranges, (BLOCK_FEATURES, BLOCK_DOCS)
         document = pa.struct([("id", kind), ("words", pa.int64()), ("features", pa.int64())])
         self.schema = pa.schema([
             ("_block", pa.int64()), ("_range", pa.int32()), ("_docs", pa.list_(document)), ("_n", pa.list_(pa.int64())),
@@ -93,7 +93,7 @@ class Postings:
                 which = np.flatnonzero(counts)
                 found.append((which, counts[which]))
                 features += total
-                if features >= BLOCK_FEATURES or len(docs) >= BLOCK_DOCS:
+                if features >= self.most[0] or len(docs) >= self.most[1]:
                     yield self.rows(block, docs, found)
                     block, docs, found, features = block + 1, [], [], 0
         if docs:

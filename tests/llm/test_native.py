@@ -1,12 +1,14 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from drawloom.llm import mixing, sharding
-from drawloom.llm.common import flagged
+from drawloom.llm.common import flagged, materialize
 
 
 def sources(spark, sizes):
@@ -18,65 +20,102 @@ def sources(spark, sizes):
     return spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
 
 
-@pytest.mark.parametrize("sizes, weights", [({"a": 400, "b": 90, "c": 10, None: 33}, None), ({"a": 300, "b": 200, "c": 100}, {"a": 1.0, "b": 1.0, "c": 6.0}), ({"a": 50}, None), ({str(i): 7 + i for i in range(20)}, {str(i): 1 + i % 3 for i in range(20)})])
-def test_mixing_keeps_less_than_one_block_of_deviation(spark, sizes, weights):
+def shares_of(blocks, weights, slots):
+    """Exact shares of each source at the begin of slot 0, 1, ..: by weight among the sources that have blocks left."""
+    done, out, left = {s: Fraction(0) for s in blocks}, [], Fraction(0)
+    for _ in range(slots + 1):
+        out.append(dict(done))
+        left = Fraction(1)
+        while left:
+            going = {s: Fraction(weights[s]) for s in blocks if done[s] < blocks[s]}
+            if not going:
+                break
+            total = sum(going.values())
+            part = min([left, *((blocks[s] - done[s]) * total / w for s, w in going.items())])
+            for s, w in going.items():
+                done[s] += part * w / total
+            left -= part
+    return out
+
+
+def plain_schedule(blocks, weights):
+    """Source and block of each slot: a plain earliest-deadline-first scheduler over exact windows; ties to the source that runs out first."""
+    slots = sum(blocks.values())
+    share, done, out = shares_of(blocks, weights, slots), dict.fromkeys(blocks, 0), []
+    order = sorted(blocks, key=lambda s: (Fraction(blocks[s]) / Fraction(weights[s]), s is not None, s))
+    for t in range(slots):
+        ready = []
+        for i, s in enumerate(order):
+            if done[s] < blocks[s] and share[t][s] <= done[s] or (done[s] < blocks[s] and share[min(t + 1, slots)][s] > done[s]):
+                deadline = next(d for d in range(slots + 1) if share[d][s] >= done[s] + 1)
+                ready.append((deadline, i, s))
+        ready = [r for r in ready if max(u for u in range(slots + 1) if share[u][r[2]] <= done[r[2]]) <= t]
+        s = min(ready)[2]
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("blocks, weights", [
+    ({"a": 5}, {"a": 1.0}), ({"a": 20, "b": 20}, {"a": 1.0, "b": 1.0}), ({"a": 30, "b": 9, None: 4}, {"a": 10.0, "b": 3.0, None: 3.0}),
+    ({"a": 33, "b": 1, "c": 29, "d": 7}, {"a": 1.0, "b": 1.0, "c": 6.0, "d": 0.01}),
+])
+def test_schedule_equals_a_plain_scheduler(spark, blocks, weights):
+    given = spark.createDataFrame([(s, float(weights[s]), n) for s, n in blocks.items()], "_source string, _weight double, _b long")
+    got = {r._slot: (r._source, r._block) for r in mixing.schedule(materialize(mixing.shares(given), 'shares')).collect()}
+    scale = {s: max(1, round(w / sum(weights.values()) * mixing.SCALE)) for s, w in weights.items()}
+    assert [got[t] for t in range(sum(blocks.values()))] == plain_schedule(blocks, scale)
+
+
+@pytest.mark.parametrize("sizes, weights, block", [
+    ({"a": 400, "b": 90, "c": 10, None: 33}, None, 5), ({"a": 300, "b": 200, "c": 100}, {"a": 1.0, "b": 1.0, "c": 6.0}, 5),
+    ({"a": 50}, None, 5), ({str(i): 7 + i for i in range(20)}, {str(i): 1.0 + i % 3 for i in range(20)}, 5),
+    ({str(i): 400 if i else 12_000 for i in range(21)}, {str(i): 0.025 if i else 0.5 for i in range(21)}, 4),
+    ({str(i): 40 if i else 10_000 for i in range(250)}, {str(i): 0.5 / 249 if i else 0.5 for i in range(250)}, 4),
+])
+def test_mixing_keeps_less_than_one_block_of_deviation(spark, sizes, weights, block):
+    """At every slot, from the weights that were asked for; with a source of half of the weight among 21 and 250, too."""
     docs = sources(spark, sizes)
     given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double") if weights else None
-    got = mixing.report(docs, weights=given, block=5, frame=128).collect()
+    got = mixing.report(docs, weights=given, block=block).collect()
     assert Counter(r.doc_id for r in got) == Counter(range(sum(sizes.values())))
     slots = {}
-    share = Counter()
     for r in got:
         assert r.release <= r.slot < r.deadline
         assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
     assert Counter((r.slot, r.place) for r in got).most_common(1)[0][1] == 1
-    total = {s: (weights or {s: n**0.5 for s, n in sizes.items()}).get(s, 0) for s in sizes}
-    frame = 128
-    for s in sizes:  # parts of the frame, from the deadlines of the first blocks
-        share[s] = next(w for w in range(1, frame + 1) if all(r.release == r.block * frame // w and r.deadline == -(-(r.block + 1) * frame // w) for r in got if r.source == s))
-        assert abs(share[s] / frame - total[s] / sum(total.values())) < (len(sizes) + 1) / frame or max(r.block for r in got if r.source == s) < 3
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    assert sorted(slots) == list(range(sum(blocks.values()))) and set(slots.values()) == {(s, j) for s, n in blocks.items() for j in range(n)}
+    asked = weights or {s: n**0.5 for s, n in sizes.items()}
     end = max((r.slot for r in got if r.in_mix), default=-1) + 1
+    assert abs(end - min(math.floor(n * sum(asked.values()) / asked[s] + 1e-6) for s, n in blocks.items())) <= 1  # weights are rounded
     done = Counter()
     for t in range(end):
         done[slots[t][0]] += 1
-        for s in sizes:
-            low, high = done[s] - (t + 1) * share[s] / frame, done[s] - (t + 1) * share[s] / frame
-            if max(r.block for r in got if r.source == s) >= 3:
-                assert -1 < low and high < 1
-
-
-def earliest_deadline_first(parts, frame):
-    """(source, block) of each slot: a plain scheduler over integer release times and deadlines, ties to the first source."""
-    done, out = dict.fromkeys(parts, 0), []
-    for t in range(frame):
-        ready = [(-(-(done[s] + 1) * frame // w), i, s) for i, (s, w) in enumerate(sorted(parts.items())) if done[s] < w and done[s] * frame // w <= t]
-        s = min(ready)[2]
-        out.append((s, done[s]))
-        done[s] += 1
-    return out
-
-
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1, "d": 1}, {"a": 10, "b": 3, "c": 3, "d": 1}, {"a": 33, "b": 1, "c": 29, "d": 7, "e": 7, "f": 2}])
-def test_schedule_equals_a_plain_scheduler(spark, weights):
-    frame = 64
-    given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _weight double")
-    shares = mixing.parts(given, frame)
-    parts = {r._source: r._w for r in shares.collect()}
-    assert sum(parts.values()) == frame
-    got = {r._offset: (r._source, r._j) for r in mixing.frame_schedule(shares, frame).collect()}
-    assert [got[t] for t in range(frame)] == earliest_deadline_first(parts, frame)
+        for s, w in asked.items():
+            assert abs(done[s] - (t + 1) * w / sum(asked.values())) < 1 + 1e-4
+    if len(sizes) < 30:
+        done, share = Counter(), shares_of(blocks, {s: Fraction(w) for s, w in asked.items()}, len(slots))
+        for t in range(len(slots)):
+            done[slots[t][0]] += 1
+            assert all(abs(done[s] - share[t + 1][s]) < 1 + 1e-4 for s in sizes)
 
 
 def test_mixing_without_broadcasts(spark, monkeypatch):
     docs = sources(spark, {"a": 60, "b": 30, None: 5})
-    want = sorted(tuple(r) for r in mixing.report(docs, block=4, frame=32).select("doc_id", "slot", "place").collect())
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
-    assert sorted(tuple(r) for r in mixing.report(docs, block=4, frame=32).select("doc_id", "slot", "place").collect()) == want
+    want = sorted(tuple(r) for r in mixing.report(docs, block=4).select("doc_id", "slot", "place").collect())
+    monkeypatch.setattr("drawloom.llm.common.BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in mixing.report(docs, block=4).select("doc_id", "slot", "place").collect()) == want
+
+
+def test_large_corpora_have_larger_blocks(spark):
+    got = mixing.report(sources(spark, {"a": 600, "b": 300}), block=4, most_slots=30).collect()
+    assert max(r.slot for r in got) == 29 and max(r.place for r in got) == 29
 
 
 def test_mixed_order_and_edges(spark):
     docs = sources(spark, {"a": 40, "b": 40}).withColumn("text", F.lit("x"))
-    order = [r.source for r in mixing.mixed_order(docs, block=1, frame=16).collect()]
+    order = [r.source for r in mixing.mixed_order(docs, block=1).collect()]
     assert len(order) == 80 and all(abs(order[:i].count("a") - i / 2) < 1 for i in range(80))
     assert mixing.mixed_order(docs.limit(0)).count() == 0 == mixing.report(docs.limit(0)).count()
     twice = docs.union(docs)
@@ -153,4 +192,4 @@ def test_native_operators_send_no_local_rows(spark, monkeypatch):
         raise AssertionError("rows from the driver")
 
     monkeypatch.setattr(type(spark), "createDataFrame", refuse)
-    assert sharding.shard_documents(docs).count() == 300 == mixing.report(docs, block=4, frame=32).count()
+    assert sharding.shard_documents(docs).count() == 300 == mixing.report(docs, block=4).count()

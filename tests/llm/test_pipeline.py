@@ -80,7 +80,7 @@ def test_slots_follow_the_mix_and_its_weights(spark, tmp_path):
         return {(r.shard, r.slot): r.doc_id for r in rows}
 
     given = lambda hot: spark.createDataFrame([("hot", hot)] + [(f"s{i}", 1.0) for i in range(4)], "source string, weight double")
-    how = {"key": [F.xxhash64("doc_id"), F.col("doc_id")], "block": 4, "frame": 64}
+    how = {"key": [F.xxhash64("doc_id"), F.col("doc_id")], "block": 4}
     mixes = {w: mixing.mix(docs, weights=given(w), **how) for w in (1.0, 6.0)}
     got = {w: shards(f"w{w}", mixing.mixed_order(docs, weights=given(w), **how)) for w in (1.0, 6.0)}
     assert got[1.0] != got[6.0] != shards("unmixed", docs)
