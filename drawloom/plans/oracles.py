@@ -92,6 +92,7 @@ SQL = {
     "most_frequent": f"{FREQUENCY} SELECT * FROM frequency ORDER BY count DESC, number LIMIT 10",
     "least_frequent": f"{FREQUENCY} SELECT * FROM frequency ORDER BY count, number LIMIT 10",
     "draws_in_order": f"WITH {BASE} SELECT {SHOWN} FROM draws",
+    "csv_file_draws": f"WITH {BASE} SELECT {SHOWN} FROM draws",
     "draw_at": f"WITH {BASE} SELECT {SHOWN} FROM draws WHERE ord = 100",
     "latest_draw": f"WITH {BASE} SELECT {SHOWN} FROM draws ORDER BY ord DESC LIMIT 1",
     "append_draw": f"WITH {BASE} SELECT {SHOWN} FROM draws UNION ALL SELECT (SELECT count(*) FROM draws), 'new', '1,2,3,4,5,6', NULL",

@@ -21,6 +21,7 @@ from ..operators.scoring import NumberPredictor
 from ..sources import tables
 from ..sources.csv_draws import CsvDatasetLoader
 from ..sources.entries import entries_desc as newest_first
+from ..storage import fresh_path
 from .backtest import Backtester, BacktestResult
 from .recommend import RecommendationEngine
 
@@ -202,6 +203,15 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", "draw_id", listed(F.col("numbers")).alias("numbers"), "date", "error")
 
 
+def csv_file_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws written as CSV files, some with line breaks between their numbers, and loaded from them by many tasks."""
+    draws, path = tables.draws(spark, sf_dir), fresh_path(spark, "draws-csv")
+    numbers = F.array_join(F.col("numbers").cast("array<string>"), F.when(F.col("ord") % 5 == 0, F.lit(",\n")).otherwise(F.lit("; ")))
+    lined = draws.repartitionByRange("ord").sortWithinPartitions("ord")
+    lined.select("date", numbers.alias("numbers"), "draw_id").write.option("header", True).option("escape", '"').csv(path)
+    return _shown(CsvDatasetLoader(split=True).load(spark, path).draws)
+
+
 def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk = _walk(spark, sf_dir)
     return walk.test_rows().join(walk.splits(), "split_id").select("split_id", "train_size", "test_size", "ord", "draw_id")
@@ -301,7 +311,7 @@ QUERIES = (
     dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order,
     draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, number_gaps, gap_recency_scores,
     rank_numbers, ticket_overlap, ticket_jaccard, distinct_ticket_lists, optimize_tickets, select_tickets, diverse_draws,
-    csv_rows, walk_forward_splits, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
+    csv_rows, csv_file_draws, walk_forward_splits, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
     baseline_tickets, recommend, recommend_many, backtest_matches, backtest_cases, backtest_summary, match_thresholds,
     backtest_report, backtest_each_draw, entries_desc, entry_by_id,
 )

@@ -32,11 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> str:
-    """The path of the table that ``materialize`` reads."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; ``clear_tables`` deletes what is written there."""
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The path of the table that ``materialize`` reads."""
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return path
 
