@@ -69,3 +69,26 @@ def number_recency(draws: DataFrame) -> DataFrame:
     size = draws.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
     last = draws.select("ord", F.explode("numbers").alias("number")).groupBy("number").agg(F.max("ord").alias("_last"))
     return last.select("number", (F.lit(size) - F.col("_last")).alias("gap")).withColumn("recency", recency_of("gap"))
+
+
+def frequency_cube(draws: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """number, year, month, grouping, count: the numbers of (numbers, date) by each of several sets of these columns, in one pass.
+
+    Columns that are not in a row's set are null there, and ``grouping`` has their bits (number 4, year 2, month 1);
+    a draw without a date has null year and month of its own.  The rows are expanded
+    before the partial counts, so the shuffle has the groups and not the draws.
+    """
+    date = F.to_date("date")
+    each = draws.select(F.explode("numbers").alias("number"), F.year(date).alias("year"), F.month(date).alias("month"))
+    columns = [F.col(c) for c in ("number", "year", "month")]
+    grouped = each.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    return grouped.agg(F.grouping_id(*columns).cast("int").alias("grouping"), F.count(F.lit(1)).alias("count")).select("number", "year", "month", "grouping", "count")
+
+
+def pair_cube(draws: DataFrame) -> DataFrame:
+    """first, second, year, grouping, count: pairs of numbers drawn together, by year (grouping 0), in all (1), and numbers of pairs in all (7)."""
+    pairs = F.transform("numbers", lambda a: F.transform(F.filter("numbers", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second"))))
+    each = draws.select(F.explode(F.flatten(pairs)).alias("p"), F.year(F.to_date("date")).alias("year")).select("p.first", "p.second", "year")
+    columns = [F.col(c) for c in ("first", "second", "year")]
+    grouped = each.groupingSets([columns, columns[:2], []], *columns)
+    return grouped.agg(F.grouping_id(*columns).cast("int").alias("grouping"), F.count(F.lit(1)).alias("count")).select("first", "second", "year", "grouping", "count")

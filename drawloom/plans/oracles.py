@@ -78,6 +78,7 @@ WALK = _walk(SIZES)
 CASES = _cases(WALK)
 SUMMARY = """count(*) AS case_count, max(best_match) AS best_match, CAST(sum(total_matches) AS BIGINT) AS total_matches, CAST(sum(total_matches) AS DOUBLE) / count(*) AS average_matches,
 max(baseline_best_match) AS baseline_best_match, CAST(sum(baseline_total_matches) AS BIGINT) AS baseline_total_matches, CAST(sum(baseline_total_matches) AS DOUBLE) / count(*) AS baseline_average_matches"""
+STRETCHED = "stretched AS (SELECT event_id, (epoch_us(ts) - 1704067200000000) * 80 + 788918400000000 AS moment FROM events)"
 SHOWN = "ord, draw_id, array_to_string(numbers, ',') AS numbers, date"
 FREQUENCY = f"WITH {BASE}, frequency AS (SELECT number, count, count / sum(count) OVER () AS frequency FROM counts)"
 LISTS = f"WITH {BASE}, first_seen AS (SELECT ord // 40 AS list, numbers, min(ord % 40) AS first FROM draws GROUP BY ALL), lists AS (SELECT list, list(numbers ORDER BY first) AS tickets FROM first_seen GROUP BY list)"
@@ -132,6 +133,15 @@ SQL = {
         places AS (SELECT c[i] AS m, CAST(i - 1 AS BIGINT) AS pos FROM chosen, range(1, len(c) + 1) AS r(i))
         SELECT pos, array_to_string(numbers, ',') AS ticket FROM masks JOIN places USING (m)""",
     "number_gaps": f"WITH {BASE} SELECT ord, number, coalesce(ord - lag(ord) OVER (PARTITION BY number ORDER BY ord) - 1, -1) AS gap FROM (SELECT ord, unnest(numbers) AS number FROM draws)",
+    "frequency_cube": f"""WITH {BASE}, each AS (SELECT unnest(numbers) AS number, CAST(substr(date, 1, 4) AS INTEGER) AS year, CAST(substr(date, 6, 2) AS INTEGER) AS month FROM draws)
+        SELECT coalesce(number, 0) AS number, coalesce(year, 0) AS year, coalesce(month, 0) AS month, CAST(grouping(number, year, month) AS INTEGER) AS grouping, count(*) AS count FROM each
+        GROUP BY GROUPING SETS ((number, year, month), (number, year), (number), (year), ())""",
+    "pair_cube": f"""WITH {BASE}, each AS (SELECT a AS first, b AS second, CAST(substr(date, 1, 4) AS INTEGER) AS year FROM draws, unnest(numbers) AS u(a), unnest(numbers) AS v(b) WHERE a < b)
+        SELECT coalesce(first, 0) AS first, coalesce(second, 0) AS second, coalesce(year, 0) AS year, CAST(grouping(first, second, year) AS INTEGER) AS grouping, count(*) AS count FROM each GROUP BY GROUPING SETS ((first, second, year), (first, second), ())""",
+    "latest_draw_before_events": f"""WITH {BASE}, days AS (SELECT epoch_us(CAST(date AS TIMESTAMP)) AS since, max(ord) AS ord, max_by(draw_id, ord) AS draw_id FROM draws GROUP BY date), {STRETCHED}
+        SELECT event_id, coalesce(ord, -1) AS ord, coalesce(draw_id, '') AS draw_id FROM stretched ASOF LEFT JOIN days ON moment >= since""",
+    "events_in_test_spans": f"""WITH {BASE}, {SIZES}, {STRETCHED}, spans AS (SELECT split_id, min(epoch_us(CAST(date AS TIMESTAMP))) AS b, max(epoch_us(CAST(date AS TIMESTAMP))) + 86400000000 AS e FROM test_rows JOIN draws USING (ord) GROUP BY split_id)
+        SELECT split_id, event_id FROM spans JOIN stretched ON moment >= b AND moment < e""",
     "gap_recency_scores": f"""WITH {BASE}, last_seen AS (SELECT number, (SELECT count(*) FROM draws) - 1 - max(ord) AS gap FROM (SELECT ord, unnest(numbers) AS number FROM draws) GROUP BY number)
         SELECT number, gap, (0.7e0 * (CAST(count AS DOUBLE) / greatest(max(count) OVER (), 1)) + 0.3e0 * (1e0 / (1e0 + gap))) / (0.7e0 + 0.3e0) AS score FROM counts JOIN last_seen USING (number)""",
     "walk_forward_each_draw": f"""WITH {BASE}, {EACH}, gaps AS (SELECT *, train - 1 + split_id - last_ord AS gap FROM train_counts, sizes)

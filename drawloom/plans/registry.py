@@ -18,6 +18,7 @@ from ..operators import stats as S
 from ..operators.diversity import OptimizerConfig, TicketOptimizer, TicketSelector
 from ..operators.sampling import RandomBaseline, TicketGenerator
 from ..operators.scoring import NumberPredictor
+from ..operators.temporal import as_of, within
 from ..sources import tables
 from ..sources.csv_draws import CsvDatasetLoader
 from ..sources.entries import entries_desc as newest_first
@@ -108,6 +109,36 @@ def draw_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken.select("key", F.coalesce(D.draw_error(), F.lit("valid")).alias("verdict"))
 
 
+def frequency_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by number, year and month together, by number and year, by number, by year, and in all; 0 stands for all."""
+    sets = [["number", "year", "month"], ["number", "year"], ["number"], ["year"], []]
+    return S.frequency_cube(tables.draws(spark, sf_dir), sets).fillna(0)
+
+
+def pair_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.pair_cube(tables.draws(spark, sf_dir)).fillna(0)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, at (microseconds): the events, their January of 2024 stretched by 80 to the years of the draws from 1995 on."""
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000
+    return tables.read(spark, sf_dir, "events").select("event_id", (since * 80 + 788_918_400_000_000).alias("at"))
+
+
+def latest_draw_before_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest draw of the day of each event or before it; position -1 where there was none."""
+    draws = tables.draws(spark, sf_dir).select("ord", "draw_id", F.unix_micros(F.to_timestamp("date")).alias("since"))
+    joined = as_of(_events(spark, sf_dir), draws, at="at", since="since", ties=["ord"])
+    return joined.select("event_id", F.coalesce("latest.ord", F.lit(-1)).alias("ord"), F.coalesce("latest.draw_id", F.lit("")).alias("draw_id"))
+
+
+def events_in_test_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the time that each split tests, from the day of its first draw to the end of the day of its last one."""
+    day = F.unix_micros(F.to_timestamp("date"))
+    spans = _walk(spark, sf_dir).test_rows().groupBy("split_id").agg(F.min(day).alias("begin"), (F.max(day) + 86_400_000_000 - 1).alias("end"))
+    return within(_events(spark, sf_dir), spans, at="at", begin="begin", end="end").select("split_id", "event_id")
+
+
 def _recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recency of our own: (number mod 5) / 4 for numbers not divisible by 3."""
     return S.number_counts(tables.numbers_only(spark, sf_dir)).filter("number % 3 <> 0").select("number", (F.col("number") % 5 / F.lit(4.0)).alias("recency"))
@@ -206,7 +237,8 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_file_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws written as CSV files, some with line breaks between their numbers, and loaded from them by many tasks."""
     draws, path = tables.draws(spark, sf_dir), fresh_path(spark, "draws-csv")
-    numbers = F.array_join(F.col("numbers").cast("array<string>"), F.when(F.col("ord") % 5 == 0, F.lit(",\n")).otherwise(F.lit("; ")))
+    texts = F.col("numbers").cast("array<string>")
+    numbers = F.when(F.col("ord") % 5 == 0, F.array_join(texts, ",\n")).otherwise(F.array_join(texts, "; "))
     lined = draws.repartitionByRange("ord").sortWithinPartitions("ord")
     lined.select("date", numbers.alias("numbers"), "draw_id").write.option("header", True).option("escape", '"').csv(path)
     return _shown(CsvDatasetLoader(split=True).load(spark, path).draws)
@@ -310,7 +342,7 @@ def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order,
     draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, number_gaps, gap_recency_scores,
-    rank_numbers, ticket_overlap, ticket_jaccard, distinct_ticket_lists, optimize_tickets, select_tickets, diverse_draws,
+    rank_numbers, frequency_cube, pair_cube, latest_draw_before_events, events_in_test_spans, ticket_overlap, ticket_jaccard, distinct_ticket_lists, optimize_tickets, select_tickets, diverse_draws,
     csv_rows, csv_file_draws, walk_forward_splits, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
     baseline_tickets, recommend, recommend_many, backtest_matches, backtest_cases, backtest_summary, match_thresholds,
     backtest_report, backtest_each_draw, entries_desc, entry_by_id,
