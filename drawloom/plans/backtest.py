@@ -17,6 +17,20 @@ from .recommend import RecommendationEngine
 BASELINE_SEED = 10_000
 
 
+def cases_of(tested: DataFrame, train_size: int, test_size: int, *more: str) -> DataFrame:
+    """The cases of rows (split_id, ord, draw_id, numbers, tickets, recommended, baseline), one a test draw, and the columns of ``more``."""
+    matches = {side: F.transform(side, lambda t: F.size(F.array_intersect(t, F.col("numbers")))) for side in ("recommended", "baseline")}
+    best = {side: F.coalesce(F.array_max(m), F.lit(0)).cast("long") for side, m in matches.items()}
+    total = {side: F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x) for side, m in matches.items()}
+    return tested.select(
+        *more, "split_id", "ord", (F.lit(train_size) + F.col("split_id") * test_size).cast("long").alias("train_size"),
+        F.lit(test_size).cast("long").alias("test_size"), F.size("tickets").cast("long").alias("generated_ticket_count"),
+        F.size("recommended").cast("long").alias("recommended_ticket_count"), F.col("draw_id").alias("test_draw_id"),
+        best["recommended"].alias("best_match"), total["recommended"].alias("total_matches"),
+        best["baseline"].alias("baseline_best_match"), total["baseline"].alias("baseline_total_matches"),
+    )
+
+
 class BacktestResult:
     """The cases, one per test draw, and what they sum up to."""
 
@@ -79,11 +93,4 @@ class Backtester:
             raise BacktestError(str(short)) from short
         tickets = self.split_tickets(walk, ticket_count, seed, check=check)
         joined = walk.test_rows().select("split_id", "ord", "draw_id", "numbers").join(tickets, "split_id")
-        matches = {side: F.transform(side, lambda t: F.size(F.array_intersect(t, F.col("numbers")))) for side in ("recommended", "baseline")}
-        best = {side: F.coalesce(F.array_max(m), F.lit(0)).cast("long") for side, m in matches.items()}
-        total = {side: F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x) for side, m in matches.items()}
-        return BacktestResult(joined.select(
-            "split_id", "ord", (F.lit(train_size) + F.col("split_id") * test_size).cast("long").alias("train_size"), F.lit(test_size).cast("long").alias("test_size"),
-            F.size("tickets").cast("long").alias("generated_ticket_count"), F.size("recommended").cast("long").alias("recommended_ticket_count"), F.col("draw_id").alias("test_draw_id"),
-            best["recommended"].alias("best_match"), total["recommended"].alias("total_matches"), best["baseline"].alias("baseline_best_match"), total["baseline"].alias("baseline_total_matches"),
-        ), walk.n)
+        return BacktestResult(cases_of(joined, train_size, test_size), walk.n)
