@@ -54,10 +54,20 @@ def entropy(value: str) -> float:
 
 def bare_candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Tokens of 20 characters or more with letters, digits and high entropy, outside the base spans."""
-    out = []
+    covered: list[list[int]] = []  # disjoint runs of the base spans, which come by start
+    for start, end, _, _ in base:
+        if covered and start < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    out, at = [], 0
     for m in BARE.finditer(text):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        if at < len(covered) and covered[at][0] < m.end():
+            continue
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= MIN_ENTROPY and not any(a < m.end() and m.start() < b for a, b, _, _ in base):
+        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= MIN_ENTROPY:
             out.append((m.start(), m.end(), "token", v))
     return out
 
