@@ -94,15 +94,16 @@ class TicketOptimizer:
         each = tickets.groupBy(F.array_sort("ticket").alias("ticket")).agg(F.min(F.col("pos").cast("long")).alias("pos"))
         each = materialize(each, "tickets")
         low, end = each.agg(F.min("pos"), F.max("pos") + 1).first()
-        accepted, wanted, start = each.filter("false"), self.config.max_tickets, low
+        accepted, wanted, start = None, self.config.max_tickets, low
         while low is not None and low < end:
             high = min(end, low + AHEAD * wanted + 2 * (low - start))
             stretch = each.filter((F.col("pos") >= low) & (F.col("pos") < high))
             more = first_independent(stretch, self.config.max_overlap, accepted)[0]
-            accepted = materialize(accepted.unionByName(more), "tickets-accepted")
-            if accepted.count() >= wanted:
-                break
+            accepted = materialize(more if accepted is None else accepted.unionByName(more), "tickets-accepted")
             low = high
+            if low < end and accepted.count() >= wanted:
+                break
+        accepted = each if accepted is None else accepted
         if wanted <= SHORT:
             first = accepted.orderBy("pos").limit(wanted)
             placed = first.withColumn("_place", F.row_number().over(Window.orderBy("pos")) - 1)
