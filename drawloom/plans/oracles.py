@@ -119,6 +119,7 @@ SQL = {
             CASE k % 11 WHEN 1 THEN 'numbers cannot be empty' WHEN 2 THEN 'numbers must contain integers' WHEN 3 THEN 'A draw must contain at least one number' WHEN 4 THEN 'Lottery numbers must be unique'
             WHEN 5 THEN 'Lottery numbers must be positive' WHEN 6 THEN 'draw_id cannot be empty' END AS error FROM listed""",
     "walk_forward_splits": f"WITH {BASE}, {SIZES} SELECT split_id, CAST(train + split_id * test AS BIGINT) AS train_size, CAST(test AS BIGINT) AS test_size, ord, draw_id FROM test_rows",
+    "sql_walk_forward": f"WITH {BASE}, {SIZES} SELECT split_id, CAST(train + split_id * test AS BIGINT) AS train_size, count(*) AS draws, CAST(sum(len(numbers)) AS BIGINT) AS numbers, min(ord) AS first_ord, max(ord) AS last_ord FROM test_rows GROUP BY ALL",
     "walk_forward_frequency": f"WITH {BASE}, {SIZES} SELECT split_id, number, count FROM train_counts",
     "generate_tickets": f"WITH {BASE}, {SCORES}, one AS (SELECT 0 AS split_id, * FROM scores), {_race('one', str(SEED))} SELECT ticket_no, array_to_string(ticket, ',') AS ticket FROM tickets",
     "baseline_tickets": f"""WITH requests AS (SELECT s_suppkey AS request_id, unnest(range(s_suppkey % 3 + 1)) AS ticket_no, s_suppkey % 4 + 1 AS low, s_suppkey % 11 + 37 AS high FROM supplier),

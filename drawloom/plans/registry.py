@@ -23,6 +23,7 @@ from ..operators.temporal import as_of, within
 from ..sources import tables
 from ..sources.csv_draws import CsvDatasetLoader
 from ..sources.entries import entries_desc as newest_first
+from ..sql import register
 from ..storage import fresh_path, written
 from .backtest import Backtester, BacktestResult
 from .recommend import RecommendationEngine
@@ -250,6 +251,15 @@ def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.test_rows().join(walk.splits(), "split_id").select("split_id", "train_size", "test_size", "ord", "draw_id")
 
 
+def sql_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split the test draws, their numbers and the lowest and highest position, from SQL."""
+    draws = tables.draws(spark, sf_dir)
+    train, test, n = _sizes(draws)
+    register(spark, draws)
+    return spark.sql(f"""SELECT split_id, split_train_size AS train_size, count(*) AS draws, sum(size(numbers)) AS numbers, min(ord) AS first_ord, max(ord) AS last_ord
+        FROM walk_forward(TABLE(draws), {train}, {test}, {n}) GROUP BY split_id, split_train_size""")
+
+
 def walk_forward_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir).train_frequency()
 
@@ -372,7 +382,7 @@ QUERIES = (
     dataset_statistics, lottery_summary, number_frequency, frequency_for, most_frequent, least_frequent, draws_in_order,
     draw_at, latest_draw, append_draw, draw_validation, score_numbers, score_with_recency, number_gaps, gap_recency_scores,
     rank_numbers, frequency_cube, pair_cube, latest_draw_before_events, events_in_test_spans, ticket_overlap, ticket_jaccard, distinct_ticket_lists, optimize_tickets, select_tickets, diverse_draws,
-    csv_rows, csv_file_draws, walk_forward_splits, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
+    csv_rows, csv_file_draws, walk_forward_splits, sql_walk_forward, walk_forward_frequency, walk_forward_each_draw, generate_tickets, reservoir_tickets,
     baseline_tickets, recommend, recommend_many, backtest_matches, backtest_cases, backtest_variants, span_sketches, backtest_summary, match_thresholds,
     backtest_report, backtest_each_draw, entries_desc, entry_by_id,
 )
