@@ -140,6 +140,6 @@ class WalkForward:
         return self.train_statistics().select("split_id", "number", "count")
 
     def train_recency(self) -> DataFrame:
-        """split_id, number, gap (training draws since the number was last seen, 0: in the last one), recency 1 / (1 + gap)."""
+        """split_id, number, count, gap (training draws since the number was last seen, 0: in the last one), recency 1 / (1 + gap)."""
         gap = F.lit(self.train_size - 1) + F.col("split_id").cast("long") * self.test_size - F.col("last_ord")
-        return self.train_statistics().select("split_id", "number", gap.alias("gap")).withColumn("recency", recency_of("gap"))
+        return self.train_statistics().select("split_id", "number", "count", gap.alias("gap")).withColumn("recency", recency_of("gap"))

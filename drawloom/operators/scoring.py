@@ -35,15 +35,18 @@ class NumberPredictor:
         by = by or []
         if check and frequencies.filter("count < 0").limit(1).count():
             raise ValueError("Frequencies cannot be negative")
-        share = F.col("count").cast("double") / largest_count(by).cast("double")
-        recent = F.lit(0.0)
         if recency is not None:
             on = [c for c in [*by, "number"] if c in recency.columns]
             frequencies = frequencies.join(recency.select(*on, F.col("recency").cast("double").alias("_recency")), on, "left")
-            recent = F.coalesce(F.col("_recency"), F.lit(0.0))
+        scored = self.with_scores(frequencies, by, None if recency is None else "_recency").select(*by, "number", "score")
+        return scored if by else scored.orderBy("number")
+
+    def with_scores(self, frequencies: DataFrame, by: list[str], recency: str | None = None) -> DataFrame:
+        """``frequencies`` (by..., number, count, ...) plus score; recency: a column of theirs, null as 0."""
+        share = F.col("count").cast("double") / largest_count(by).cast("double")
+        recent = F.lit(0.0) if recency is None else F.coalesce(F.col(recency), F.lit(0.0))
         fw, rw = F.lit(float(self.frequency_weight)), F.lit(float(self.recency_weight))
-        scores = frequencies.select(*by, "number", ((fw * share + rw * recent) / (fw + rw)).alias("score"))
-        return scores if by else scores.orderBy("number")
+        return frequencies.withColumn("score", (fw * share + rw * recent) / (fw + rw))
 
     def rank_numbers(self, frequencies: DataFrame, recency: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
         """The scores plus rank: best first, ties by number."""

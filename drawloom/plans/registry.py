@@ -266,10 +266,8 @@ def walk_forward_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_forward_each_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, gaps and scores of the numbers before every draw of the second half, each a split of its own."""
-    walk = _each_draw(spark, sf_dir)
-    counts, recency = walk.train_frequency(), walk.train_recency()
-    scores = NumberPredictor().score_numbers(counts, recency, by=["split_id"], check=False)
-    return counts.join(recency.select("split_id", "number", "gap"), ["split_id", "number"]).join(scores, ["split_id", "number"])
+    told = _each_draw(spark, sf_dir).train_recency()
+    return NumberPredictor().with_scores(told, ["split_id"], "recency").select("split_id", "number", "count", "gap", "score")
 
 
 def generate_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
