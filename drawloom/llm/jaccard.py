@@ -7,25 +7,27 @@ far, so a count may be low, which costs candidates and never a link), then by ha
 prefixes, so the prefixes are indexed.  Texts with equal sets are one class.  Classes
 that share a prefix shingle meet in a cell; where the classes of a shingle all share
 one hotter shingle, the hotter one's cell serves for both, so a set is sent about once.
-Large cells are cut into tiles and each pair of tiles is a cell of its own.  Index rows
+Large cells are cut into tiles that meet in a ring, so a set is sent three times at most,
+and what the ring connects meets no more; only the rest is compared with all tiles.  Index rows
 go through the length and positional filters, then histograms of the sets through the
 suffix filter.  What these filters connect is a part; the sets with a partner are sent
 to their part, where pairs with a common prefix shingle are verified once.
 A cell gives a spanning forest of its links, never all pairs of a group; where link
-counts are asked for, every pair is verified and each set's links are summed up.
+counts are asked for, sets meet all tiles of their part, every pair is verified and
+each set's links are summed up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flagged, materialize, packed, pieces, ranges, texts_of, unpacked
+from .common import arrow_map, broadcast_if_small, flagged, materialize, packed, pieces, ranges, texts_of, unpacked
 from .components import components
 from .shingles import common, identity, sets
 
@@ -387,6 +389,55 @@ def frequent_shingles(rows: DataFrame, k: int, size: int = FREQUENT) -> tuple[np
     return h[order], got["n"].to_numpy(np.int64)[order]
 
 
+def tiles_of(rows: str, size: str, tile: int) -> Column:
+    """Tiles for so many classes, whose sets have so many bytes."""
+    return F.expr(f"cast(greatest(({rows} + {tile - 1}) div {tile}, ({size} + {TILE_BYTES - 1}) div {TILE_BYTES}) as int)")
+
+
+def paired(rows: DataFrame, others: str = "sequence(0, _tiles - 1)") -> DataFrame:
+    """``rows`` once for each pair of tiles (i <= j) that their ``tile`` makes with ``others``."""
+    sent = rows.withColumn("_other", F.explode(F.expr(others)))
+    ends = {"i": F.least("_tile", "_other"), "j": F.greatest("_tile", "_other"), "tile": F.col("_tile")}
+    return sent.withColumns(ends).drop("_tiles", "_tile", "_other")
+
+
+def strangers(rows: DataFrame, group: str, parts: DataFrame, tile: int) -> DataFrame:
+    """What rings have left open: ``rows`` of groups that ``parts`` don't connect, once for each pair of tiles to compare.
+
+    The classes of a group's largest component need no comparison with each other.  The
+    others are dealt to tiles of their own, behind those of the largest component, and
+    these meet all tiles of the group.
+    """
+    joined = rows.join(parts.select(F.col("node").alias("_cid"), "component"), "_cid", "left")
+    named = joined.withColumn("_own", F.coalesce("component", "_cid")).drop("component", "_tiles", "_tile")
+    sizes = named.groupBy(group, "_own").agg(F.count(F.lit(1)).alias("g"), (8 * F.sum("_n")).alias("size"))
+    largest = sizes.groupBy(group).agg(F.max(F.struct("g", "_own", "size")).alias("_m"), F.sum("g").alias("_g"), F.sum("size").alias("_s"))
+    open_ = largest.withColumns({"_g": F.col("_g") - F.col("_m.g"), "_s": F.col("_s") - F.col("_m.size")}).filter("_g > 0")
+    tiles = {"_first": tiles_of("_m.g", "_m.size", tile), "_more": tiles_of("_g", "_s", tile), "_main": F.col("_m._own")}
+    open_ = materialize(open_.withColumns(tiles).select(F.col(group).alias("_of"), "_main", "_first", "_more"), "jaccard-open")
+    left = named.join(broadcast_if_small(open_), F.col(group) == F.col("_of"))
+    own = F.when(F.col("_own") == F.col("_main"), F.pmod(F.xxhash64("_cid"), F.col("_first")))
+    left = left.withColumn("_tile", own.otherwise(F.col("_first") + F.pmod(F.xxhash64("_cid"), F.col("_more"))).cast("int"))
+    met = "sequence(if(_tile < _first, _first, 0), _first + _more - 1)"
+    return paired(left.withColumn("_tiles", F.col("_first") + F.col("_more")), met).drop("_own", "_of", "_main", "_first", "_more")
+
+
+def in_rings(rows: DataFrame, group: str, compare: Callable[[DataFrame], DataFrame], tile: int) -> DataFrame:
+    """Edges (a, b) of ``compare`` whose components are those of all pairs of a group; rows: (``group``, _cid, _n, _tiles, _tile).
+
+    Tiles meet themselves and the next tile in a ring, so a set is sent three times at
+    most, which connects a group of near copies.  Only what stays apart in groups of
+    more than three tiles (a ring of three holds all pairs) is compared with the rest.
+    """
+    ring = "array_distinct(array(_tile, (_tile + 1) % _tiles, (_tile + _tiles - 1) % _tiles))"
+    edges = compare(paired(rows, ring))
+    wide = rows.filter("_tiles > 3")
+    if wide.isEmpty():
+        return edges
+    left = materialize(strangers(wide, group, components(edges.select("a", "b")), tile), "jaccard-strangers")
+    return edges if left.isEmpty() else edges.unionByName(compare(left))
+
+
 def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, counts): (_id, _th, _cid, _n) of every row, and links (a, b) between classes whose components are those of all links.
 
@@ -411,30 +462,38 @@ def join_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     homed = shared.join(home, "_cid")
     served = homed.groupBy("_token").agg(F.min("_home").alias("_h1"), F.max("_home").alias("_h2")).filter("_h1 = _h2 and _h1 <> _token").select("_token")
     cells = shared.join(served, "_token", "left_anti").withColumn("_tiles", F.expr(f"cast((_df + {tile - 1}) div {tile} as int)"))
-    cells = cells.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _tiles - 1)")))
-    cells = cells.select("_cid", F.col("_token").alias("token"), F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
-    cells = materialize(cells, "jaccard-cells")
+    cells = cells.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int"))
+    cells = materialize(cells.select("_cid", F.col("_token").alias("token"), F.lit(0).alias("_n"), "_tiles", "_tile"), "jaccard-cells")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     # First only histograms of the sets: what the suffix filter connects forms parts, and a set is sent to its part.
-    bins = max(least, cells.count() // BIN_ROWS)
-    sketched = cells.join(classes.select("_cid", "_hist"), "_cid").withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)).cast("int"))
-    edges = materialize(sketched.groupBy("bin").applyInPandas(_suffix_filter(percent), "a long, b long"), "jaccard-edges")
-    parts = components(edges).select(F.col("node").alias("_cid"), F.col("component").alias("part"))
+    def filtered(sent: DataFrame) -> DataFrame:
+        bins = max(least, sent.count() // BIN_ROWS)
+        sketched = sent.join(classes.select("_cid", "_hist"), "_cid")
+        sketched = sketched.withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)).cast("int"))
+        edges = sketched.groupBy("bin").applyInPandas(_suffix_filter(percent), "a long, b long")
+        return materialize(edges, "jaccard-edges")
+
+    parts = components(in_rings(cells, "token", filtered, tile)).select(F.col("node").alias("_cid"), F.col("component").alias("part"))
     sized = parts.join(classes.select("_cid", "_n"), "_cid")
     sizes = sized.groupBy("part").agg(F.count(F.lit(1)).alias("_g"), (8 * F.sum("_n")).alias("_bytes"))
-    tiles = F.expr(f"cast(greatest((_g + {tile - 1}) div {tile}, (_bytes + {TILE_BYTES - 1}) div {TILE_BYTES}) as int)")
-    tiled = sized.join(sizes, "part").withColumn("_tiles", tiles)
+    tiled = sized.join(sizes, "part").withColumn("_tiles", tiles_of("_g", "_bytes", tile))
     tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_cid"), F.col("_tiles")).cast("int")).drop("_g", "_bytes")
     tiled = materialize(tiled, "jaccard-parts")
-    bins = max(least, (tiled.agg(F.sum(8 * F.col("_n") * F.col("_tiles"))).first()[0] or 0) // BIN_BYTES)
-    sent = tiled.withColumn("_other", F.explode(F.expr("sequence(0, _tiles - 1)"))).select("_cid", "part", F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), F.col("_tile").alias("tile"))
-    placed = sent.select("_cid", F.struct(F.pmod(F.xxhash64("part", "i", "j"), F.lit(bins)).cast("int").alias("bin"), "part", "i", "j", "tile").alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
     reps = classes.select("_cid", "_copies", F.col("_rep._id").alias("_rid"), F.col("_rep._th").alias("_rth"))
-    placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
-    near = flagged(rows, F.col("_th"), placed, F.col("_rth")).filter("_maybe")
-    texts = near.join(placed.hint("merge"), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_text", "_cid", "_copies", "_cells")
-    whole = arrow_map(texts, Sets(order), "bin int, part long, i int, j int, tile int, cid long, copies long, set binary")
-    found = materialize(whole.groupBy("bin").applyInPandas(_cells(order, count), "a long, b long, n long"), "jaccard-links")
+
+    def verified(sent: DataFrame) -> DataFrame:
+        bins = max(least, (sent.agg(F.sum(8 * F.col("_n"))).first()[0] or 0) // BIN_BYTES)
+        cell = F.struct(F.pmod(F.xxhash64("part", "i", "j"), F.lit(bins)).cast("int").alias("bin"), "part", "i", "j", "tile")
+        placed = sent.select("_cid", cell.alias("c")).groupBy("_cid").agg(F.collect_list("c").alias("_cells"))
+        placed = materialize(placed.join(reps, "_cid"), "jaccard-places")
+        near = flagged(rows, F.col("_th"), placed, F.col("_rth")).filter("_maybe")
+        same = (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid"))
+        texts = near.join(placed.hint("merge"), same).select("_text", "_cid", "_copies", "_cells")
+        whole = arrow_map(texts, Sets(order), "bin int, part long, i int, j int, tile int, cid long, copies long, set binary")
+        return materialize(whole.groupBy("bin").applyInPandas(_cells(order, count), "a long, b long, n long"), "jaccard-links")
+
+    found = verified(paired(tiled)) if count else in_rings(tiled, "part", verified, tile)
     counts = found.filter("n is not null").groupBy(F.col("a").alias("_c3")).agg(F.sum("n").alias("_partners"))
     return scanned.drop("_prefix", "_hot", "_hist"), found.filter("b is not null").select("a", "b"), counts
 

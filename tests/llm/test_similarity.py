@@ -71,6 +71,47 @@ def test_link_counts_against_all_pairs(spark, monkeypatch, seed, k, percent, til
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("copies, stranger_share", [(120, 0), (120, 0.2)])
+def test_a_group_of_near_copies_is_sent_a_bounded_number_of_times(spark, monkeypatch, copies, stranger_share):
+    rng = random.Random(copies)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(copies):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{i}"
+        if rng.random() < stranger_share:  # of the same first half: shares many shingles, links with its like only
+            own[60:] = [f"s{i % 3}-{j}" for j in range(60)]
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent = []
+    real = jaccard.paired
+    monkeypatch.setattr(jaccard, "paired", lambda *a: sent.append((real(*a), len(a))) or sent[-1][0])
+    tile = 4
+    monkeypatch.setattr(jaccard.join_classes, "__kwdefaults__", jaccard.join_classes.__kwdefaults__ | {"tile": tile})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, k=3, percent=80).collect()}
+    assert got == brute(rows, 3, 80)
+    groups = {"part", "token"}
+    most = [s.groupBy(*(groups & set(s.columns)), "_cid").count().agg({"count": "max"}).first()[0] for s, _ in sent]
+    if stranger_share:
+        assert len(sent) > 2  # what the ring left apart met the others
+    else:
+        assert len(sent) == 4 and most[0] <= 3 and most[2] <= 3 and most[1] is None and most[3] is None
+
+
+def test_what_a_ring_leaves_apart_meets_all_others(spark):
+    # 40 classes in one group of 10 tiles: 30 are connected, 7 stand alone, 3 are a component of their own.
+    rows = spark.createDataFrame([(c, 1, 1, 10, c % 10) for c in range(40)], "_cid long, part long, _n long, _tiles int, _tile int")
+    parts = spark.createDataFrame([(c, 0) for c in range(30)] + [(c, 30) for c in (30, 31, 32)], "node long, component long")
+    cells = {}
+    for r in jaccard.strangers(rows, "part", parts, 4).collect():
+        cells.setdefault((r.i, r.j), []).append((r._cid, r.tile))
+    met = {frozenset((a, b)) for (i, j), own in cells.items() for a, s in own for b, t in own if a != b and (i == j or s != t)}
+    assert met == {frozenset((a, b)) for a in range(30, 40) for b in range(40) if a != b}
+    assert all(len(own) <= 24 for own in cells.values())
+    alone = parts.filter("component = 0")
+    assert jaccard.strangers(rows.filter("_cid < 30"), "part", alone, 4).count() == 0
+
+
 def test_keep_one_and_edges(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "A b c d e f g", "y"), (1, "A b c d e f g", "y"), (None, "a b c d e f g", "z"), (5, None, None), (6, None, None), (7, "", ""), (8, "other words here stand alone now", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _cid string")
