@@ -48,7 +48,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90, count=True)
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +107,10 @@ sets AS (SELECT doc_id, len(s) AS n, s FROM lists),
 each AS (SELECT doc_id, n, unnest(s) AS x FROM sets),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS shared FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
 links AS (SELECT a, b FROM common WHERE 100 * shared >= 90 * (total - shared)),
-reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT a AS doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(b) AS component_id FROM reach JOIN sets ON a = doc_id GROUP BY a
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM sets JOIN least ON least.a = doc_id LEFT JOIN counts ON counts.a = doc_id
 """
 
 
