@@ -10,7 +10,7 @@ number of slots every source is less than one block off its exact share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, packed, unpacked, written
@@ -89,8 +89,9 @@ def mix(
     A block has ``block`` documents (a source's last one may have fewer), or as many as
     make ``most_slots`` blocks of the corpus if that is more: the schedule of all slots is one
     fold, whose length is so bounded whatever the corpus.
-    Repeated rows are placed each; an empty table gives no rows.
-    Columns of ``docs`` with one of the added names are replaced.
+    Repeated rows are placed each, in the order in which they are read: ``docs`` should be
+    a stored table, as a task that is repeated over a shuffle may read them in another one.
+    An empty table gives no rows.  Columns of ``docs`` with one of the added names are replaced.
     """
     docs = docs.drop(*ADDED)
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_docs"))
@@ -108,6 +109,9 @@ def mix(
     key = key or [F.xxhash64(*(F.col(c) for c in docs.columns)), *(F.col(c) for c in docs.columns if c == "doc_id")]
     names = [f"_k{i}" for i in range(len(key))]
     lined = packed(docs, _source=F.col(source_col).cast("string"), **dict(zip(names, key)))
+    # The place where a row is read comes last, so rows equal in all keys are dealt to many tasks, too.
+    names.append("_read")
+    lined = lined.withColumn("_read", F.monotonically_increasing_id())
     placed = ranked(lined, [F.col("_source"), *(F.col(n) for n in names)], "mix", within="_source").drop(*names)
     placed = placed.withColumns({"_block": F.expr(f"_rank div {block}"), "_place": F.col("_rank") % block})
     same = F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_block") == F.col("_b2"))
@@ -139,12 +143,27 @@ def mixed_order(docs: DataFrame, **how) -> DataFrame:
     return ordered.withMetadata("doc_id", {PLACES: path})
 
 
+def numbered(rows: DataFrame, key: str, order: list[Column], again: DataFrame, name: str) -> DataFrame:
+    """``rows`` plus ``_nth``, from 0 in the order of ``order`` among those of a ``key`` that ``again`` (_again) lists; 0 for others.
+
+    The rows of such keys are stored and ranked by ranges, so no key is one task's.
+    """
+    met = rows.join(broadcast_if_small(again), F.col(key) == F.col("_again"), "left")
+    many = materialize(met.filter("_again is not null").drop("_again"), f"{name}-again").withColumn("_read", F.monotonically_increasing_id())
+    many = ranked(many, [F.col(key), *order, F.col("_read")], name, within=key).drop("_read").withColumnRenamed("_rank", "_nth")
+    return met.filter("_again is null").drop("_again").withColumn("_nth", F.lit(0).cast("long")).unionByName(many)
+
+
 def placed(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` plus ``_mixed`` (slot and place; null for rows that are not in the table of places), by their marks in ``_key``.
 
     The n-th of the rows that repeat wholly takes the n-th of their places.
     """
-    places = rows.sparkSession.read.parquet(path)
-    places = places.select(F.col("_mark").alias("_m2"), F.struct("_slot", "_place").alias("_mixed"), F.row_number().over(Window.partitionBy("_mark").orderBy("_slot", "_place")).alias("_nth2"))
-    numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return numbered.join(places, (F.col("_key") == F.col("_m2")) & (F.col("_nth") == F.col("_nth2")), "left").drop("_m2", "_nth", "_nth2")
+    places = rows.sparkSession.read.parquet(path).select("_mark", F.struct("_slot", "_place").alias("_mixed"))
+    twice = [t.groupBy(F.col(c).alias("_again")).count().filter("count > 1").select("_again") for t, c in ((places, "_mark"), (rows, "_key"))]
+    again = materialize(twice[0].union(twice[1]).distinct(), "mix-again")
+    if again.isEmpty():
+        return rows.join(places, F.col("_key") == F.col("_mark"), "left").drop("_mark")
+    places = numbered(places, "_mark", [F.col("_mixed")], again, "mix-nth-place").withColumnRenamed("_nth", "_nth2")
+    rows = numbered(rows, "_key", [], again, "mix-nth-row")
+    return rows.join(places, (F.col("_key") == F.col("_mark")) & (F.col("_nth") == F.col("_nth2")), "left").drop("_mark", "_nth", "_nth2")

@@ -12,7 +12,7 @@ def ranked(df: DataFrame, keys: list[Column], name: str, within: str | None = No
     """``df`` with ``_rank`` (from 0, gapless) in the order of ``keys``; ``within``: ranks start anew for each of its values.
 
     The rows are dealt by ranges of the keys, so the keys should end in something
-    that splits a hot group.  Each partition numbers its rows; what lies before a
+    that splits a hot group and rows that repeat, as the place where a stored row is read.  Each partition numbers its rows; what lies before a
     partition comes from a table with a row for each partition (and value of
     ``within`` in it), which is broadcast only if it is small.  The numbered rows
     are written to the shared folder first, as a repeated sampling could deal them

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 from .mixing import PLACES, mark, placed
 from .order import ranked
 
@@ -91,7 +91,7 @@ def propagate(groups: DataFrame, total: int, shards: int, rounds: int | None, sl
             same = movable
             for c in wishes:
                 same &= F.col(c) == F.col(f"{c}2")
-            moved = now.withColumns(wishes).join(F.broadcast(accepted), same, "left")
+            moved = now.withColumns(wishes).join(broadcast_if_small(accepted), same, "left")
             together = F.array(F.struct(F.col("_to2").alias("s"), F.col("_all").alias("n")))
             spread = F.when(F.col("_to2").isNotNull(), together).otherwise(F.col("_spread")).alias("_spread")
             now = materialize(moved.select("_g", "_all", spread), f"shard-labels-{r}")
@@ -106,7 +106,8 @@ def assign(rows: DataFrame, *, shards: int = 8, rounds: int | None = None, slack
     """``rows`` plus ``_shard`` (int) and ``_slot`` (long, gapless from 0 in a shard); counts differ by one at most.
 
     ``rows`` has ``_g`` (long, the group; null: linked with nothing) and ``_key`` (long,
-    a hash that tells the documents of a group apart; equal keys are put in any order).
+    a hash that tells the documents of a group apart; equal keys are put in the order in
+    which they are read, so ``rows`` should be a stored table).
     ``order``: what the slots of a shard follow; by default the line of its groups.
     An empty table gives no rows.
     """
@@ -117,15 +118,19 @@ def assign(rows: DataFrame, *, shards: int = 8, rounds: int | None = None, slack
     groups = linked.groupBy("_g").agg(F.sum("_n").alias("_all"), F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_n").alias("n"))).alias("_spread")).filter("_all > 1")
     spread = propagate(materialize(groups, "shard-groups"), total, shards, rounds, slack).select("_g", "_spread")
     own = F.when(F.col("_spread").isNull(), start).when(F.array_contains(F.col("_spread.s"), start), start).otherwise(F.col("_spread")[0]["s"])
-    labelled = rows.join(spread, "_g", "left").withColumns({"_s": own, "_single": F.col("_spread").isNull()})
+    # Where a row is read comes last among the keys, so rows that repeat wholly are dealt to many tasks, too.
+    read = rows.withColumn("_read", F.monotonically_increasing_id())
+    labelled = read.join(spread, "_g", "left").withColumns({"_s": own, "_single": F.col("_spread").isNull()})
     # In a shard, half of the unlinked documents stand before the groups and half behind, so the cuts fall on them.
     side = F.when(F.col("_single"), F.when(F.xxhash64("_key", F.lit(7)) % 2 == 0, F.lit(0)).otherwise(F.lit(2))).otherwise(F.lit(1))
-    line = ranked(labelled.withColumn("_side", side).select(*rows.columns, "_s", "_side"), [F.col("_s"), F.col("_side"), F.col("_g"), F.col("_key")], "shard-line")
+    line = labelled.withColumn("_side", side).select(*read.columns, "_s", "_side")
+    line = ranked(line, [F.col(c) for c in ("_s", "_side", "_g", "_key", "_read")], "shard-line")
     n = max(total, 1)
     shard = F.expr(f"(_rank * {shards}) div {n}")
     if order:
-        dealt = line.withColumn("_shard", shard.cast("int")).select(*rows.columns, "_shard")
-        return ranked(dealt, [F.col("_shard"), *order, F.col("_key")], "shard-slots", within="_shard").withColumnRenamed("_rank", "_slot")
+        dealt = line.withColumn("_shard", shard.cast("int")).select(*read.columns, "_shard")
+        slots = ranked(dealt, [F.col("_shard"), *order, F.col("_key"), F.col("_read")], "shard-slots", within="_shard")
+        return slots.drop("_read").withColumnRenamed("_rank", "_slot")
     return line.withColumn("_shard", shard.cast("int")).withColumn("_slot", F.col("_rank") - F.expr(f"(_shard * {n}L + {shards - 1}) div {shards}")).select(*rows.columns, "_shard", "_slot")
 
 

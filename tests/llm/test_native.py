@@ -7,8 +7,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from drawloom.llm import mixing, sharding
-from drawloom.llm.common import flagged, materialize
+from drawloom.llm import mixing, order, sharding
+from drawloom.llm.common import flagged, materialize, written
 
 
 def sources(spark, sizes):
@@ -193,3 +193,40 @@ def test_native_operators_send_no_local_rows(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark), "createDataFrame", refuse)
     assert sharding.shard_documents(docs).count() == 300 == mixing.report(docs, block=4).count()
+
+
+def test_rows_that_repeat_are_dealt_to_many_tasks(spark, monkeypatch, tmp_path):
+    rows = [(7, "the same text", "hot")] * 900 + [(100 + i, f"text {i}", "hot" if i % 2 else "cold") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    dealt = {}
+
+    def kept(df, name):
+        held = materialize(df, name)
+        if "_id" in held.columns:
+            dealt[name] = max(r["count"] for r in held.groupBy(F.shiftright("_id", 33)).count().collect())
+        return held
+
+    monkeypatch.setattr(order, "materialize", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = materialize(mixing.mixed_order(docs, block=16), "mixed")
+        got = sharding.shard_documents(mixed, shards=8).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, mixed.collect())) == sorted(rows)
+    assert {"mix", "mix-nth-place", "mix-nth-row", "shard-line", "shard-slots"} <= set(dealt) and max(dealt.values()) <= 500
+    assert sorted(Counter(r.shard for r in got).values()) == [125] * 8
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(8) for i in range(125)]
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+
+
+def test_the_nth_copy_takes_the_nth_place(spark):
+    places = spark.createDataFrame([(1, 0, 0), (1, 5, 1), (1, 5, 0), (2, 3, 0), (3, 4, 0)], "_mark long, _slot long, _place long")
+    path = written(places, "places")
+    docs = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 2), ("f", 4), ("g", 3), ("h", 3)], "doc string, _key long")
+    got = mixing.placed(docs, path).collect()
+    taken = sorted((r._key, r._mixed and tuple(r._mixed)) for r in got if r._mixed)
+    assert len(got) == 8 and taken == [(1, (0, 0)), (1, (5, 0)), (1, (5, 1)), (2, (3, 0)), (3, (4, 0))]
+    assert {(r.doc, tuple(r._mixed)) for r in mixing.placed(docs.filter("_key = 2"), path).collect()} == {("e", (3, 0))}
+    assert mixing.placed(docs.limit(0), path).count() == 0
