@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import greedy_diverse, ticket_error
+from ..functions.arrays import ticket_error
+from ..functions.batches import diverse_tickets
 from ..schema import OptimizerError, SelectionError
 from ..storage import materialize
 from .running import ranked
@@ -114,7 +115,7 @@ class TicketOptimizer:
 
     def optimize_lists(self, lists: DataFrame) -> DataFrame:
         """``lists`` plus recommended; lists: one array ``tickets`` in each row."""
-        return lists.withColumn("recommended", greedy_diverse(F.col("tickets"), self.config.max_overlap, self.config.max_tickets))
+        return lists.withColumn("recommended", diverse_tickets(F.col("tickets"), self.config.max_overlap, self.config.max_tickets))
 
 
 @dataclass(frozen=True)

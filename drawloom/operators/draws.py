@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DRAWS, DatasetError, InvalidDrawError
-from .running import running
+from .running import running, running_lists
 from .stats import recency_of
 
 
@@ -130,10 +130,17 @@ class WalkForward:
         it, and counts and last positions are carried along the splits in two levels, so
         the work follows draws + rows of the result, with a split for each draw too.
         """
+        return running(self._events(), "number", "split_id", self.n_splits - 1, total="count", latest="last_ord")
+
+    def _events(self) -> DataFrame:
+        """split_id, number, count, last_ord of the draws that a split trains on and the one before it doesn't."""
         first = F.expr(f"cast(greatest(0, (ord - {self.train_size}) div {self.test_size} + if(ord < {self.train_size}, 0, 1)) as int)")
         new = self.draws.select(first.alias("split_id"), "ord", F.explode("numbers").alias("number")).filter(F.col("split_id") < self.n_splits)
-        events = new.groupBy("number", "split_id").agg(F.count(F.lit(1)).alias("count"), F.max("ord").alias("last_ord"))
-        return running(events, "number", "split_id", self.n_splits - 1, total="count", latest="last_ord")
+        return new.groupBy("number", "split_id").agg(F.count(F.lit(1)).alias("count"), F.max("ord").alias("last_ord"))
+
+    def train_lists(self) -> DataFrame:
+        """split_id, seen: a row for each split, the array of its (number, count), ascending; the counts of ``train_frequency``."""
+        return running_lists(self._events(), "number", "split_id", self.n_splits - 1, "count")
 
     def train_frequency(self) -> DataFrame:
         """split_id, number, count over the training rows; numbers not seen are absent."""

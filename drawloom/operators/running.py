@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, written
 
 #: Rows that a table may have to be broadcast: some tens of MB.
 BROADCAST_ROWS = 200_000
@@ -77,6 +79,38 @@ def running(events: DataFrame, by: str, at: str, last: int, *, total: str, lates
     return each.select(by, at, F.col("_n").alias(total), F.col("_v").alias(latest))
 
 
+def running_lists(events: DataFrame, by: str, at: str, last: int, total: str) -> DataFrame:
+    """(at, seen): at every place from 0 to ``last`` the array of (by, total so far), ascending, without what has not come yet.
+
+    ``events``: one row for each ``by`` and ``at`` (0..last), totals over 0.  Two levels
+    as in ``running``: a block of places takes the sums before it, a row for each ``by``,
+    and adds up its own events.  No row is made for each ``by`` and place.
+    """
+    width = width_of(last)
+    kept = events.select(F.expr(f"cast(`{at}` div {width} as int)").alias("_block"), F.col(at).cast("int").alias("_x"), F.col(by).cast("int").alias("_by"), F.col(total).cast("long").alias("_n"))
+    path, read = written(kept, "running-events"), events.sparkSession.read.schema(kept.schema)
+    sums = read.parquet(path).groupBy("_block", "_by").agg(F.sum("_n").alias("_n"))
+    grid = events.sparkSession.range(last // width + 1).select(F.col("id").cast("int").alias("_block")).crossJoin(sums.select("_by").distinct())
+    before = Window.partitionBy("_by").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(sums, ["_block", "_by"], "left").select("_block", "_by", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+
+    def listed(key: tuple, own: pa.Table, carry: pa.Table) -> pa.Table:
+        low = key[0].as_py() * width
+        places = min(width, last + 1 - low)
+        numbers, place = np.unique(np.concatenate([carry["_by"].to_numpy(), own["_by"].to_numpy()]), return_inverse=True)
+        sums = np.zeros((places, len(numbers)), np.int64)
+        np.add.at(sums, (0, place[: len(carry)]), carry["_n"].to_numpy())
+        np.add.at(sums, (own["_x"].to_numpy() - low, place[len(carry) :]), own["_n"].to_numpy())
+        np.cumsum(sums, axis=0, out=sums)
+        there = sums > 0
+        pairs = pa.StructArray.from_arrays([pa.array(numbers[np.nonzero(there)[1]], pa.int32()), pa.array(sums[there], pa.int64())], [by, total])
+        ends = pa.array(np.concatenate(([0], np.cumsum(there.sum(1)))), pa.int32())
+        return pa.table({at: pa.array(np.arange(low, low + places), pa.int32()), "seen": pa.ListArray.from_arrays(ends, pairs)})
+
+    both = read.parquet(path).groupBy("_block").cogroup(carried.groupBy("_block"))
+    return both.applyInArrow(listed, f"`{at}` int, seen array<struct<`{by}`: int, `{total}`: bigint>>")
+
+
 def with_previous(rows: DataFrame, by: str, at: str, last: int, name: str) -> DataFrame:
     """``rows`` plus ``name``: the place of the row of the same ``by`` before it, null for the first; places differ within ``by``.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.batches import uniform_tickets, weighted_tickets
 from ..functions.sampling import uniform, uniform_ticket, weighted_ticket
 from ..schema import BaselineError, GeneratorError
 from ..storage import materialize
@@ -94,6 +95,10 @@ class TicketGenerator:
             F.min(F.when((F.col("score") < 0) | F.isnan("score") | F.col("score").isNull(), F.coalesce("score", F.lit(float("nan"))))).alias("bad"),
         )
         worst = per.agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("n"), F.min("outside").alias("outside"), F.min("bad").alias("bad"), F.max(F.col("n") - F.col("d")).alias("twice")).first()
+        self._raise(worst)
+
+    def _raise(self, worst: Row) -> None:
+        """The error of the worst lists of candidates, by the first rule that is broken."""
         if not worst.groups or worst.n < self.main_number_count:
             raise GeneratorError("Not enough scored numbers to generate a ticket")
         if worst.outside is not None:
@@ -103,6 +108,18 @@ class TicketGenerator:
         if worst.twice:
             raise GeneratorError("Duplicate candidate numbers are not allowed")
 
+    def check_lists(self, lists: DataFrame, candidates: Column) -> None:
+        """``check_scores`` for arrays of (number, weight), one a row."""
+        number, weight = candidates["number"], candidates["weight"]
+        low, high = F.array_min(number), F.array_max(number)
+        above = F.array_min(F.filter(number, lambda n: n > self.max_number))
+        broken = F.isnan(F.array_max(weight)) | (F.size(F.array_compact(weight)) < F.size(weight))
+        worst = lists.select(
+            F.size(number).alias("n"), F.when(low < self.min_number, low).when(high > self.max_number, above).alias("outside"),
+            F.when(F.array_min(weight) < 0, F.array_min(weight)).when(broken, F.lit(float("nan"))).alias("bad"), (F.size(number) - F.size(F.array_distinct(number))).alias("twice"),
+        ).agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("n"), F.min("outside").alias("outside"), F.min("bad").alias("bad"), F.max("twice").alias("twice")).first()
+        self._raise(worst)
+
     def generate_lists(self, scores: DataFrame, count: int, seed: Column, by: list[str]) -> DataFrame:
         """(by..., tickets): all tickets of a split as one array; seed may use the columns of ``by``."""
         if count <= 0:
@@ -111,7 +128,7 @@ class TicketGenerator:
         if by:
             # The lists are few bytes and much work: dealt out evenly, to as many tasks as asked for, whatever their size.
             lists = lists.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return lists.select(*by, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda t: weighted_ticket(F.col("_c"), seed, t, self.main_number_count)).alias("tickets"))
+        return lists.select(*by, weighted_tickets(F.col("_c"), seed, count, self.main_number_count).alias("tickets"))
 
     def generate_tickets(self, scores: DataFrame, count: int, seed: int | None = None) -> DataFrame:
         """(ticket_no, ticket): ``count`` tickets; equal seeds give equal tickets; tickets may repeat.
@@ -148,8 +165,7 @@ class RandomBaseline:
 
     def ticket_list(self, count: Column, seed: Column) -> Column:
         """An array of ``count`` tickets, empty for 0."""
-        numbers = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(numbers, lambda t: uniform_ticket(seed, t, self.main_number_count, self.min_number, self.max_number))
+        return uniform_tickets(seed, count, self.main_number_count, self.min_number, self.max_number)
 
     def generate_tickets(self, spark, count: int, seed: int | None = None) -> DataFrame:
         """(ticket_no, ticket): spread over the cluster by ticket."""

@@ -25,13 +25,13 @@ BASELINE_SEED = 10_000
 
 
 def cases_of(tested: DataFrame, train_size: int, test_size: int, *more: str) -> DataFrame:
-    """The cases of rows (split_id, ord, draw_id, numbers, tickets, recommended, baseline), one a test draw, and the columns of ``more``."""
+    """The cases of rows (split_id, ord, draw_id, numbers, generated, recommended, baseline), one a test draw, and the columns of ``more``."""
     matches = {side: F.transform(side, lambda t: F.size(F.array_intersect(t, F.col("numbers")))) for side in ("recommended", "baseline")}
     best = {side: F.coalesce(F.array_max(m), F.lit(0)).cast("long") for side, m in matches.items()}
     total = {side: F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x) for side, m in matches.items()}
     return tested.select(
         *more, "split_id", "ord", (F.lit(train_size) + F.col("split_id") * test_size).cast("long").alias("train_size"),
-        F.lit(test_size).cast("long").alias("test_size"), F.size("tickets").cast("long").alias("generated_ticket_count"),
+        F.lit(test_size).cast("long").alias("test_size"), F.col("generated").cast("long").alias("generated_ticket_count"),
         F.size("recommended").cast("long").alias("recommended_ticket_count"), F.col("draw_id").alias("test_draw_id"),
         best["recommended"].alias("best_match"), total["recommended"].alias("total_matches"),
         best["baseline"].alias("baseline_best_match"), total["baseline"].alias("baseline_total_matches"),
@@ -95,14 +95,17 @@ class Backtester:
     baseline: RandomBaseline = field(default_factory=RandomBaseline)
 
     def split_tickets(self, walk: WalkForward, ticket_count: int, seed: int | None, *, check: bool = True) -> DataFrame:
-        """split_id, tickets, recommended, baseline: a row for each split."""
+        """split_id, tickets, recommended, baseline: a row for each split, dealt by split."""
         base = fixed_seed(seed)
-        # Written once: the check and the lists read the counts, and several columns read the lists.
-        counts = materialize(walk.train_frequency(), "backtest-counts")
+        # A split's counts are one array from here on.  Written once, as the check and the lists read them.
+        seen = materialize(walk.train_lists(), "backtest-counts")
         if check:
-            self.engine.generator.check_scores(self.engine.predictor.score_numbers(counts, by=["split_id"], check=False), ["split_id"])
-        lists = self.engine.recommend_lists(counts, ticket_count, F.lit(base) + F.col("split_id"), ["split_id"])
-        lists = materialize(lists, "backtest-lists")
+            candidates = seen.select(self.engine.candidates_of(F.col("seen")).alias("candidates"))
+            self.engine.generator.check_lists(candidates, F.col("candidates"))
+        # Few bytes and much work: dealt out to as many tasks as asked for, whatever their size.
+        dealt = seen.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "split_id")
+        dealt = dealt.select("split_id", self.engine.candidates_of(F.col("seen")).alias("candidates"))
+        lists = self.engine.recommend_lists(dealt, ticket_count, F.lit(base) + F.col("split_id")).drop("candidates")
         return lists.withColumn("baseline", self.baseline.ticket_list(F.size("recommended"), F.lit(base + BASELINE_SEED) + F.col("split_id")))
 
     def run(self, draws: DataFrame, train_size: int, test_size: int = 1, ticket_count: int = 50, seed: int | None = None, *, check: bool = True, n: int | None = None) -> BacktestResult:
@@ -115,5 +118,7 @@ class Backtester:
         except DatasetError as short:
             raise BacktestError(str(short)) from short
         tickets = self.split_tickets(walk, ticket_count, seed, check=check)
+        # A list has ticket_count tickets; counting them would make them a second time.
+        tickets = tickets.select("split_id", F.lit(ticket_count).alias("generated"), "recommended", "baseline")
         joined = walk.test_rows().select("split_id", "ord", "draw_id", "numbers").join(tickets, "split_id")
-        return BacktestResult(cases_of(joined, train_size, test_size), walk.n)
+        return BacktestResult(materialize(cases_of(joined, train_size, test_size), "backtest-cases"), walk.n)

@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import greedy_diverse
-from ..functions.sampling import weighted_ticket
+from ..functions.batches import diverse_tickets, weighed, weighted_tickets
 from ..operators.diversity import OptimizerConfig, TicketOptimizer
 from ..operators.sampling import TicketGenerator
 from ..operators.scoring import NumberPredictor
@@ -31,23 +30,22 @@ class RecommendationEngine:
     generator: TicketGenerator = field(default_factory=TicketGenerator)
     optimizer: TicketOptimizer = field(default_factory=lambda: TicketOptimizer(OptimizerConfig(max_overlap=4, max_tickets=10)))
 
-    def tickets_of(self, seen: Column, ticket_count: int, seed: Column) -> Column:
-        """The tickets of an array of (number, count), as ``recommend_lists`` makes them from rows; an expression."""
-        most = F.greatest(F.array_max(F.transform(seen, lambda x: x["count"])), F.lit(1)).cast("double")
-        fw, rw = F.lit(float(self.predictor.frequency_weight)), F.lit(float(self.predictor.recency_weight))
-        weight = lambda x: (fw * (x["count"].cast("double") / most) + rw * F.lit(0.0)) / (fw + rw)
-        candidates = F.transform(seen, lambda x: F.struct(x["number"].alias("number"), weight(x).alias("weight")))
-        numbers = F.sequence(F.lit(0), F.lit(ticket_count - 1))
-        return F.transform(numbers, lambda t: weighted_ticket(candidates, seed, t, self.generator.main_number_count))
+    def candidates_of(self, seen: Column) -> Column:
+        """(number, weight) from an array of (number, count); an expression. Recency plays no part here."""
+        return weighed(seen, float(self.predictor.frequency_weight), float(self.predictor.recency_weight))
+
+    def tickets_of(self, candidates: Column, ticket_count: int, seed: Column) -> Column:
+        """``ticket_count`` tickets from an array of (number, weight); an expression."""
+        return weighted_tickets(candidates, seed, ticket_count, self.generator.main_number_count)
 
     def chosen_of(self, tickets: Column) -> Column:
         """The optimizer's choice from an array of tickets; an expression."""
-        return greedy_diverse(tickets, self.optimizer.config.max_overlap, self.optimizer.config.max_tickets)
+        return diverse_tickets(tickets, self.optimizer.config.max_overlap, self.optimizer.config.max_tickets)
 
-    def recommend_lists(self, frequencies: DataFrame, ticket_count: int, seed: Column, by: list[str]) -> DataFrame:
-        """(by..., tickets, recommended) for every split; frequencies: (by..., number, count)."""
-        scores = self.predictor.score_numbers(frequencies, by=by, check=False)
-        return self.optimizer.optimize_lists(self.generator.generate_lists(scores, ticket_count, seed, by))
+    def recommend_lists(self, candidates: DataFrame, ticket_count: int, seed: Column) -> DataFrame:
+        """``candidates`` plus tickets and recommended for every row; candidates: one array of (number, weight) in each row."""
+        made = candidates.withColumn("tickets", self.tickets_of(F.col("candidates"), ticket_count, seed))
+        return made.withColumn("recommended", self.chosen_of(F.col("tickets")))
 
     def recommend(self, frequencies: DataFrame, ticket_count: int = 50, seed: int | None = None) -> RecommendationResult:
         """From (number, count); recency plays no part here.

@@ -94,9 +94,10 @@ class StreamingBacktest:
         timed = draws.select(F.col("lottery").cast("string").alias("lottery"), "draw_id", F.col("numbers").cast("array<int>").alias("numbers"), F.col("time").cast("timestamp").alias("time"))
         timed = timed.filter(F.col("time").isNotNull()).withWatermark("time", delay)
         blocks = timed.groupBy("lottery").applyInPandasWithState(Blocks(train_size, test_size), BLOCK, "state string", "append", GroupStateTimeout.EventTimeTimeout)
-        tickets = self.engine.tickets_of(F.col("seen"), ticket_count, F.lit(seed) + F.col("split_id"))
-        chosen = blocks.withColumn("tickets", tickets).withColumn("recommended", self.engine.chosen_of(F.col("tickets")))
+        tickets = self.engine.tickets_of(self.engine.candidates_of(F.col("seen")), ticket_count, F.lit(seed) + F.col("split_id"))
+        # A list has ticket_count tickets; counting them would make them a second time.
+        chosen = blocks.select("*", self.engine.chosen_of(tickets).alias("recommended"), F.lit(ticket_count).alias("generated"))
         chosen = chosen.withColumn("baseline", self.baseline.ticket_list(F.size("recommended"), F.lit(seed + BASELINE_SEED) + F.col("split_id")))
-        each = chosen.select("lottery", "split_id", "tickets", "recommended", "baseline", F.explode("draws").alias("_d")).select("*", "_d.*")
+        each = chosen.select("lottery", "split_id", "generated", "recommended", "baseline", F.explode("draws").alias("_d")).select("*", "_d.*")
         return cases_of(each, train_size, test_size, "lottery")
 
