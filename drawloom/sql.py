@@ -60,8 +60,9 @@ class NumbersOfDraws:
 
 def register(spark: SparkSession, draws: DataFrame | None = None) -> None:
     """The table functions of this session, and with ``draws`` the views draws, number_frequency and number_gaps."""
-    spark.udtf.register("walk_forward", udtf(WalkForwardRows, useArrow=True))
-    spark.udtf.register("draw_numbers", udtf(NumbersOfDraws, useArrow=True))
+    # Pickled rows: with Arrow, Spark makes a table of its own of what each row yields, which costs more than the row.
+    spark.udtf.register("walk_forward", udtf(WalkForwardRows, useArrow=False))
+    spark.udtf.register("draw_numbers", udtf(NumbersOfDraws, useArrow=False))
     if draws is not None:
         draws.createOrReplaceTempView("draws")
         stats.number_frequency(draws).createOrReplaceTempView("number_frequency")

@@ -27,3 +27,11 @@ def test_wrong_calls(spark, call):
     register(spark, DrawDataset.of(spark, SIX).draws)
     with pytest.raises(PySparkException):
         spark.sql(f"SELECT * FROM walk_forward({call})").collect()
+
+
+@pytest.mark.parametrize("call", ["walk_forward(TABLE(draws), 3, 1, 6)", "draw_numbers(TABLE(draws))"])
+def test_no_arrow_table_for_each_row(spark, call):
+    """Arrow table functions of Spark make a table for each row of the input, which took most of the time."""
+    register(spark, DrawDataset.of(spark, SIX).draws)
+    plan = spark.sql(f"SELECT * FROM {call}")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
