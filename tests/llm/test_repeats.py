@@ -103,3 +103,33 @@ def test_a_periodic_text_gives_few_rows():
 
     batch = pa.record_batch([pa.array([1]), pa.array(["xyz" * 100_000])], names=["_key", "_text"])
     assert sum(b.num_rows for b in repeats.Cores(400, 192)(iter([batch]))) < 1000
+
+
+def test_planted_passages_of_over_50_words(spark, tmp_path):
+    """The query takes a passage in two documents from 400 bytes on, whatever its words; documents without one stay whole."""
+    from drawloom.llm import registry
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkléß") for _ in range(rng.randint(2, 8)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+
+    def passage(size):
+        """Over 50 words of exactly so many bytes."""
+        out = prose(52).encode()[: size - 1]
+        while len(out) < size - 1:
+            out += b" " + prose(1).encode()
+        out = out[: size - 1].decode("utf-8", "ignore").encode().ljust(size, b".").decode()
+        assert len(out.split()) > 50
+        return out
+
+    sizes = [399, 400, 401, 575, 576, 620, 900]
+    texts = []
+    for k, size in enumerate(sizes):
+        p = passage(size)
+        # Other bytes on both sides, so that no more than the passage is shared.
+        texts += [prose(90) + f"<{k}a" + p + f"a{k}>" + prose(20), prose(5) + f"<{k}b" + p + f"b{k}>" + prose(200)]
+    texts += [prose(150) for _ in range(6)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(registry.queries()["op1_suffix_array_dedup"](spark, str(tmp_path)))
+    assert got == brute(texts, 400)
+    assert [r[1] for r in got] == [size * (size >= 400) for size in sizes for _ in range(2)] + [0] * 6
